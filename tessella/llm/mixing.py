@@ -103,26 +103,27 @@ def plan(docs: DataFrame, source: str, text: str, key: list[str], weights=WEIGHT
     return rows, blocks
 
 
-def taken(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+def taken(rows: DataFrame, blocks: DataFrame, fills: int = 3) -> DataFrame:
     """Documents with ``copies``: the source's passes, and one more from drawn blocks.
 
-    In the one block that a source takes in part, documents enter in their order while they fit, then the
-    largest one that still fits, so a source misses its target by few words.
+    In the one block that a source takes in part, documents enter in their order while they fit; then the
+    largest document of the source that still fits enters, ``fills`` times, so a source misses its target
+    by few words.
     """
-    whole = blocks.where(F.col("state") == "whole").select("rank", "block", F.lit(1).alias("extra"))
-    part = rows.join(blocks.where(F.col("state") == "part").select("rank", "block", "room"), ["rank", "block"])
+    state = blocks.where(F.col("state") != "none").select("rank", "block", "state", "room")
+    placed = rows.join(state, ["rank", "block"], "left")
     line = Window.partitionBy("rank").orderBy("place", *LINK)
-    till = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    part = part.withColumn("till", till).withColumn("at", F.row_number().over(line)).withColumn("inside", F.col("till") <= F.col("room"))
-    all_of = Window.partitionBy("rank")
-    gap = F.col("room") - F.coalesce(F.max(F.when(F.col("inside"), F.col("till"))).over(all_of), F.lit(0))
-    part = part.withColumn("gap", gap)
-    best = F.max(F.when(~F.col("inside") & (F.col("size") <= F.col("gap")), F.struct("size", "at"))).over(all_of)
-    part = part.withColumn("extra", (F.col("inside") | F.coalesce(best["at"] == F.col("at"), F.lit(False))).cast("int"))
-    part = part.select(*rows.columns, "extra")
-    parts = blocks.where(F.col("state") == "part").select("rank", "block")
-    rest = rows.join(whole, ["rank", "block"], "left").join(parts, ["rank", "block"], "left_anti").select(*rows.columns, F.coalesce("extra", F.lit(0)).alias("extra"))
-    out = rest.unionByName(part)
+    part = placed.where(F.col("state") == "part").withColumn("till", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    part = part.select(*rows.columns, (F.col("till") <= F.col("room")).cast("int").alias("extra"))
+    rest = placed.where(F.col("state").isNull() | (F.col("state") == "whole")).select(*rows.columns, F.col("state").isNotNull().cast("int").alias("extra"))
+    out = store(rest.unionByName(part), "taken")
+    for n in range(fills):
+        gaps = out.groupBy("rank").agg((F.first("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
+        fit = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+        pick = F.max(F.when(fit, F.struct("size", *LINK)))
+        best = out.join(gaps, "rank").groupBy("rank").agg(pick.alias("pick")).where(F.col("pick").isNotNull())
+        best = best.select("rank", *(F.col(f"pick.{c}").alias(c) for c in LINK), F.lit(1).alias("chosen"))
+        out = store(out.join(best, ["rank", *LINK], "left").select(*rows.columns, F.greatest("extra", F.coalesce("chosen", F.lit(0))).alias("extra")), f"fill{n}")
     return out.withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0)).cast("int"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, mixing, pii, quality_rules, sharding
+from tessella.llm import decontaminate, mixing, pii, quality_rules, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,5 +46,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", F.col("fail_bits").cast("long").alias("fail_bits"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_mixing, op7_pii, op8_decontamination, op9_quality_rules)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.parse(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(F.col("key").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_mixing, op7_pii, op8_decontamination, op9_quality_rules, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
