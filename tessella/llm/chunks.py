@@ -104,6 +104,7 @@ class Words:
             raw = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
         edge = np.flatnonzero(np.diff(_IS_GAP[raw].view(np.int8), prepend=np.int8(1)))
         start, stop = edge[0::2], edge[1::2]
+        self.start, self.stop = start, stop
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
         self.bounds = np.concatenate([[0], np.searchsorted(start, ends)])
         cuts = np.unique(np.concatenate([np.searchsorted(start, np.arange(0, len(raw), SEGMENT)), [len(start)]]))
