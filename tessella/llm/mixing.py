@@ -166,7 +166,12 @@ def mixed_rows(docs: DataFrame, source: str = "source", text: str = "text", key:
     rows, blocks = plan(docs, source, text, key, shards=shards, seed=seed, **options)
     chosen = taken(rows, blocks).where(F.col("copies") > 0)
     tree = store(split_tree(blocks, shards, seed), "tree")
-    each = chosen.select("rank", "block", *LINK, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("pass"))
+    # What fills a source's gap from a block that was not drawn goes with the block that was drawn in part.
+    part = blocks.where(F.col("state") == "part").select("rank", F.col("block").alias("part"))
+    chosen = chosen.join(blocks.select("rank", "block", "state"), ["rank", "block"], "left").join(part, "rank", "left")
+    each = chosen.select("rank", "block", "passes", "state", "part", *LINK, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("pass"))
+    filled = (F.col("pass") > F.col("passes")) & (F.col("state") == "none")
+    each = each.withColumn("block", F.when(filled, F.col("part")).otherwise(F.col("block")))
     dealt = each.join(tree, ["rank", "block", "pass"]).select(*LINK, "pass", F.col("shard").alias("mix_shard"))
     dealt = dealt.withColumn("mix_order", F.xxhash64(F.lit(seed), F.col("mix_shard"), *LINK, "pass"))
     own = docs.drop(*(c for c in (*LINK, "pass", "mix_shard", "mix_order") if c in docs.columns))

@@ -120,16 +120,16 @@ def terms_of(text: Column) -> Column:
 def disclosure(docs: DataFrame, found: DataFrame, text: str, min_values: int = MIN_VALUES) -> DataFrame:
     """(k, term, share): what part of the kind's information each well-evidenced term gives away.
 
-    ``found`` has key, spans and near (of ``base``). Only the terms beside personal data are counted in the
+    ``found`` has __spans and __near (of ``find``). Only the terms beside personal data are counted in the
     whole corpus; which join counts them is left to Spark, by their size.
     """
-    near = found.where(F.size("near") > 0).select(F.monotonically_increasing_id().alias("row"), F.explode("near").alias("n")).select("row", "n.*")
+    near = found.where(F.size("__near") > 0).select(F.monotonically_increasing_id().alias("row"), F.explode("__near").alias("n")).select("row", "n.*")
     beside = near.groupBy("k", "term").agg(F.count_distinct("value").alias("values"), F.count_distinct("row").alias("n_near")).where(F.col("values") >= min_values)
     beside = store(beside, "beside")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words = docs.select(F.explode(terms_of(body)).alias("term"))
     within = words.join(beside.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
-    kinds = found.select(F.size("spans").alias("any"), *(F.exists("spans", of_kind(k)).cast("int").alias(f"k{k}") for k in range(len(KINDS))))
+    kinds = found.select(F.size("__spans").alias("any"), *(F.exists("__spans", of_kind(k)).cast("int").alias(f"k{k}") for k in range(len(KINDS))))
     counts = kinds.agg(F.count(F.lit(1)).alias("all"), *(F.sum(f"k{k}").alias(f"k{k}") for k in range(len(KINDS))))
     rates = counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col(f"k{k}") / F.nullif(F.col("all"), F.lit(0))).alias("p")) for k in range(len(KINDS))))).alias("r")).select("r.*")
     rates = rates.where((F.col("p") > 0) & (F.col("p") < 1))
@@ -143,17 +143,17 @@ def find(docs: DataFrame, text: str = "text", near: int = NEAR, min_values: int
     own = docs.drop(*(c for c in ("base", "terms") if c in docs.columns and c != text))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rest = [F.col(f"`{c}`") for c in own.columns if c != text]
-    spanned = own.select(*rest, text_key(body).alias("__key"), body.alias("__t"), base_spans(body).alias("spans"))
-    near_terms = F.when(F.size("spans") == 0, F.array().cast("array<struct<k:int,value:bigint,term:string,start:int,end:int>>")).otherwise(_near_terms(F.col("__t"), F.col("spans"), near))
-    found = store(spanned.select(*rest, "__key", "spans", near_terms.alias("near")), "spans")
+    spanned = own.select(*rest, text_key(body).alias("__key"), body.alias("__t"), base_spans(body).alias("__spans"))
+    near_terms = F.when(F.size("__spans") == 0, F.array().cast("array<struct<k:int,value:bigint,term:string,start:int,end:int>>")).otherwise(_near_terms(F.col("__t"), F.col("__spans"), near))
+    found = store(spanned.select(*rest, "__key", "__spans", near_terms.alias("__near")), "spans")
     shares = disclosure(docs, found, text, min_values).where(F.col("share") >= generalise)
     action = F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
     strict = store(shares.groupBy("k", "term").agg(F.max("share").alias("share")).select("k", "term", action.alias("action")), "terms")
-    at = found.where(F.size("near") > 0).select("__key", F.explode("near").alias("n")).select("__key", "n.*").distinct()
+    at = found.where(F.size("__near") > 0).select("__key", F.explode("__near").alias("n")).select("__key", "n.*").distinct()
     marks = at.join(strict, ["k", "term"]).groupBy("__key", "start", "end").agg(F.max("action").alias("action"))
     marks = marks.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     out = found.join(marks, "__key", "left")
-    return out.select(*rest, "__key", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("terms"))
+    return out.select(*rest, "__key", F.col("__spans").alias("base"), F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("terms"))
 
 
 def joined(spans: Column, terms: Column | None = None) -> Column:
