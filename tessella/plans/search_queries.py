@@ -178,16 +178,16 @@ def r27_dempster_shafer(spark, sf_dir):
     return out.select("qid", "id", M.rounded(F.col("mass")).alias("mass"), M.rounded(F.col("conflict")).alias("conflict"))
 
 
-@query(f"""WITH {M.RECORDS_SQL}, f AS (SELECT id, type, list_distinct(list_concat(tags, regexp_extract_all(lower(content), '[a-z]{{4,}}'))) AS f FROM records WHERE type IN ('solution', 'lesson', 'decision')),
+@query(f"""WITH {M.RECORDS_SQL}, f AS (SELECT id, type, list_distinct(list_concat(tags, regexp_extract_all(lower(content), '[a-z]{{4,}}'))) AS f FROM records),
  q AS (SELECT * FROM f WHERE id % 100 = 0) SELECT q.id AS qid, f.id, {R('len(list_intersect(q.f, f.f)) / len(list_distinct(list_concat(q.f, f.f)))::double')} AS score
- FROM q JOIN f ON q.id <> f.id WHERE len(list_intersect(q.f, f.f)) >= 0.1 * len(list_distinct(list_concat(q.f, f.f)))""")
+ FROM q JOIN f ON q.id <> f.id WHERE f.type IN ('solution', 'lesson', 'decision') AND len(list_intersect(q.f, f.f)) >= 0.02 * len(list_distinct(list_concat(q.f, f.f)))""")
 def r31_analogy(spark, sf_dir):
-    r = M.records(spark, sf_dir).where(F.col("type").isin("solution", "lesson", "decision"))
+    r = M.records(spark, sf_dir)
     words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{4,}"), F.lit(0))
-    f = r.select("id", F.array_distinct(F.concat("tags", words)).alias("f"))
+    f = r.select("id", "type", F.array_distinct(F.concat("tags", words)).alias("f"))
     q = f.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("f").alias("qf"))
     inter, union = F.size(F.array_intersect("qf", "f")), F.size(F.array_union("qf", "f"))
-    return f.join(q, F.col("qid") != F.col("id")).where(inter >= 0.1 * union).select("qid", "id", M.rounded(inter / union).alias("score"))
+    return f.where(F.col("type").isin("solution", "lesson", "decision")).join(q, F.col("qid") != F.col("id")).where(inter >= 0.02 * union).select("qid", "id", M.rounded(inter / union).alias("score"))
 
 
 @query()
