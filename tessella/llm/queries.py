@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_ids, warc
+from tessella.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,4 +90,3 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_sharding, op4_mixing, op5_warc, op6_token_ids, op7_pii, op8_decontamination, op9_quality_rules, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
