@@ -34,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import new_path, store
+from tessella.llm.common import drop_stored, new_path, store
 
 MAGIC = b"TSLTOK1\0"
 HEAD = struct.Struct("<IQQQ")
 #: Distinct pieces that a worker remembers, and ids in a block.
-REMEMBER, BLOCK_IDS = 1 << 18, 1 << 20
+REMEMBER, BLOCK_IDS = 1 << 19, 1 << 20
+#: Punctuation that never joins the letters before it to one token.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # --- coding ------------------------------------------------------------------------------------------
 
@@ -78,61 +80,101 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 # --- tokenizing --------------------------------------------------------------------------------------
 
 
+def width(tokenizer: str, end: int) -> str:
+    """The narrowest type of ids in intermediate tables."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+
+
 class Encoder:
     """Ids of texts by a tokenizer file; pieces seen before are not encoded again."""
 
-    def __init__(self, path: str, end: int, pieces: bool = True):
+    def __init__(self, path: str, end: int, dtype: str, pieces: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.pieces = Tokenizer.from_file(path), np.array([end], dtype="<u4"), pieces
+        self.tokenizer, self.dtype, self.pieces = Tokenizer.from_file(path), dtype, pieces
+        self.end = np.array([end], dtype=dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in got]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Pieces of letters and a tail of punctuation share their parts; others are encoded as they are."""
+        parts = self.parts
+        cut = []
+        for p in pieces:
+            core = p.rstrip(TAIL)
+            tail = p[len(core) :]
+            if core.isalpha():  # ASCII letters only, so lower case is lower case everywhere
+                cut.append((core.lower(), tail))
+            elif core and core.decode().isalpha():
+                cut.append((core, tail))
+            else:
+                cut.append((p, b""))
+        new = list({x for c in cut for x in c if x and x not in parts})
+        for i in range(0, len(new), 4096):
+            parts.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096]), strict=True))
+        parts[b""] = b""
+        self.known.update((p, parts[a] + parts[b]) for p, (a, b) in zip(pieces, cut, strict=True))
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text, with the end id."""
-        end = self.end.tobytes()
         if not self.pieces:
-            got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-            return [np.array(e.ids, dtype="<u4").tobytes() + end for e in got]
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+            return [x + self.end for x in self._encode(texts)]
+        for memory in (self.known, self.parts):
+            if len(memory) > REMEMBER:
+                memory.clear()
         known, split = self.known, [t.split() for t in texts]
-        new = list({p for s in split for p in s if p not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[p] for p in s]) + end for s in split]
+        new = set().union(*split).difference(known)
+        if new:
+            self._learn(list(new))
+        return [b"".join([known[p] for p in s]) + self.end for s in split]
+
+
+#: Kept by a worker from task to task.
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder_for(*setup) -> Encoder:
+    if setup not in _ENCODERS:
+        _ENCODERS[setup] = Encoder(*setup)
+    return _ENCODERS[setup]
 
 
 IDS = "key long, tie binary, ids binary, n_ids long"
 
 
-def tokenize(docs: DataFrame, key: str, text: str, tokenizer: str, end: int, pieces: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, key: str, text: str, tokenizer: str, end: int, dtype: str, pieces: bool = True) -> DataFrame:
     """(key, tie, ids, n_ids) in the shared folder; ``tie`` orders documents of one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-        encoder = Encoder(tokenizer, end, pieces)
+        encoder = encoder_for(tokenizer, end, dtype, pieces)
+        size = np.dtype(dtype).itemsize
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 ids = encoder.batch(part.column(2).to_pylist())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["key", "tie", "ids", "n_ids"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array([len(x) // size for x in ids], pa.int64())], names=["key", "tie", "ids", "n_ids"])
 
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.unhex(F.md5(body.cast("binary"))).alias("tie"), body.cast("binary").alias("text"))
     return store(rows.mapInArrow(run, IDS), "ids", compression="zstd")
 
 
-def rank_table(tokens: DataFrame) -> np.ndarray:
+def rank_table(tokens: DataFrame, dtype: str) -> np.ndarray:
     """Ids by falling frequency over all documents: one row per id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u4"))
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=dtype))
             if len(n) > len(total):
                 n[: len(total)] += total
                 total = n
@@ -173,22 +215,22 @@ def get(path: str) -> bytes:
         return f.read()
 
 
-def _blocks(rows: Iterator[tuple], rank_of: np.ndarray, position: list[int]) -> Iterator[bytes]:
-    held, n = [], 0
+def _blocks(rows: Iterator[tuple], rank_of: np.ndarray, position: list[int], dtype: str) -> Iterator[bytes]:
+    held, n, size = [], 0, np.dtype(dtype).itemsize
 
     def block() -> bytes:
-        ids = np.frombuffer(b"".join(x for _, x in held), dtype="<u4")
+        ids = np.frombuffer(b"".join(x for _, x in held), dtype=dtype)
         control, data = encode_ranks(rank_of[ids])
         head = HEAD.pack(len(held), len(ids), len(data), position[0])
         position[0] += len(ids)
         keys = np.array([k or 0 for k, _ in held], dtype="<i8").tobytes()
         null = np.array([k is None for k, _ in held], dtype=np.uint8).tobytes()
-        return head + keys + null + np.array([len(x) // 4 for _, x in held], dtype="<u4").tobytes() + control + data
+        return head + keys + null + np.array([len(x) // size for _, x in held], dtype="<u4").tobytes() + control + data
 
     yield MAGIC
     for k, x in rows:
         held.append((k, x))
-        n += len(x) // 4
+        n += len(x) // size
         if n >= BLOCK_IDS:
             yield block()
             held, n = [], 0
@@ -196,7 +238,7 @@ def _blocks(rows: Iterator[tuple], rank_of: np.ndarray, position: list[int]) ->
         yield block()
 
 
-def write_files(tokens: DataFrame, path: str, ranks: np.ndarray, rows_per_file: int | None = None) -> DataFrame:
+def write_files(tokens: DataFrame, path: str, ranks: np.ndarray, dtype: str) -> DataFrame:
     """Files of ascending keys under ``path``; returns their manifest (file, part, n_docs, n_ids, n_bytes)."""
     spark = tokens.sparkSession
     put(f"{path}/ranks", iter([ranks.tobytes()]))
@@ -213,11 +255,11 @@ def write_files(tokens: DataFrame, path: str, ranks: np.ndarray, rows_per_file:
             for batch in batches:
                 for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     seen[0] += 1
-                    seen[1] += len(x) // 4
+                    seen[1] += len(x) // np.dtype(dtype).itemsize
                     yield k, x
 
         name = f"{path}/part-{part:06d}.tok"
-        size = put(name, _blocks(rows(), shared.value, [0]))
+        size = put(name, _blocks(rows(), shared.value, [0], dtype))
         yield pa.record_batch([pa.array([name]), pa.array([part], pa.int64()), pa.array([seen[0]], pa.int64()), pa.array([seen[1]], pa.int64()), pa.array([size], pa.int64())], names=["file", "part", "n_docs", "n_ids", "n_bytes"])
 
     return store(ordered.select("key", "ids").mapInArrow(run, "file string, part long, n_docs long, n_ids long, n_bytes long"), "manifest")
@@ -270,5 +312,8 @@ def read_files(spark: SparkSession, path: str, manifest: DataFrame, each=None, s
 def encode(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", path: str | None = None, pieces: bool = True) -> tuple[str, DataFrame]:
     """Write ``docs`` as token files; (their folder, their manifest)."""
     path = path or new_path(docs.sparkSession, "tokens")
-    tokens = tokenize(docs, key, text, tokenizer, end, pieces)
-    return path, write_files(tokens, path, rank_table(tokens))
+    dtype = width(tokenizer, end)
+    tokens = tokenize(docs, key, text, tokenizer, end, dtype, pieces)
+    manifest = write_files(tokens, path, rank_table(tokens, dtype), dtype)
+    drop_stored(tokens)
+    return path, manifest
