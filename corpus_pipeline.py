@@ -28,8 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a part of the benchmark go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    out = decontaminate.decontaminate(docs, bench)
-    return out.where(~F.col("contaminated")).select(*(F.col(c) for c in docs.columns))
+    return decontaminate.drop_contaminated(docs, bench)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,25 @@ def text_key(text: Column) -> Column:
     """128 bits that stand for a text (null and empty alike)."""
     t = F.coalesce(text, F.lit(""))
     return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(7), t, F.lit(11)).alias("b"))
+
+
+def grams(words: Column, k: int) -> Column:
+    """Hashes of every ``k`` neighbours. Elements are named one by one: a slice would copy them."""
+    at = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + j if j else i) for j in range(k))))
+
+
+def sliding_min(values: Column, size: int) -> Column:
+    """The smallest of every ``size`` neighbours, from the smallest of thirds of them."""
+
+    def wider(a: Column, have: int) -> Column:
+        if have == size:
+            return a
+        reach = min(3 * have, size)
+        offsets = sorted({0, -(-(reach - have) // 2), reach - have})
+        n = lambda x: F.size(x) - (reach - have)
+        at = lambda x: F.when(n(x) > 0, F.sequence(F.lit(0), n(x) - 1)).otherwise(F.array().cast("array<int>"))
+        pick = lambda x, i: F.least(*(F.get(x, i + o if o else i) for o in offsets))
+        return let(a, lambda x: wider(F.transform(at(x), lambda i: pick(x, i)), reach))
+
+    return wider(values, 1)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import let, lower_ascii, split_words, store, text_key
+from tessella.llm.common import grams, let, lower_ascii, sliding_min, split_words, store, text_key
 
 #: Everything but ASCII letters and digits and all characters beyond ASCII.
 GAP_RE = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
@@ -34,33 +34,22 @@ def words_of(text: Column) -> Column:
     return split_words(lower_ascii(F.coalesce(text, F.lit(""))), GAP_RE)
 
 
-def _grams(words: Column, k: int) -> Column:
-    at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.slice(words, i, k)))
-
-
-def _fingerprints(grams: Column, wide: int) -> Column:
-    """The smallest k-gram hash of each span, by the span's first word."""
-    at = F.when(F.size(grams) >= wide, F.sequence(F.lit(1), F.size(grams) - wide + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_min(F.slice(grams, i, wide)))
-
-
 def _runs(values: Column) -> Column:
     """[(value, first, last)] of maximal runs of equal neighbours, positions from 0."""
-    heads = F.filter(
-        F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("first"), F.coalesce(F.get(values, i - 1) == v, F.lit(False)).alias("same"))),
-        lambda s: ~s["same"],
-    )
-    return let(heads, lambda h: F.transform(h, lambda s, i: F.struct(s["v"].alias("v"), s["first"].alias("first"), (F.coalesce(F.get(h, i + 1)["first"], F.size(values)) - 1).alias("last"))))
+    at = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
+    heads = F.filter(at, lambda i: F.coalesce(F.get(values, i - 1) != F.get(values, i), F.lit(True)))
+    run = lambda h: lambda i, n: F.struct(F.get(values, i).alias("v"), i.alias("first"), (F.coalesce(F.get(h, n + 1), F.size(values)) - 1).alias("last"))
+    return let(heads, lambda h: F.transform(h, run(h)))
 
 
 def _starts(words: Column, span: int, k: int, anchors: list[int]) -> Column:
     """Candidate window starts: (kind, value, first, last); kind 0 for fingerprints, g for g-word anchors."""
     kind = lambda g: lambda s: F.struct(F.lit(g).alias("kind"), s["v"].alias("v"), s["first"].alias("first"), s["last"].alias("last"))
-    long = let(_grams(words, k), lambda g: let(_fingerprints(g, span - k + 1), _runs))
+    # The smallest k-gram hash of each span, by the span's first word.
+    long = let(sliding_min(grams(words, k), span - k + 1), _runs)
     parts = [F.transform(long, kind(0))]
     for g in anchors:
-        parts.append(F.transform(_grams(words, g), lambda v, i: F.struct(F.lit(g).alias("kind"), v.alias("v"), i.alias("first"), i.alias("last"))))
+        parts.append(F.transform(grams(words, g), lambda v, i: F.struct(F.lit(g).alias("kind"), v.alias("v"), i.alias("first"), i.alias("last"))))
     return F.concat(*parts) if anchors else parts[0]
 
 
@@ -70,13 +59,13 @@ def item_windows(bench: DataFrame, item: str, text: str, span: int, k: int) -> D
     n = F.least(F.size("w"), F.lit(span))
     each = w.select("item", n.alias("len"), "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i")).select("item", "len", F.slice("w", F.col("i"), F.col("len")).alias("w"))
     short = F.least(F.col("len"), F.lit(k))
-    value = F.when(F.col("len") == span, F.array_min(_grams(F.col("w"), k))).otherwise(F.xxhash64(F.slice("w", F.lit(1), short)))
+    value = F.when(F.col("len") == span, F.array_min(grams(F.col("w"), k))).otherwise(F.xxhash64(F.slice("w", F.lit(1), short)))
     kind = F.when(F.col("len") == span, F.lit(0)).otherwise(short)
     return each.select("item", "len", F.array_join("w", " ").alias("window"), kind.alias("kind"), value.alias("v")).distinct()
 
 
 def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
-    """One row per distinct text that has a hit: key, n_hit, item_ids (sorted)."""
+    """One row per distinct text that has a hit: key, n_words, n_hit, item_ids (sorted)."""
     windows = store(item_windows(bench, item, item_text, span, k), "windows")
     # At most k distinct kinds, whatever the benchmark's size.
     anchors = sorted(r[0] for r in windows.select("kind").distinct().collect() if r[0])
@@ -92,7 +81,8 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
     # At most one entry per kind and length below span: bounded by the two parameters.
     lens = {r[0]: sorted(r[1]) for r in lengths.collect()}
     keyed = docs.select(text_key(body).alias("key"), body.alias("body"))
-    texts = keyed.join(per_text, "key").dropDuplicates(["key"]) if lens else keyed.join(per_text, "key")
+    # Texts that met grow with the table, so both sides are always dealt by key.
+    texts = keyed.join(per_text.hint("merge"), "key").dropDuplicates(["key"])
     by_kind = F.create_map(*(x for kk, ls in lens.items() for x in (F.lit(kk), F.array(*(F.lit(n) for n in ls))))) if lens else F.create_map(F.lit(0), F.array(F.lit(span)))
 
     def spans(w: Column) -> Column:
@@ -102,9 +92,11 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
 
         return F.array_distinct(F.flatten(F.transform(F.col("runs"), one)))
 
-    found = texts.select("key", let(words_of(F.col("body")), spans).alias("s")).select("key", F.explode("s").alias("s")).select("key", "s.*")
+    cut = let(words_of(F.col("body")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), spans(w).alias("s")))
+    found = texts.select("key", cut.alias("c")).select("key", "c.n_words", F.explode("c.s").alias("s")).select("key", "n_words", "s.*")
     names = windows.groupBy("len", "window").agg(F.collect_set("item").alias("items"))
     hits = found.join(names, ["len", "window"]).groupBy("key").agg(
+        F.first("n_words").alias("n_words"),
         F.sort_array(F.collect_list(F.struct("i", "len"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids")
     )
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
@@ -113,7 +105,7 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
         stop = x["i"] + x["len"]
         return F.struct((a["n"] + F.greatest(F.lit(0), stop - F.greatest(x["i"], a["end"]))).alias("n"), F.greatest(a["end"], stop).alias("end"))
 
-    return hits.select("key", F.aggregate("at", zero, cover)["n"].cast("long").alias("n_hit"), "item_ids")
+    return hits.select("key", "n_words", F.aggregate("at", zero, cover)["n"].cast("long").alias("n_hit"), "item_ids")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", percent: int = 5, span: int = SPAN, k: int = K) -> DataFrame:
@@ -122,12 +114,23 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
     own = docs.drop(*(c for c in RESULTS if c in docs.columns))
     body = F.col(f"`{text}`")
     keyed = own.withColumn("__n", F.size(words_of(body)).cast("long")).withColumn("__key", text_key(body))
-    out = keyed.join(store(hits, "hits").withColumnRenamed("key", "__key"), "__key", "left")
+    out = keyed.join(store(hits.drop("n_words"), "hits").withColumnRenamed("key", "__key"), "__key", "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
     return out.select(
         *(F.col(f"`{c}`") for c in own.columns),
         F.col("__n").alias("n_words"),
         n_hit.alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        ((n_hit > 0) & (n_hit * 100 >= F.col("__n") * percent)).alias("contaminated"),
+        _is_contaminated(n_hit, F.col("__n"), percent).alias("contaminated"),
     )
+
+
+def _is_contaminated(n_hit: Column, n_words: Column, percent: int) -> Column:
+    return (n_hit > 0) & (n_hit * 100 >= n_words * percent)
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", percent: int = 5, span: int = SPAN, k: int = K) -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    hits = scan(docs, bench, text, item, item_text, span, k)
+    bad = store(hits.where(_is_contaminated(F.col("n_hit"), F.col("n_words"), percent)).select("key"), "contaminated")
+    return docs.join(bad, text_key(F.col(f"`{text}`")) == F.col("key"), "left_anti")

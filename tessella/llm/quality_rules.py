@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD_RE, let, split_words
+from tessella.llm.common import WORD_RE, grams, let, split_words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -72,8 +72,7 @@ def _repeat_words(words: Column, window: int) -> Column:
 
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(let(placed, starts), total))
 
-    at = F.when(F.size(words) >= window, F.sequence(F.lit(1), F.size(words) - window + 1)).otherwise(F.array().cast("array<int>"))
-    return let(F.transform(at, lambda i: F.xxhash64(F.slice(words, i, window))), covered)
+    return let(grams(words, window), covered)
 
 
 def measurements(text: Column, window: int = WINDOW) -> Column:
