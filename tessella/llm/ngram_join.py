@@ -4,7 +4,7 @@ Tokens are the distinct word shingles of a document, ordered by document frequen
 documents share at least ``need`` of their tokens, then any prefixes of ``size - need + ell`` tokens share
 at least ``ell``. Each document picks its ``ell`` by estimated cost: a longer prefix reads more postings,
 but a candidate must then share more of them. A pair is compared in full only if its prefixes share as
-many tokens as the smaller ``ell`` of the two asks for.
+many tokens as the smaller ``ell`` of the two and its two sizes ask for.
 
 How it is spread out:
 
@@ -12,9 +12,11 @@ How it is spread out:
   unique shingles cannot reach the threshold with any other and leaves at once.
 * Equal sets form a class with one representative, so copies never meet each other.
 * Links are found in rounds. In a round, the documents of one token meet one leader, not each other, so a
-  group of m near copies costs m comparisons. Tokens whose documents are in one component by then
-  are done; for the rest, all pairs from different components are compared. Every pair that could
-  connect two components is thus compared, and no link that matters for components is lost.
+  group of m near copies costs m comparisons. The first leader is the document with the fewest shingles of
+  its own (the text that others were made from), later ones follow a hash. Tokens whose documents are in one
+  component are done. Rounds end when few pairs from different components are left, or when they no longer
+  help; then all pairs left are compared. Every pair that could connect two components is thus compared,
+  and no link that matters for components is lost.
 
 Defined results: texts without words have no shingles and link with nothing; shorter texts than a shingle
 are one shingle; rows with a null id get their shingle count and no component; repeated rows are
@@ -36,7 +38,8 @@ from tessella.llm.common import drop_stored, store
 WORDS, PERCENT = 5, 80
 #: Cost of comparing two sets, in postings read; and the longest step of a prefix.
 COMPARE, MOST_MATCHES = 20, 8
-ROUNDS = 2
+#: Most rounds with leaders; and pairs per posting left that are worth no further round.
+ROUNDS, FEW = 12, 2
 
 
 def token_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -67,8 +70,8 @@ def _need(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-OUT = "id long, n long, a long, b long, ell int, prefix array<long>, tokens array<long>"
-ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("ell", pa.int32()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+OUT = "id long, n long, a long, b long, ell int, own int, prefix array<long>, tokens array<long>"
+ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("ell", pa.int32()), ("own", pa.int32()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
 
 def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, chunk_bytes: int) -> DataFrame:
@@ -112,7 +115,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, chu
                     size_n, i, j = len(tokens), cutoff[n], cutoff[n + 1]
                     need = _need(size_n, percent)
                     if not size_n or unique[j] - unique[i] > size_n - need:
-                        out.append((size_n, None, None, None, None, None))
+                        out.append((size_n, None, None, None, None, None, None))
                         continue
                     order = np.lexsort((tokens, freq[i:j]))
                     sizes = freq[i:j][order]
@@ -121,8 +124,8 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, chu
                     with np.errstate(over="ignore"):
                         spread = np.arange(1, 2 * size_n, 2, dtype=C.U)
                         a, b = (tokens * spread).sum(dtype=C.U), C.mixed(tokens ^ C.U(C.SILVER)).sum(dtype=C.U)
-                    out.append((size_n, a.view(np.int64).item(), b.view(np.int64).item(), ell, tokens[order[:stop][sizes[:stop] > 1]].view(np.int64), tokens.view(np.int64)))
-                rest = list(zip(*out, strict=True)) or [[]] * 6
+                    out.append((size_n, a.view(np.int64).item(), b.view(np.int64).item(), ell, int(unique[j] - unique[i]), tokens[order[:stop][sizes[:stop] > 1]].view(np.int64), tokens.view(np.int64)))
+                rest = list(zip(*out, strict=True)) or [[]] * 7
                 yield pa.record_batch([ids, *(pa.array(list(c), f.type) for c, f in zip(rest, list(ARROW)[1:], strict=True))], schema=ARROW)
 
     joined = table.join(replies, "chunk", "left").select("chunk", "body", "replies")
@@ -164,8 +167,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return linked.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
 
 
-def _alike(n: Column, m: Column, percent: int) -> Column:
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+def _alike(x: tuple[str, str], y: tuple[str, str], percent: int) -> Column:
+    """Whether sets of (size, shingles of their own) can reach the threshold: what only one of them has is not shared."""
+    (n, own), (m, other) = (tuple(F.col(c) for c in names) for names in (x, y))
+    most = F.least(n - own, m - other)
+    return most * (100 + percent) >= (n + m) * percent
+
+
+def _enough(x: tuple[str, str], y: tuple[str, str], percent: int, shared: Column) -> Column:
+    """Whether ``shared`` prefix tokens of sets of (size, ell) can be enough.
+
+    Tokens behind the prefix that ends first are at most ``need - ell`` of its set; all others that both
+    have are shared prefix tokens. Together they must make up what the threshold asks of these two sizes.
+    """
+    (n, ell), (m, more) = (tuple(F.col(c) for c in names) for names in (x, y))
+    need = lambda c: F.ceil(c * percent / 100)
+    rest = F.greatest(need(n) - ell, need(m) - more)
+    return (shared >= F.least(ell, more)) & ((shared + rest) * (100 + percent) >= (n + m) * percent)
+
+
+def _open(tokens: DataFrame, nodes: DataFrame) -> tuple[DataFrame, float]:
+    """(tokens of more than one component, with comp; how many pairs of different components they hold)."""
+    placed = store(tokens.join(nodes, "node"), "placed")
+    m = F.col("m").cast("double")
+    sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.count(F.lit(1)).alias("comps"), ((F.sum(m) * F.sum(m) - F.sum(m * m)) / 2).alias("pairs"))
+    several = store(sizes.where(F.col("comps") > 1).select("token", "pairs"), "several")
+    pairs = several.agg(F.sum("pairs")).first()[0] or 0.0
+    left = store(placed.join(several.select("token"), "token", "left_semi"), "open")
+    drop_stored(placed)
+    drop_stored(several)
+    return left, pairs
+
+
+def _meet_leaders(placed: DataFrame, sets: DataFrame, r: int, percent: int) -> DataFrame:
+    """Links of documents with the leaders of their tokens: each with the leader it shares most tokens with."""
+    # The same document leads all tokens it can, so a member meets few leaders.
+    first = F.col("own") if r == 0 else F.lit(0)
+    rank = F.struct(first.alias("first"), F.xxhash64(F.lit(r), "node").alias("h"), F.col("node").alias("lead"), F.col("comp").alias("lead_comp"), F.col("n").alias("lead_n"), F.col("own").alias("lead_own"), F.col("ell").alias("lead_ell"))
+    leaders = placed.groupBy("token").agg(F.min(rank).alias("r")).select("token", "r.lead", "r.lead_comp", "r.lead_n", "r.lead_own", "r.lead_ell")
+    met = placed.join(leaders, "token").where((F.col("comp") != F.col("lead_comp")) & _alike(("n", "own"), ("lead_n", "lead_own"), percent))
+    counts = met.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("shared"), *(F.first(c).alias(c) for c in ("n", "ell", "lead_n", "lead_ell")))
+    counts = counts.where(_enough(("n", "ell"), ("lead_n", "lead_ell"), percent, F.col("shared")))
+    best = counts.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("m")).select(F.col("node").alias("a"), F.col("m.lead").alias("b"))
+    return store(_verified(best, sets, percent), "links")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES, rounds: int = ROUNDS) -> DataFrame:
@@ -174,33 +218,34 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = W
     may = all_docs.where(F.col("a").isNotNull() & F.col("id").isNotNull())
     classes = store(may.groupBy("a", "b").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
     # One row per class: that of its smallest id (equal rows of that id are dropped).
-    sets = store(may.join(classes.select("node"), F.col("id") == F.col("node"), "left_semi").withColumnRenamed("id", "node").dropDuplicates(["node"]).select("node", "n", "ell", "prefix", "tokens"), "sets")
-    tokens = store(sets.select("node", "n", "ell", F.explode("prefix").alias("token")), "tokens")
-    nodes = sets.select("node", F.col("node").alias("comp"))
-
+    sets = store(may.join(classes.select("node"), F.col("id") == F.col("node"), "left_semi").withColumnRenamed("id", "node").dropDuplicates(["node"]).select("node", "n", "ell", "own", "prefix", "tokens"), "sets")
+    ids = store(all_docs.select("id", "n", "a", "b"), "ids")
+    drop_stored(all_docs)
+    nodes = store(sets.select("node", F.col("node").alias("comp")), "nodes")
+    left, pairs = _open(sets.select("node", "n", "ell", "own", F.explode("prefix").alias("token")), nodes)
     for r in range(rounds):
-        placed = tokens.join(nodes, "node")
-        # The same document leads all tokens it can, so a member meets few leaders.
-        rank = F.struct(F.xxhash64(F.lit(r), "node").alias("h"), F.col("node").alias("lead"), F.col("comp").alias("lead_comp"), F.col("n").alias("lead_n"), F.col("ell").alias("lead_ell"))
-        leaders = placed.groupBy("token").agg(F.min(rank).alias("r"), F.count(F.lit(1)).alias("df")).where(F.col("df") > 1).select("token", "r.*")
-        met = placed.join(leaders, "token").where((F.col("comp") != F.col("lead_comp")) & _alike(F.col("n"), F.col("lead_n"), percent))
-        counts = met.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("ell", "lead_ell")).alias("ell")).where(F.col("shared") >= F.col("ell"))
-        best = counts.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("m")).select(F.col("node").alias("a"), F.col("m.lead").alias("b"))
-        links = store(_verified(best, sets, percent), "links")
-        nodes = store(components(nodes, links), "nodes")
-
-    placed = tokens.join(nodes, "node")
-    open_tokens = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
-    left = store(placed.join(open_tokens, "token", "left_semi"), "open")
-    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "ell"))) for s in "xy")
-    pairs = x.join(y, "token").where((F.col("comp_x") < F.col("comp_y")) & _alike(F.col("n_x"), F.col("n_y"), percent))
-    shared = pairs.groupBy("node_x", "node_y").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("ell_x", "ell_y")).alias("ell"))
-    rest = shared.where(F.col("shared") >= F.col("ell")).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+        if pairs <= FEW * left.count():
+            break
+        found = _meet_leaders(left, sets, r, percent)
+        nodes = store(components(nodes, found), "nodes")
+        before, past = pairs, left
+        left, pairs = _open(past.drop("comp"), nodes)
+        drop_stored(past)
+        if r and pairs > 0.9 * before:
+            break
+
+    # No pair shares more tokens than either has left.
+    left = left.join(left.groupBy("node").agg(F.count(F.lit(1)).alias("c")), "node")
+    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "own", "ell", "c"))) for s in "xy")
+    may = _alike(("n_x", "own_x"), ("n_y", "own_y"), percent) & _enough(("n_x", "ell_x"), ("n_y", "ell_y"), percent, F.least("c_x", "c_y"))
+    met = x.join(y, "token").where((F.col("comp_x") < F.col("comp_y")) & may)
+    shared = met.groupBy("node_x", "node_y").agg(F.count(F.lit(1)).alias("shared"), *(F.first(c).alias(c) for c in ("n_x", "ell_x", "n_y", "ell_y")))
+    rest = shared.where(_enough(("n_x", "ell_x"), ("n_y", "ell_y"), percent, F.col("shared"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     links = store(_verified(rest, sets, percent), "links")
     nodes = store(components(nodes, links), "nodes")
 
     named = classes.join(nodes, "node").select("a", "b", "comp")
-    out = all_docs.select("id", "n", "a", "b").join(named, ["a", "b"], "left")
+    out = ids.join(named, ["a", "b"], "left")
     return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component"))
 
 
