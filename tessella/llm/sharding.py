@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPREAD = 64
+#: Cells (shard, sub-range) in which rows are numbered; their counts are the only thing that is broadcast.
+CELLS = 1 << 15
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -47,12 +48,13 @@ def shard_of(key: Column, shards: int) -> Column:
     return jump(F.coalesce(key, F.lit(-1).cast("long")))
 
 
-def assign(rows: DataFrame, key: str, shards: int, order: list[str] | None = None, spread: int = SPREAD) -> DataFrame:
+def assign(rows: DataFrame, key: str, shards: int, order: list[str] | None = None, cells: int = CELLS) -> DataFrame:
     """``rows`` with ``shard`` and ``slot`` (clashing columns are replaced).
 
     ``order`` settles slots between rows of one key. The counting pass reads the key column only.
     """
     rows = rows.drop(*(c for c in ("shard", "slot", "__sub", "__base") if c in rows.columns))
+    spread = max(16, cells // shards)
     # A third of all rows may share a key: its rows are numbered in sub-ranges by their other columns too.
     order = [c for c in (order or []) if c != key]
     sub = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in [key, *order])), F.lit(spread)).cast("int")
@@ -62,7 +64,7 @@ def assign(rows: DataFrame, key: str, shards: int, order: list[str] | None = Non
     bases = counts.select(F.col("shard").alias("__s"), F.col("__sub").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     within = Window.partitionBy("shard", "__sub").orderBy(*(F.col(f"`{c}`") for c in [key, *order]))
     numbered = placed.withColumn("__rn", F.row_number().over(within))
-    # At most shards x spread rows, both parameters: small enough to broadcast at any input size.
+    # At most max(cells, 16 x shards) rows, both parameters: small enough to broadcast at any input size.
     joined = numbered.join(F.broadcast(bases), (F.col("shard") == F.col("__s")) & (F.col("__sub") == F.col("__b")))
     return joined.withColumn("slot", (F.col("__base") + F.col("__rn") - 1).cast("long")).drop("__s", "__b", "__sub", "__base", "__rn")
 
