@@ -14,8 +14,10 @@ Layout of a file (little-endian)::
 
 The rank table is a file of its own: u32 ids by rank. It has an entry per id of the vocabulary, not per document.
 
-White space never joins two words to one token in the tokenizers this is for, so texts are cut at ASCII
-white space and each distinct piece is encoded once per batch. ``pieces=False`` encodes whole texts.
+A tokenizer file that normalises, lower-cases and splits by PATTERN never joins two white-space pieces to one token,
+nor letters to the ASCII punctuation behind them (unless a letter turns into a letter and a mark, which is asked of
+the tokenizer itself, character by character). Texts are then cut there and each distinct piece is encoded once
+per worker. With any other file, or ``pieces=False``, whole texts are encoded.
 
 Defined results: a null or empty text is the end id alone; documents with equal keys keep apart, in the order of
 their text; null keys come first; an empty table gives an empty result.
@@ -23,12 +25,14 @@ their text; null keys come first; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +42,12 @@ from tessella.llm.common import drop_stored, new_path, store
 
 MAGIC = b"TSLTOK1\0"
 HEAD = struct.Struct("<IQQQ")
-#: Distinct pieces that a worker remembers, and ids in a block.
-REMEMBER, BLOCK_IDS = 1 << 19, 1 << 20
-#: Punctuation that never joins the letters before it to one token.
-TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Distinct pieces that a worker remembers, ids in a block, and bytes of text encoded at a time.
+REMEMBER, BLOCK_IDS, BATCH_BYTES = 1 << 20, 1 << 20, 8 << 20
+#: Punctuation that never joins the letters before it to one token, in tokenizers that split by PATTERN.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Fixed value: the words of the tokenizers whose white-space pieces are encoded alone.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # --- coding ------------------------------------------------------------------------------------------
 
@@ -87,52 +93,96 @@ def width(tokenizer: str, end: int) -> str:
     return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
 
 
+def cuts_at_white_space(path: str) -> bool:
+    """Whether the tokenizer is known to encode each white-space piece of a text alone, letters and the
+    ASCII punctuation behind them apart: NFC, white space and lower case first, then words by PATTERN."""
+    with open(path) as f:
+        setup = json.load(f)
+    split, byte_level = (setup.get("pre_tokenizer") or {}).get("pretokenizers", [{}, {}])[:2]
+    steps = [n.get("type") for n in (setup.get("normalizer") or {}).get("normalizers", [])]
+    plain = not any(setup.get(k) for k in ("truncation", "padding", "post_processor"))
+    added = all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in setup.get("added_tokens", []))
+    pattern = (split.get("type"), (split.get("pattern") or {}).get("Regex"), split.get("behavior"), split.get("invert"))
+    byte_level = (byte_level.get("type"), byte_level.get("add_prefix_space"), byte_level.get("use_regex"))
+    return plain and added and steps == ["NFC", "Replace", "Lowercase"] and pattern == ("Split", PATTERN, "Removed", True) and byte_level == ("ByteLevel", False, False)
+
+
 class Encoder:
     """Ids of texts by a tokenizer file; pieces seen before are not encoded again."""
 
     def __init__(self, path: str, end: int, dtype: str, pieces: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.pieces = Tokenizer.from_file(path), dtype, pieces
-        self.end = np.array([end], dtype=dtype).tobytes()
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        self.pieces = pieces and cuts_at_white_space(path)
+        self.end = np.array([end], dtype=dtype)
+        # The pieces of late and those before them: what still occurs moves over when the younger half is full.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.letters: dict[str, bool] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in got]
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _is_letter(self, c: str) -> bool:
+        """Whether a character is letters still after normalising: it can then not join what follows it."""
+        if c not in self.letters:
+            found = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c) + ".")
+            self.letters[c] = c.isalpha() and len(found) == 2 and found[1][0] == "."
+        return self.letters[c]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
         """Pieces of letters and a tail of punctuation share their parts; others are encoded as they are."""
         parts = self.parts
+        if len(parts) > REMEMBER:
+            parts.clear()
         cut = []
         for p in pieces:
             core = p.rstrip(TAIL)
             tail = p[len(core) :]
-            if core.isalpha():  # ASCII letters only, so lower case is lower case everywhere
-                cut.append((core.lower(), tail))
-            elif core and core.decode().isalpha():
-                cut.append((core, tail))
+            if core.isascii():
+                cut.append((core.lower(), tail) if core.isalpha() else (p, ""))
             else:
-                cut.append((p, b""))
+                cut.append((core, tail) if all(map(self._is_letter, core)) else (p, ""))
         new = list({x for c in cut for x in c if x and x not in parts})
         for i in range(0, len(new), 4096):
             parts.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096]), strict=True))
-        parts[b""] = b""
-        self.known.update((p, parts[a] + parts[b]) for p, (a, b) in zip(pieces, cut, strict=True))
-
-    def batch(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each text, with the end id."""
+        parts[""] = b""
+        return [parts[a] + parts[b] for a, b in cut]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        if len(self.known) > REMEMBER // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        for p in pieces:
+            if p not in known and p in before:
+                known[p] = before[p]
+        new = [p for p in pieces if p not in known]
+        known.update(zip(new, self._learn(new), strict=True))
+        return [known[p] for p in pieces]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each with the end id; how many each text has)."""
         if not self.pieces:
-            return [x + self.end for x in self._encode(texts)]
-        for memory in (self.known, self.parts):
-            if len(memory) > REMEMBER:
-                memory.clear()
-        known, split = self.known, [t.split() for t in texts]
-        new = set().union(*split).difference(known)
-        if new:
-            self._learn(list(new))
-        return [b"".join([known[p] for p in s]) + self.end for s in split]
+            got = [np.concatenate([np.frombuffer(x, dtype=self.dtype), self.end]) for x in self._encode(texts.to_pylist())]
+            return np.concatenate(got) if got else self.end[:0], np.array([len(x) for x in got], dtype=np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        named = pc.list_flatten(split).dictionary_encode()
+        values = self._ids(named.dictionary.to_pylist())
+        flat = np.concatenate([np.frombuffer(b"".join(values), dtype=self.dtype), self.end])
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.dtype.itemsize
+        first = np.cumsum(sizes) - sizes
+        # The end id stands behind the last piece of each text, as a piece of its own.
+        words = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        which = np.insert(named.indices.to_numpy().astype(np.int64), np.cumsum(words), len(values))
+        first, sizes = np.append(first, len(flat) - 1), np.append(sizes, 1)
+        n = sizes[which]
+        till = np.cumsum(n)
+        ids = flat[np.repeat(first[which] - (till - n), n) + np.arange(till[-1] if len(till) else 0)]
+        return ids, np.diff(till[np.cumsum(words + 1) - 1], prepend=0)
 
 
 #: Kept by a worker from task to task.
@@ -156,15 +206,20 @@ def tokenize(docs: DataFrame, key: str, text: str, tokenizer: str, end: int, dty
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         encoder = encoder_for(tokenizer, end, dtype, pieces)
-        size = np.dtype(dtype).itemsize
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                ids = encoder.batch(part.column(2).to_pylist())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array([len(x) // size for x in ids], pa.int64())], names=["key", "tie", "ids", "n_ids"])
+            # Rows that start inside the same BATCH_BYTES go together.
+            sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            cut = (np.cumsum(sizes) - sizes) // BATCH_BYTES
+            at = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                part = batch.slice(i, j - i)
+                ids, n = encoder.batch(part.column(2))
+                edges = (np.concatenate([[0], np.cumsum(n)]) * ids.itemsize).astype(np.int32)
+                body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+                yield pa.record_batch([part.column(0), part.column(1), body, pa.array(n, pa.int64())], names=["key", "tie", "ids", "n_ids"])
 
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.unhex(F.md5(body.cast("binary"))).alias("tie"), body.cast("binary").alias("text"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.unhex(F.md5(body.cast("binary"))).alias("tie"), body.alias("text"))
     return store(rows.mapInArrow(run, IDS), "ids", compression="zstd")
 
 

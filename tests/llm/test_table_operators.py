@@ -150,6 +150,47 @@ def test_token_files(spark, docs, rows, no_docs, pieces):
     assert token_ids.read_files(spark, folder, manifest).count() == 0
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    """All code points with a tail, and mixes of what joins its neighbours after normalising."""
+    import random
+
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    r = random.Random(3)
+    tails = (".", ",", "!'s", "\u2026", "\u0307.", "'", "<|endoftext|>", "-")
+    odd = ["\u0130", "\u0958", "a", "B", "\u03a3", ".", ",", "'", " ", "\u0301", "\n", "\u1100", "\u1161", "\u11a8", "1", "<|endoftext|>", "\u2028", "\xa0", "\x1c", "$"]
+    letters = [chr(c) for c in range(1, 0x3000)] + [chr(r.randrange(0xE000, 0x110000)) for _ in range(3000)]
+    texts = [f"{c}{t} x{c}{t}" for c in letters for t in (r.choice(tails),)] + ["".join(r.choices(odd, k=r.randrange(12))) for _ in range(20_000)]
+    encoder = token_ids.Encoder(path, 2, "<u2")
+    assert encoder.pieces
+    ids, n = encoder.batch(pa.array(texts))
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert n.tolist() == [len(w.ids) + 1 for w in want]
+    assert ids.tolist() == [i for w in want for i in (*w.ids, 2)]
+    assert not token_ids.cuts_at_white_space(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_token_query(spark, tmp_path, docs, rows):
+    """The registered query on a table whose letters join the punctuation behind them after normalising."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessella.llm import queries
+
+    texts = [(i, r[1]) for i, r in enumerate(rows)] + [(500, "\u0130. \u0130, x\u0130! \u0958. \u095b. \u095e."), (501, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer, want, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), set(), 0
+    for i, t in sorted(texts):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        want.add((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    got = queries.op6_token_ids(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def test_classifier_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id < 3000")
