@@ -42,8 +42,8 @@ from tessella.llm.common import drop_stored, new_path, store
 
 MAGIC = b"TSLTOK1\0"
 HEAD = struct.Struct("<IQQQ")
-#: Distinct pieces that a worker remembers, ids in a block, and bytes of text encoded at a time.
-REMEMBER, BLOCK_IDS, BATCH_BYTES = 1 << 20, 1 << 20, 8 << 20
+#: Distinct parts that a worker remembers, ids in a block, and bytes of text encoded at a time.
+REMEMBER, BLOCK_IDS, BATCH_BYTES = 1 << 19, 1 << 20, 4 << 20
 #: Punctuation that never joins the letters before it to one token, in tokenizers that split by PATTERN.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Fixed value: the words of the tokenizers whose white-space pieces are encoded alone.
@@ -107,8 +107,18 @@ def cuts_at_white_space(path: str) -> bool:
     return plain and added and steps == ["NFC", "Replace", "Lowercase"] and pattern == ("Split", PATTERN, "Removed", True) and byte_level == ("ByteLevel", False, False)
 
 
+def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1 .. for sizes[0] places, then those of the next one, and so on."""
+    till = np.cumsum(sizes)
+    return np.repeat(first - (till - sizes), sizes) + np.arange(till[-1] if len(till) else 0, dtype=first.dtype)
+
+
+def _starts(values: pa.StringArray) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file; pieces seen before are not encoded again."""
+    """Ids of texts by a tokenizer file; parts seen before are not encoded again."""
 
     def __init__(self, path: str, end: int, dtype: str, pieces: bool = True):
         from tokenizers import Tokenizer
@@ -116,16 +126,30 @@ class Encoder:
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         self.pieces = pieces and cuts_at_white_space(path)
         self.end = np.array([end], dtype=dtype)
-        # The pieces of late and those before them: what still occurs moves over when the younger half is full.
+        # Parts of late, and those before them: what still occurs moves over when the younger half is full.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.letters: dict[str, bool] = {}
+        if self.pieces:
+            # The id that ends a word.
+            self.ends = np.zeros(1 << 8 * self.dtype.itemsize if self.dtype.itemsize < 4 else self.tokenizer.get_vocab_size(), dtype=bool)
+            suffix = self.tokenizer.model.end_of_word_suffix
+            self.ends[[i for w, i in self.tokenizer.get_vocab().items() if suffix and w.endswith(suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in got]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """As ``_encode`` of words of letters, many to a text, parted where the ids end a word."""
+        got = self.tokenizer.encode_batch_fast([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)], add_special_tokens=False)
+        ids = np.concatenate([self.end[:0], *(np.array(e.ids, dtype=self.dtype) for e in got)])
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+        if len(ends) != len(words) or (len(ends) and ends[-1] != ids.nbytes):
+            return self._encode(words)
+        raw, at = ids.tobytes(), [0, *ends.tolist()]
+        return [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
     def _is_letter(self, c: str) -> bool:
         """Whether a character is letters still after normalising: it can then not join what follows it."""
         if c not in self.letters:
@@ -133,56 +157,65 @@ class Encoder:
             self.letters[c] = c.isalpha() and len(found) == 2 and found[1][0] == "."
         return self.letters[c]
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Pieces of letters and a tail of punctuation share their parts; others are encoded as they are."""
-        parts = self.parts
-        if len(parts) > REMEMBER:
-            parts.clear()
-        cut = []
-        for p in pieces:
-            core = p.rstrip(TAIL)
-            tail = p[len(core) :]
-            if core.isascii():
-                cut.append((core.lower(), tail) if core.isalpha() else (p, ""))
-            else:
-                cut.append((core, tail) if all(map(self._is_letter, core)) else (p, ""))
-        new = list({x for c in cut for x in c if x and x not in parts})
-        for i in range(0, len(new), 4096):
-            parts.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096]), strict=True))
-        parts[""] = b""
-        return [parts[a] + parts[b] for a, b in cut]
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces."""
+    def _ids(self, parts: list[str], words: list[bool]) -> list[bytes]:
+        """Ids of distinct parts; ``words`` tells which are letters only."""
         if len(self.known) > REMEMBER // 2:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
-        for p in pieces:
-            if p not in known and p in before:
-                known[p] = before[p]
-        new = [p for p in pieces if p not in known]
-        known.update(zip(new, self._learn(new), strict=True))
-        return [known[p] for p in pieces]
+        got = [known.get(p) or before.get(p) for p in parts]
+        for which, encode in ((True, self._encode_words), (False, self._encode)):
+            new = [i for i, (x, w) in enumerate(zip(got, words, strict=True)) if x is None and w is which]
+            for i, x in zip(new, encode([parts[i] for i in new]), strict=True):
+                got[i] = x
+        known.update(zip(parts, got, strict=True))
+        return got
+
+    def _table(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after the other, how many each has).
+
+        Pieces of letters and a tail of punctuation share their parts; others are encoded as they are.
+        """
+        cores = pc.utf8_rtrim(pieces, characters=TAIL)
+        clean = pc.ascii_is_alpha(cores).to_numpy(zero_copy_only=False).copy()
+        foreign = np.flatnonzero(~pc.string_is_ascii(cores).to_numpy(zero_copy_only=False))
+        if len(foreign):
+            texts = cores.take(pa.array(foreign)).to_pylist()
+            odd = {c for c in set("".join(texts)) if not self._is_letter(c)}
+            clean[foreign] = np.fromiter((odd.isdisjoint(t) for t in texts), dtype=bool, count=len(texts))
+        start, size = _starts(pieces), np.diff(_starts(cores))
+        length = np.diff(start)
+        core = pc.if_else(pa.array(clean), pc.ascii_lower(cores), pieces).dictionary_encode()
+        tail_size = np.where(clean, length - size, 0)
+        raw = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8)[_spread(start[:-1] + size, tail_size)]
+        edges = np.concatenate([[0], np.cumsum(tail_size)]).astype(np.int32)
+        tail = pa.StringArray.from_buffers(len(pieces), pa.py_buffer(edges), pa.py_buffer(raw)).dictionary_encode()
+        which = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + len(core.dictionary)], axis=1).astype(np.int64)
+        words = np.zeros(len(core.dictionary), dtype=bool)
+        words[which[:, 0]] = clean
+        parts = core.dictionary.to_pylist() + tail.dictionary.to_pylist()
+        values = self._ids(parts, [*words.tolist(), *([False] * len(tail.dictionary))])
+        flat = np.frombuffer(b"".join(values), dtype=self.dtype)
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.dtype.itemsize
+        first = np.cumsum(sizes) - sizes
+        both = sizes[which]
+        return flat[_spread(first[which.ravel()], both.ravel())], both.sum(axis=1)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with the end id; how many each text has)."""
         if not self.pieces:
             got = [np.concatenate([np.frombuffer(x, dtype=self.dtype), self.end]) for x in self._encode(texts.to_pylist())]
-            return np.concatenate(got) if got else self.end[:0], np.array([len(x) for x in got], dtype=np.int64)
+            return np.concatenate([self.end[:0], *got]), np.array([len(x) for x in got], dtype=np.int64)
         split = pc.ascii_split_whitespace(texts)
         named = pc.list_flatten(split).dictionary_encode()
-        values = self._ids(named.dictionary.to_pylist())
-        flat = np.concatenate([np.frombuffer(b"".join(values), dtype=self.dtype), self.end])
-        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.dtype.itemsize
-        first = np.cumsum(sizes) - sizes
+        flat, sizes = self._table(named.dictionary)
+        flat, first = np.concatenate([flat, self.end]), np.cumsum(sizes) - sizes
         # The end id stands behind the last piece of each text, as a piece of its own.
         words = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        which = np.insert(named.indices.to_numpy().astype(np.int64), np.cumsum(words), len(values))
-        first, sizes = np.append(first, len(flat) - 1), np.append(sizes, 1)
+        which = np.insert(named.indices.to_numpy(), np.cumsum(words), len(sizes))
+        first, sizes = np.append(first, len(flat) - 1).astype(np.int32), np.append(sizes, 1).astype(np.int32)
         n = sizes[which]
-        till = np.cumsum(n)
-        ids = flat[np.repeat(first[which] - (till - n), n) + np.arange(till[-1] if len(till) else 0)]
-        return ids, np.diff(till[np.cumsum(words + 1) - 1], prepend=0)
+        till = np.cumsum(n, dtype=np.int64)
+        return flat[_spread(first[which], n)], np.diff(till[np.cumsum(words + 1) - 1], prepend=0)
 
 
 #: Kept by a worker from task to task.
