@@ -4,12 +4,13 @@ Base spans come from fixed patterns per kind (leftmost, non-overlapping; a match
 dropped without another try). The corpus then tells which terms disclose that personal data is near: a
 term's disclosure of a kind is its pointwise mutual information with the kind, as a share of all the
 information there is in the kind (1: the term never occurs but beside it). Terms over the removal
-threshold are removed, those over the lower one are generalised, both only where they stand beside a
-base span; documents without personal data are left alone. A term needs several different values of
-the kind as evidence, so copies of one document prove nothing.
+threshold are removed; those over the lower one are generalised to a broader term of the corpus, one that
+stands beside the same data nearly always and is commoner. Both only where they stand beside a base span;
+documents without personal data are left alone. A term needs several different values of the kind as
+evidence, so copies of one document prove nothing.
 
-Defined results: null texts are empty; equal texts share their verdict; an empty table gives an empty
-result; columns that clash with result names are replaced. Offsets are code points, ends exclusive.
+Defined results: null texts are empty; equal texts get equal verdicts; an empty table gives an empty
+result; columns named as the results are replaced, all others stay. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import let, store, text_key
+from tessella.llm.common import let, store
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -29,26 +30,48 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = "^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 TERM_RE = r"\p{L}{3,}"
 NEAR = 120
-MIN_VALUES, GENERALISE, REMOVE = 3, 0.8, 0.95
+MIN_VALUES, GENERALISE, REMOVE, SUBSUMES = 3, 0.8, 0.95, 0.8
 
 
-def placed(text: Column, pattern: str, ok) -> Column:
-    """[(start, end, m)] of the matches for which ``ok`` holds."""
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+def running(values: Column) -> Column:
+    """Sums of an array's elements up to each one, by doubling steps (a linear pass each)."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    step = lambda t, k: F.transform(t, lambda x, i: x + F.coalesce(F.get(t, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0)))
+    return F.aggregate(steps, values, step)
+
+
+def placed(text: Column, pattern: str, ok, near: int = 0) -> Column:
+    """[(start, end, m)] of the matches for which ``ok`` holds; with ``near`` also the whole words within so many
+    characters ``before`` and ``after`` a match, up to the next match of the pattern."""
+    around = ",before:string,after:string" if near else ""
+    none = F.array().cast(f"array<struct<start:int,end:int,m:string{around}>>")
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
+    def head(gap: Column) -> Column:
+        n = F.char_length(gap)
+        return F.when(n <= near, gap).otherwise(F.regexp_replace(F.substr(gap, n - near + 1), r"^\p{L}+", ""))
+
+    def tail(gap: Column) -> Column:
+        return F.when(F.char_length(gap) <= near, gap).otherwise(F.regexp_replace(F.substr(gap, F.lit(1), F.lit(near)), r"\p{L}+$", ""))
+
     def all_of(m: Column) -> Column:
         good = F.filter(F.transform(m, lambda x, i: F.struct(x.alias("m"), i.alias("i"))), lambda s: ok(s["m"]))
 
         def positions(g: Column) -> Column:
-            gaps = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p))
+            def where(gaps: Column) -> Column:
+                steps = F.transform(gaps, lambda x, i: F.char_length(x) + F.coalesce(F.char_length(F.get(m, i - 1)), F.lit(0)))
+
+                def one(at: Column):
+                    def span(s: Column) -> Column:
+                        start = F.get(at, s["i"])
+                        more = [head(F.get(gaps, s["i"])).alias("before"), tail(F.get(gaps, s["i"] + 1)).alias("after")] if near else []
+                        return F.struct(start.alias("start"), (start + F.char_length(s["m"])).alias("end"), s["m"].alias("m"), *more)
+
+                    return span
 
-            def where(parts: Column) -> Column:
-                lens = F.transform(m, lambda x: F.char_length(x))
-                total = lambda a: F.aggregate(a, F.lit(0), lambda t, x: t + x)
-                return let(lens, lambda ls: F.transform(g, lambda s: let(total(F.slice(parts, F.lit(1), s["i"] + 1)) + total(F.slice(ls, F.lit(1), s["i"])), lambda at: F.struct(at.alias("start"), (at + F.char_length(s["m"])).alias("end"), s["m"].alias("m")))))
+                return let(running(steps), lambda at: F.transform(g, one(at)))
 
-            return F.when(F.size(g) == 0, none).otherwise(let(gaps, where))
+            return F.when(F.size(g) == 0, none).otherwise(let(F.split(text, pattern, -1), where))
 
         return let(good, positions)
 
@@ -74,12 +97,8 @@ def of_kind(k: int):
     return lambda s: s["k"] == k
 
 
-def _marked(k: int):
-    return lambda s: F.struct(F.lit(k).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"))
-
-
-def base_spans(text: Column) -> Column:
-    """[(k, start, end, m)] by kind, then start; ``k`` counts in the order of KINDS."""
+def base_spans(text: Column, near: int = 0) -> Column:
+    """[(k, start, end, m)] by kind, then start; ``k`` counts in the order of KINDS. ``near`` as in ``placed``."""
     yes = lambda m: F.lit(True)
     n = lambda m: F.char_length(_digits(m))
     rules = (
@@ -88,72 +107,100 @@ def base_spans(text: Column) -> Column:
         (text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), CARD, lambda m: n(m).between(16, 19) & _luhn(m)),
         (text.contains("+"), PHONE, lambda m: n(m).between(8, 15)),
     )
-    none = F.array().cast("array<struct<k:int,start:int,end:int,m:string>>")
-    parts = [
-        F.when(may, F.transform(placed(text, p, ok), _marked(k))).otherwise(none)
-        for k, (may, p, ok) in enumerate(rules)
-    ]
+    fields = ("start", "end", "m", *(("before", "after") if near else ()))
+    none = F.array().cast(f"array<struct<k:int,start:int,end:int,m:string{',before:string,after:string' if near else ''}>>")
+    mark = lambda k: lambda s: F.struct(F.lit(k).alias("k"), *(s[f].alias(f) for f in fields))
+    parts = [F.when(may, F.transform(placed(text, p, ok, near), mark(k))).otherwise(none) for k, (may, p, ok) in enumerate(rules)]
     return F.concat(*parts)
 
 
-def _near_terms(text: Column, spans: Column, near: int) -> Column:
-    """[(k, value, term, start, end)] of the whole terms within ``near`` characters of each span."""
+NEAR_TERMS = "array<struct<k:int,value:bigint,term:string,start:int,end:int>>"
+
+
+def _near_terms(spans: Column) -> Column:
+    """[(k, value, term, start, end)] of the terms beside each span."""
 
     def around(s: Column) -> Column:
-        first = F.greatest(s["start"] - near, F.lit(0))
-        before = F.substr(text, first + 1, s["start"] - first)
-        cut_head = F.when(first > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-        after = F.substr(text, s["end"] + 1, F.lit(near))
-        cut_tail = F.when(F.char_length(after) == near, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
         yes = lambda m: F.lit(True)
         mark = lambda off: lambda t: F.struct(s["k"].alias("k"), F.xxhash64(s["m"]).alias("value"), F.lower(t["m"]).alias("term"), (t["start"] + off).alias("start"), (t["end"] + off).alias("end"))
-        left = F.transform(placed(cut_head, TERM_RE, yes), mark(s["start"] - F.char_length(cut_head)))
-        return F.concat(left, F.transform(placed(cut_tail, TERM_RE, yes), mark(s["end"])))
+        left = F.transform(placed(s["before"], TERM_RE, yes), mark(s["start"] - F.char_length(s["before"])))
+        return F.concat(left, F.transform(placed(s["after"], TERM_RE, yes), mark(s["end"])))
 
-    return F.array_distinct(F.flatten(F.transform(spans, around)))
+    return F.flatten(F.transform(spans, around))
 
 
 def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM_RE), F.lit(0)))
 
 
+def _beside(found: DataFrame) -> DataFrame:
+    """(id, k, value, term, start, end) of the terms beside personal data, for each span they stand beside."""
+    return found.where(F.size("near") > 0).select("id", F.explode("near").alias("n")).select("id", "n.*")
+
+
 def disclosure(docs: DataFrame, found: DataFrame, text: str, min_values: int = MIN_VALUES) -> DataFrame:
-    """(k, term, share): what part of the kind's information each well-evidenced term gives away.
+    """(k, term, share, n_near, n_docs): what part of the kind's information each well-evidenced term gives away.
 
-    ``found`` has __spans and __near (of ``find``). Only the terms beside personal data are counted in the
-    whole corpus; which join counts them is left to Spark, by their size.
+    ``found`` has id, spans and near (of ``_scan``). Terms are counted in all documents before anything is
+    joined, so a shuffle holds a term once per task that met it, however often the term occurs.
     """
-    near = found.where(F.size("__near") > 0).select(F.monotonically_increasing_id().alias("row"), F.explode("__near").alias("n")).select("row", "n.*")
-    beside = near.groupBy("k", "term").agg(F.count_distinct("value").alias("values"), F.count_distinct("row").alias("n_near")).where(F.col("values") >= min_values)
-    beside = store(beside, "beside")
+    each = _beside(found)
+    values = each.groupBy("k", "term", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("k", "term").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= min_values)
+    terms = F.array_distinct(F.transform("near", lambda s: F.concat_ws(":", s["k"].cast("string"), s["term"])))
+    rows = found.where(F.size("near") > 0).select(F.explode(terms).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_near"))
+    rows = rows.select(F.substring_index("t", ":", 1).cast("int").alias("k"), F.substring_index("t", ":", -1).alias("term"), "n_near")
+    beside = values.join(rows, ["k", "term"])
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    words = docs.select(F.explode(terms_of(body)).alias("term"))
-    within = words.join(beside.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
-    kinds = found.select(F.size("__spans").alias("any"), *(F.exists("__spans", of_kind(k)).cast("int").alias(f"k{k}") for k in range(len(KINDS))))
+    within = docs.select(F.explode(terms_of(body)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+    kinds = found.select(*(F.exists("spans", of_kind(k)).cast("int").alias(f"k{k}") for k in range(len(KINDS))))
     counts = kinds.agg(F.count(F.lit(1)).alias("all"), *(F.sum(f"k{k}").alias(f"k{k}") for k in range(len(KINDS))))
     rates = counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col(f"k{k}") / F.nullif(F.col("all"), F.lit(0))).alias("p")) for k in range(len(KINDS))))).alias("r")).select("r.*")
     rates = rates.where((F.col("p") > 0) & (F.col("p") < 1))
     joined = beside.join(within, "term").join(F.broadcast(rates), "k")  # four rows at most
     given = F.least(F.lit(1.0), F.col("n_near") / F.col("n_docs"))
-    return joined.select("k", "term", (F.log2(given / F.col("p")) / -F.log2("p")).alias("share"))
+    return joined.select("k", "term", (F.log2(given / F.col("p")) / -F.log2("p")).alias("share"), "n_near", "n_docs")
+
+
+def broader(found: DataFrame, shares: DataFrame, generalise: float, remove: float, subsumes: float = SUBSUMES) -> DataFrame:
+    """(k, term, by) for terms to generalise: the most common harmless term that stands beside the same
+    data in at least ``subsumes`` of the documents and is commoner than the term itself."""
+    low = shares.where((F.col("share") >= generalise) & (F.col("share") < remove)).select("k", "term", F.col("n_near").alias("n"), F.col("n_docs").alias("own_docs"))
+    harmless = shares.where(F.col("share") < generalise).select("k", F.col("term").alias("by"), F.col("n_docs").alias("by_docs"))
+    each = _beside(found).select("id", "k", "value", "term")
+    # A window holds few terms, so the pairs of one window are few.
+    pairs = each.join(low.select("k", "term"), ["k", "term"]).join(each.withColumnRenamed("term", "by"), ["id", "k", "value"]).where(F.col("by") != F.col("term"))
+    both = pairs.select("k", "term", "by", "id").distinct().groupBy("k", "term", "by").agg(F.count(F.lit(1)).alias("both"))
+    fit = both.join(low, ["k", "term"]).join(harmless, ["k", "by"]).where((F.col("both") >= F.col("n") * subsumes) & (F.col("by_docs") > F.col("own_docs")))
+    best = F.min(F.struct((-F.col("by_docs")).alias("d"), F.col("by").alias("by")))
+    return fit.groupBy("k", "term").agg(best.alias("b")).select("k", "term", F.col("b.by").alias("by"))
+
+
+SPANS, TERMS = "array<struct<k:int,start:int,end:int,m:string>>", "array<struct<start:int,end:int,action:string,by:string>>"
+
+
+def _judged(docs: DataFrame, own: list[str], text: str, near: int, min_values: int, generalise: float, remove: float) -> DataFrame:
+    """(row, base, terms): ``row`` holds the columns ``own``, so no name of theirs meets one of ours."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    keep = F.struct(*(F.col(f"`{c}`") for c in own)) if own else F.lit(0)
+    plain = F.transform("s", lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m")))
+    terms = F.when(F.size("s") == 0, F.array().cast(NEAR_TERMS)).otherwise(_near_terms(F.col("s")))
+    spanned = docs.select(keep.alias("row"), base_spans(body, near).alias("s"))
+    found = store(spanned.select(F.monotonically_increasing_id().alias("id"), "row", plain.cast(SPANS).alias("spans"), terms.alias("near")), "spans")
+    shares = store(disclosure(docs, found, text, min_values), "shares")
+    strict = shares.where(F.col("share") >= generalise).select("k", "term", F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
+    strict = store(strict.join(broader(found, shares, generalise, remove), ["k", "term"], "left"), "terms")
+    # By row, not by text: copies of one text do not meet in one task.
+    marks = _beside(found).select("id", "k", "term", "start", "end").join(strict, ["k", "term"])
+    marks = marks.groupBy("id", "start", "end").agg(F.max(F.struct("action", "by")).alias("a"))
+    marks = marks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "a.action", "a.by"))).alias("terms"))
+    return found.join(marks, "id", "left").select("row", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast(TERMS)).alias("terms"))
 
 
 def find(docs: DataFrame, text: str = "text", near: int = NEAR, min_values: int = MIN_VALUES, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` without its text, with ``base`` and ``terms``: arrays of spans sorted by kind and start."""
-    own = docs.drop(*(c for c in ("base", "terms") if c in docs.columns and c != text))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rest = [F.col(f"`{c}`") for c in own.columns if c != text]
-    spanned = own.select(*rest, text_key(body).alias("__key"), body.alias("__t"), base_spans(body).alias("__spans"))
-    near_terms = F.when(F.size("__spans") == 0, F.array().cast("array<struct<k:int,value:bigint,term:string,start:int,end:int>>")).otherwise(_near_terms(F.col("__t"), F.col("__spans"), near))
-    found = store(spanned.select(*rest, "__key", "__spans", near_terms.alias("__near")), "spans")
-    shares = disclosure(docs, found, text, min_values).where(F.col("share") >= generalise)
-    action = F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    strict = store(shares.groupBy("k", "term").agg(F.max("share").alias("share")).select("k", "term", action.alias("action")), "terms")
-    at = found.where(F.size("__near") > 0).select("__key", F.explode("__near").alias("n")).select("__key", "n.*").distinct()
-    marks = at.join(strict, ["k", "term"]).groupBy("__key", "start", "end").agg(F.max("action").alias("action"))
-    marks = marks.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    out = found.join(marks, "__key", "left")
-    return out.select(*rest, "__key", F.col("__spans").alias("base"), F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("terms"))
+    own = [c for c in docs.columns if c not in ("base", "terms", text)]
+    out = _judged(docs, own, text, near, min_values, generalise, remove)
+    return out.select(*(F.col("row")[c].alias(c) for c in own), "base", "terms")
 
 
 def joined(spans: Column, terms: Column | None = None) -> Column:
@@ -166,11 +213,12 @@ def joined(spans: Column, terms: Column | None = None) -> Column:
 
 
 def redact(text: Column, spans: Column, terms: Column) -> Column:
-    """The text with spans replaced by their kind, terms generalised to [TERM] or removed; of overlapping spans the first counts."""
+    """The text with spans replaced by their kind, terms by a broader one ([TERM] where there is none) or by nothing;
+    of overlapping spans the first counts."""
     kind = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     every = F.concat(
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(kind, s["k"]).alias("by"))),
-        F.transform(terms, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("by"))),
+        F.transform(terms, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise(F.coalesce(s["by"], F.lit("[TERM]"))).alias("by"))),
     )
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -181,9 +229,8 @@ def redact(text: Column, spans: Column, terms: Column) -> Column:
     return F.aggregate(F.sort_array(every), zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
 
 
-def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", near: int = NEAR, min_values: int = MIN_VALUES, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with the text sanitised."""
-    verdicts = find(docs.select(F.col(f"`{text}`").alias("t")), "t", **options).dropDuplicates(["__key"])
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keyed = docs.withColumn("__key", text_key(body)).join(verdicts, "__key")
-    return keyed.withColumn(text, redact(F.col(f"`{text}`"), F.col("base"), F.col("terms"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = _judged(docs, docs.columns, text, near, min_values, generalise, remove)
+    clean = redact(F.col("row")[text], F.col("base"), F.col("terms"))
+    return out.select(*((clean if c == text else F.col("row")[c]).alias(c) for c in docs.columns))
