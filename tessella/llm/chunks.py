@@ -12,11 +12,12 @@ that occur at least twice. Keys travel as sorted, differenced and compressed arr
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import store
@@ -188,6 +189,25 @@ def read_body(body: bytes) -> tuple[pa.Array, list[bytes]]:
     return t.column("key").combine_chunks(), t.column("text").to_pylist()
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, so that only one chunk is open at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows that hold whole chunks reach Python a few at a time (set while the jobs inside run)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, str(8 << 20))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def total_bytes(chunks: DataFrame) -> int:
     return chunks.agg(F.sum("n_bytes")).first()[0] or 0
 

@@ -15,8 +15,14 @@ How it is spread out:
   group of m near copies costs m comparisons. The first leader is the document with the fewest shingles of
   its own (the text that others were made from), later ones follow a hash. Tokens whose documents are in one
   component are done. Rounds end when few pairs from different components are left, or when they no longer
-  help; then all pairs left are compared. Every pair that could connect two components is thus compared,
-  and no link that matters for components is lost.
+  help.
+* What is left are documents of one token just under the threshold, such as copies with many edits each. They are
+  compared by their differences from a common leader L (``_difference_pairs``): two sets share
+  |L| - missing_x - missing_y + (differences that both have), so a link asks for so many common differences. Edits of
+  different places have none, so most documents drop out alone, and no pair of them is ever made. Documents far from
+  a token's leader get another one in the next round; the few that never meet are compared in all pairs.
+
+Every pair that could connect two components is thus compared, and no link that matters for components is lost.
 
 Defined results: texts without words have no shingles and link with nothing; shorter texts than a shingle
 are one shingle; rows with a null id get their shingle count and no component; repeated rows are
@@ -26,6 +32,7 @@ equal sets; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +47,8 @@ WORDS, PERCENT = 5, 80
 COMPARE, MOST_MATCHES = 20, 8
 #: Most rounds with leaders; and pairs per posting left that are worth no further round.
 ROUNDS, FEW = 12, 2
+#: Documents of a token that are simply compared in pairs; bands of weight per leader's size; rounds of differences.
+PAIRED, BANDS, DIFFERENCES = 8, 25, 8
 
 
 def token_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -74,6 +83,15 @@ OUT = "id long, n long, a long, b long, ell int, own int, prefix array<long>, to
 ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("ell", pa.int32()), ("own", pa.int32()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
 
+#: Shingles of documents that leave a worker at a time.
+HELD = 1 << 18
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(ARROW)
+    return pa.record_batch([pa.array([x.as_py() for x in columns[0]], pa.int64()), *(pa.array(list(c), f.type) for c, f in zip(columns[1:], list(ARROW)[1:], strict=True))], schema=ARROW)
+
+
 def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, chunk_bytes: int) -> DataFrame:
     """Every document with its set's size; those that may link also with prefix and tokens."""
     table = C.chunk_table(docs, key, text, chunk_bytes)
@@ -83,40 +101,39 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, chu
     drop = C.U(max(0, 64 - (max(1, volume).bit_length() + 15)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sets = token_sets(C.read_body(row["body"])[1], size)
-                keys, counts = np.unique(np.concatenate([np.zeros(0, dtype=C.U), *sets]) >> drop, return_counts=True)
-                yield C.to_batch(C.deal(row["chunk"], keys << drop, keys[:0], buckets, counts), C.SENT_ARROW)
+        for row in C.rows_of(batches):
+            sets = token_sets(C.read_body(row["body"])[1], size)
+            keys, counts = np.unique(np.concatenate([np.zeros(0, dtype=C.U), *sets]) >> drop, return_counts=True)
+            yield C.to_batch(C.deal(row["chunk"], keys << drop, keys[:0], buckets, counts), C.SENT_ARROW)
 
-    replies = store(C.counted(table.mapInArrow(send, C.SENT)), "frequencies")
+    with C.small_batches(docs.sparkSession):
+        replies = store(C.counted(table.mapInArrow(send, C.SENT)), "frequencies")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, dtype=C.U)
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, texts = C.read_body(row["body"])
-                sets = token_sets(texts, size)
-                got = [C.unpack(r["keys"]) for r in row["replies"] or []]
-                often = np.concatenate([none, *got])
-                times = np.concatenate([np.zeros(0, dtype=np.uint32), *(C.reply_counts(r["counts"], len(g)) for r, g in zip(row["replies"] or [], got, strict=True))])
-                lengths = np.array([len(s) for s in sets], dtype=np.int64)
-                flat = np.concatenate([none, *sets])
-                cutoff = np.concatenate([[0], np.cumsum(lengths)])
-                freq = np.ones(len(flat), dtype=np.int64)
-                if len(often):
-                    short = (flat >> drop) << drop
-                    i = np.minimum(np.searchsorted(often, short), len(often) - 1)
-                    hit = often[i] == short
-                    freq[hit] = times[i[hit]]
-                unique = np.concatenate([[0], np.cumsum(freq == 1)])
-                out = []
-                for n, tokens in enumerate(sets):
-                    size_n, i, j = len(tokens), cutoff[n], cutoff[n + 1]
-                    need = _need(size_n, percent)
-                    if not size_n or unique[j] - unique[i] > size_n - need:
-                        out.append((size_n, None, None, None, None, None, None))
-                        continue
+        for row in C.rows_of(batches):
+            ids, texts = C.read_body(row["body"])
+            sets = token_sets(texts, size)
+            got = [C.unpack(r["keys"]) for r in row["replies"] or []]
+            often = np.concatenate([none, *got])
+            times = np.concatenate([np.zeros(0, dtype=np.uint32), *(C.reply_counts(r["counts"], len(g)) for r, g in zip(row["replies"] or [], got, strict=True))])
+            lengths = np.array([len(s) for s in sets], dtype=np.int64)
+            flat = np.concatenate([none, *sets])
+            cutoff = np.concatenate([[0], np.cumsum(lengths)])
+            freq = np.ones(len(flat), dtype=np.int64)
+            if len(often):
+                short = (flat >> drop) << drop
+                i = np.minimum(np.searchsorted(often, short), len(often) - 1)
+                hit = often[i] == short
+                freq[hit] = times[i[hit]]
+            unique = np.concatenate([[0], np.cumsum(freq == 1)])
+            out, held = [], 0
+            for n, tokens in enumerate(sets):
+                size_n, i, j = len(tokens), cutoff[n], cutoff[n + 1]
+                need = _need(size_n, percent)
+                if not size_n or unique[j] - unique[i] > size_n - need:
+                    out.append((ids[n], size_n, None, None, None, None, None, None))
+                else:
                     order = np.lexsort((tokens, freq[i:j]))
                     sizes = freq[i:j][order]
                     ell = choose_prefix(sizes, need)
@@ -124,12 +141,16 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, chu
                     with np.errstate(over="ignore"):
                         spread = np.arange(1, 2 * size_n, 2, dtype=C.U)
                         a, b = (tokens * spread).sum(dtype=C.U), C.mixed(tokens ^ C.U(C.SILVER)).sum(dtype=C.U)
-                    out.append((size_n, a.view(np.int64).item(), b.view(np.int64).item(), ell, int(unique[j] - unique[i]), tokens[order[:stop][sizes[:stop] > 1]].view(np.int64), tokens.view(np.int64)))
-                rest = list(zip(*out, strict=True)) or [[]] * 7
-                yield pa.record_batch([ids, *(pa.array(list(c), f.type) for c, f in zip(rest, list(ARROW)[1:], strict=True))], schema=ARROW)
+                    out.append((ids[n], size_n, a.view(np.int64).item(), b.view(np.int64).item(), ell, int(unique[j] - unique[i]), tokens[order[:stop][sizes[:stop] > 1]].view(np.int64), tokens.view(np.int64)))
+                    held += size_n
+                if held > HELD:
+                    yield _batch(out)
+                    out, held = [], 0
+            yield _batch(out)
 
     joined = table.join(replies, "chunk", "left").select("chunk", "body", "replies")
-    out = store(joined.mapInArrow(cut, OUT), "prefixes")
+    with C.small_batches(docs.sparkSession):
+        out = store(joined.mapInArrow(cut, OUT), "prefixes")
     drop_stored(table)
     drop_stored(replies)
     return out
@@ -212,7 +233,104 @@ def _meet_leaders(placed: DataFrame, sets: DataFrame, r: int, percent: int) -> D
     return store(_verified(best, sets, percent), "links")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES, rounds: int = ROUNDS) -> DataFrame:
+def _by_size(left: DataFrame, paired: int) -> tuple[DataFrame, DataFrame]:
+    """Postings of tokens with at most ``paired`` documents, and those of all others."""
+    many = store(left.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > paired).select("token"), "many")
+    return left.join(many, "token", "left_anti"), left.join(many, "token", "left_semi")
+
+
+def _pairs(few: DataFrame, total: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of documents of one token that can link; ``total`` (node, total): open tokens of each node."""
+    # Besides those counted here, a pair shares no more tokens than either has elsewhere.
+    rest = few.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(total, "node").select("node", (F.col("total") - F.col("c")).alias("rest"))
+    few = few.join(rest, "node")
+    x, y = (few.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "own", "ell", "rest"))) for s in "xy")
+    met = x.join(y, "token").where((F.col("comp_x") < F.col("comp_y")) & _alike(("n_x", "own_x"), ("n_y", "own_y"), percent))
+    shared = met.groupBy("node_x", "node_y").agg(F.count(F.lit(1)).alias("shared"), *(F.first(c).alias(c) for c in ("n_x", "ell_x", "rest_x", "n_y", "ell_y", "rest_y")))
+    may = shared.where(_enough(("n_x", "ell_x"), ("n_y", "ell_y"), percent, F.col("shared") + F.least("rest_x", "rest_y")))
+    return may.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+
+def _stars(big: DataFrame, sets: DataFrame, r: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(token and leader of each posting, members of each leader).
+
+    A member has its differences from its leader: shingles it misses and others it has more (``diff``), and its
+    ``weight`` u = percent * size + (100 + percent) * missing, so that x and y link if and only if they have at least
+    (u_x + u_y - k) / (100 + percent) differences in common, with k = (100 + percent) * |L|.
+    """
+    rank = F.min(F.struct(F.col("own") if r == 0 else F.lit(0), F.xxhash64(F.lit(r), "node").alias("h"), F.col("node").alias("lead")))
+    leaders = big.groupBy("token").agg(rank.alias("r")).select("token", "r.lead")
+    posted = store(big.join(leaders, "token").select("token", "node", "lead"), "posted")
+    pairs = posted.select("lead", "node").distinct()
+    t = sets.select("node", "n", F.col("tokens").alias("t"))
+    both = pairs.join(t, "node").join(t.select(F.col("node").alias("lead"), F.col("n").alias("m"), F.col("t").alias("l")), "lead")
+    both = both.select("lead", "node", "n", "m", F.array_except("l", "t").alias("missing"), F.array_except("t", "l").alias("more"))
+    k, gone = 100 + percent, F.size("missing").cast("long")
+    either = F.col("m") + F.size("more")
+    alike, linked = (F.col("m") - gone) / either, (F.col("m") - gone) * 100 >= either * percent
+    u = F.col("n") * percent + gone * k
+    band = F.floor((u * 2 - F.col("m") * k) * BANDS / (F.col("m") * 200)).cast("int")
+    return posted, store(both.select("lead", "node", "n", "m", alike.alias("alike"), linked.alias("linked"), u.alias("u"), band.alias("band"), F.concat("missing", "more").alias("diff")), "stars")
+
+
+def _difference_pairs(stars: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one leader that can link, found by the differences they have in common.
+
+    Prefix filter again: of two sets of differences that share at least s, the first size - s + 1 of each, rare ones first,
+    have one in common. How many a member must share depends on the other's weight, so members of a leader are dealt into
+    bands of weight, and a member shows each band the prefix that its lightest members ask for. Differences that nobody
+    else has come first and match nobody.
+    """
+    k = F.lit(100 + percent)
+    # A linked pair is within 1 - percent of each other, so one of them within half of the leader is enough.
+    members = stars.where(F.col("alike") >= 0.5 - (1 - percent / 100)).join(nodes, "node")
+    token = members.select("lead", "node", F.explode("diff").alias("d"))
+    counts = token.groupBy("lead", "d").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1)
+    shared = token.join(counts, ["lead", "d"]).groupBy("lead", "node").agg(F.sort_array(F.collect_list(F.struct("f", "d"))).alias("s"))
+    bands = members.groupBy("lead").agg(F.collect_set("band").alias("bands"))
+    each = members.join(shared, ["lead", "node"]).join(bands, "lead")
+    each = each.select("lead", "node", "comp", "band", F.size("diff").alias("n_diff"), "s", "u", "m", F.explode("bands").alias("other"))
+    lightest = F.col("other") * F.col("m") * 200 / BANDS / 2 + F.col("m") * k / 2
+    asked = F.greatest(F.lit(1), F.ceil((F.col("u") + lightest - F.col("m") * k) / k - 1e-6))
+    # Of the first n_diff - asked + 1, all that nobody else has come before the shared ones.
+    shown = F.col("n_diff") - asked + 1 - (F.col("n_diff") - F.size("s"))
+    each = each.withColumn("shown", shown.cast("int")).where(F.col("shown") > 0)
+    each = each.withColumn("low", F.least("band", "other")).withColumn("high", F.greatest("band", "other"))
+    each = store(each.select("lead", "node", "comp", "band", "other", "low", "high", F.transform(F.slice("s", F.lit(1), F.col("shown")), lambda x: x["d"]).alias("d")), "shown")
+    answers = each.select("lead", F.col("other").alias("band"), F.col("band").alias("other")).distinct()
+    shown = each.join(answers, ["lead", "band", "other"], "left_semi").select("lead", "low", "high", "band", "node", "comp", F.explode("d").alias("d"))
+    x, y = (shown.select("lead", "low", "high", "d", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "node", "comp"))) for s in "xy")
+    apart = (F.col("low") == F.col("high")) | (F.col("band_x") != F.col("band_y"))
+    met = x.join(y, ["lead", "low", "high", "d"]).where((F.col("comp_x") < F.col("comp_y")) & apart)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def _last_links(left: DataFrame, sets: DataFrame, percent: int, paired: int = PAIRED, rounds: int = DIFFERENCES) -> DataFrame:
+    """Links between the documents of the tokens that are left, as far as components need them.
+
+    Members of a leader whose weights alone make them link need no common difference; both then link with the leader.
+    """
+    nodes = store(left.select("node", "comp").distinct(), "left")
+    total = store(left.groupBy("node").agg(F.count(F.lit(1)).alias("total")), "total")
+    pairs, links = [], []
+    for r in range(rounds):
+        few, big = _by_size(left, paired)
+        pairs.append(_pairs(few, total, percent))
+        if not big.limit(1).count():
+            break
+        posted, stars = _stars(big, sets, r, percent)
+        links.append(stars.where(F.col("linked") & (F.col("node") != F.col("lead"))).select(F.col("node").alias("a"), F.col("lead").alias("b")))
+        pairs.append(_difference_pairs(stars, nodes, percent))
+        # What is within half of a token's leader has met all that it can link with.
+        done = posted.join(stars.where(F.col("alike") >= 0.5).select("lead", "node"), ["lead", "node"], "left_semi").select("token", "node")
+        left = store(big.join(done, ["token", "node"], "left_anti"), "far")
+    else:
+        pairs.append(_pairs(left, total, percent))
+    every = store(reduce(DataFrame.unionByName, pairs).distinct(), "pairs")
+    return reduce(DataFrame.unionByName, [_verified(every, sets, percent), *links]).distinct()
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES, rounds: int = ROUNDS, paired: int = PAIRED) -> DataFrame:
     """(id, n, component) of every document: the size of its set and the smallest id that links reach."""
     all_docs = _prefixes(docs, key, text, size, percent, chunk_bytes)
     may = all_docs.where(F.col("a").isNotNull() & F.col("id").isNotNull())
@@ -234,14 +352,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = W
         if r and pairs > 0.9 * before:
             break
 
-    # No pair shares more tokens than either has left.
-    left = left.join(left.groupBy("node").agg(F.count(F.lit(1)).alias("c")), "node")
-    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "own", "ell", "c"))) for s in "xy")
-    may = _alike(("n_x", "own_x"), ("n_y", "own_y"), percent) & _enough(("n_x", "ell_x"), ("n_y", "ell_y"), percent, F.least("c_x", "c_y"))
-    met = x.join(y, "token").where((F.col("comp_x") < F.col("comp_y")) & may)
-    shared = met.groupBy("node_x", "node_y").agg(F.count(F.lit(1)).alias("shared"), *(F.first(c).alias(c) for c in ("n_x", "ell_x", "n_y", "ell_y")))
-    rest = shared.where(_enough(("n_x", "ell_x"), ("n_y", "ell_y"), percent, F.col("shared"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-    links = store(_verified(rest, sets, percent), "links")
+    links = store(_last_links(left, sets, percent, paired), "links")
     nodes = store(components(nodes, links), "nodes")
 
     named = classes.join(nodes, "node").select("a", "b", "comp")
@@ -250,13 +361,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = W
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id. Rows without an id stay."""
+    """``docs`` with one document of each component: that of the smallest id. Rows without an id stay; of rows of
+    one id one stays. Columns of any name are carried along in a struct, so none meets a name of ours."""
     found = store(join(docs, key, text, **options), "components")
-    k = F.col(f"`{key}`").cast("long")
     losers = store(found.where(F.col("id") != F.col("component")).select("id").distinct(), "losers")
-    kept = docs.join(losers, k == F.col("id"), "left_anti")
+    k = F.col(f"`{key}`").cast("long")
+    rows = docs.select(k.alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.join(losers, "id", "left_anti")
     doubled = store(found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).select("id"), "doubled")
-    if not doubled.limit(1).count():
-        return kept
-    once = kept.join(doubled, k == F.col("id"), "left_semi").dropDuplicates([key])
-    return kept.join(doubled, k == F.col("id"), "left_anti").unionByName(once)
+    if doubled.limit(1).count():
+        once = kept.join(doubled, "id", "left_semi").dropDuplicates(["id"])
+        kept = kept.join(doubled, "id", "left_anti").unionByName(once)
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

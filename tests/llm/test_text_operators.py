@@ -45,6 +45,43 @@ def test_ngram_join_null_ids_and_rounds(spark):
         assert got == [(-1, 46, -1), (3, 46, 3), (5, 46, 3), (9, 47, 3)]
 
 
+def _edited(r, base, edits, vocab=100_000):
+    """A copy with words replaced, added or left out at random places."""
+    words = list(base)
+    for _ in range(edits):
+        i = r.randrange(len(words))
+        words[i : i + r.choice([1, 1, 0, 1])] = [f"e{r.randrange(vocab)}"] * r.choice([1, 1, 1, 0])
+    return words
+
+
+@pytest.mark.parametrize("vocab, paired, rounds", [(100_000, 8, 12), (100_000, 2, 0), (3, 2, 12), (3, 2, 0)])
+def test_ngram_join_of_copies_around_the_threshold(spark, vocab, paired, rounds):
+    """Copies with one to nine edits, copies of copies, and texts that share a passage only."""
+    import random
+
+    r = random.Random(vocab + paired)
+    texts = []
+    for _ in range(2):
+        base = [f"b{r.randrange(10**6)}" for _ in range(100)]
+        for _ in range(60):
+            copy = _edited(r, base, r.randrange(1, 6), vocab)
+            texts.append(copy)
+            texts += [_edited(r, copy, r.randrange(1, 5), vocab) for _ in range(r.randrange(3))]
+        texts += [base[:70] + [f"c{r.randrange(10**6)}" for _ in range(r.randrange(5, 30))] for _ in range(30)]
+    r.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {x.id: (x.n, x.component) for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), paired=paired, rounds=rounds).collect()}
+    want = brute.op1(rows)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
+def test_deduplicate_carries_any_column(spark):
+    rows = [(2, "a b c d e f", 7, "x", None), (1, "a b c d e f", 8, "y", 2), (None, "a b c d e f", 9, "z", 3), (5, None, 1, None, 4), (5, None, 1, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long, component string, node long")
+    got = sorted(map(tuple, ngram_join.deduplicate(docs).collect()), key=str)
+    assert got == sorted([rows[1], rows[2], rows[3]], key=str)
+
+
 def test_deduplicate(docs, rows):
     want = brute.op1([(r[0], r[1]) for r in {r[0]: r for r in rows}.values()])
     got = sorted(r.doc_id for r in ngram_join.deduplicate(docs).collect())
@@ -97,6 +134,35 @@ def test_pii_base(docs, rows, no_docs):
     assert pii.find(no_docs.select("doc_id", "text")).count() == 0
 
 
+def test_pii_query(spark, tmp_path, rows):
+    """All columns of the registered query; base spans among all spans; clashing columns and long lists of matches."""
+    from tessella.llm import queries
+
+    texts = [(i, r[1], "k", 1) for i, r in enumerate(rows)]
+    texts.append((900, " ".join(f"write to u{n}@mail.example.com or 10.0.{n % 300}.1, +49 30 {1000000 + n}" for n in range(5000)), "k", 2))
+    spark.createDataFrame(texts, "doc_id long, text string, __t string, __key long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op7_pii(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t, *_ in texts:
+        (e, ip, c, p, sha), spans = brute.op7(t)
+        r = got[i]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == (e, ip, c, p, sha)
+        assert ",".join(x for x in r.spans.split(",") if not x.startswith("term")) == ",".join(spans)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert {"__t", "__key"} <= set(pii.find(docs).columns)
+    assert sorted(pii.sanitise(docs).columns) == sorted(docs.columns)
+
+
+def test_pii_generalises_to_a_broader_term(spark):
+    """A word that is mostly beside addresses is replaced by the commoner one that always stands with it there."""
+    rows = [(i, f"contact Wendelin at u{i}@mail.example.com") for i in range(40)]
+    rows += [(100 + i, "contact us") for i in range(400)] + [(600 + i, "Wendelin said so") for i in range(12)] + [(700 + i, "at home") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    (term,) = pii.find(docs).where("doc_id = 3").first().terms
+    assert (term.action, term.by) == ("generalise", "contact")
+    assert pii.sanitise(docs).where("doc_id = 3").first().text == "contact contact at [EMAIL]"
+
+
 def test_pii_terms_and_redaction(spark):
     """A name that stands only beside addresses gives them away; a word found everywhere doesn't."""
     rows = [(i, f"please write to Zebulon at u{i}@mail.example.com about it") for i in range(6)]
