@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +17,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Only a local master, whose executors share the
+    machine, gets one of its own where the setting is absent."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host of its file system: a bare one belongs to the cluster's default."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}/{label}"
 
@@ -49,6 +59,16 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def carried(docs: DataFrame, without: Iterable[str] = ()) -> tuple[list[str], Column]:
+    """(names, one struct ``row``) of the columns that pass through an operator: names of theirs never meet its own."""
+    names = [c for c in docs.columns if c not in set(without)]
+    return names, F.struct(*(F.col(f"`{c}`") for c in names), *([] if names else [F.lit(0).alias("none")])).alias("row")
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col("row")[c].alias(c) for c in names]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value`` evaluated once, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import drop_stored, new_path, store
+from tessella.llm.common import drop_stored, new_path, qualified, store
 
 MAGIC = b"TSLTOK1\0"
 HEAD = struct.Struct("<IQQQ")
@@ -399,7 +399,7 @@ def read_files(spark: SparkSession, path: str, manifest: DataFrame, each=None, s
 
 def encode(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", path: str | None = None, pieces: bool = True) -> tuple[str, DataFrame]:
     """Write ``docs`` as token files; (their folder, their manifest)."""
-    path = path or new_path(docs.sparkSession, "tokens")
+    path = qualified(docs.sparkSession, path or new_path(docs.sparkSession, "tokens"))
     dtype = width(tokenizer, end)
     tokens = tokenize(docs, key, text, tokenizer, end, dtype, pieces)
     manifest = write_files(tokens, path, rank_table(tokens, dtype), dtype)

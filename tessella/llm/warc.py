@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import new_path, store
+from tessella.llm.common import new_path, qualified, store
 from tessella.llm.token_ids import get, put
 
 SEGMENT, CHUNK, REVISIT_FROM = 16 << 10, 4 << 10, 100
@@ -213,5 +213,5 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> tuple[str, DataFrame]:
-    path = path or new_path(pages.sparkSession, "warc")
+    path = qualified(pages.sparkSession, path or new_path(pages.sparkSession, "warc"))
     return path, write(pages, path, **options)
