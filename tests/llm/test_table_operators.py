@@ -82,14 +82,66 @@ def test_mixed_rows(docs):
 
 @pytest.mark.parametrize("shards", [1, 3, 8])
 def test_split_tree_is_disjoint_and_even(spark, shards):
-    rows = [(k, b, 1, 100, b + 1, "whole" if b < 5 else "none", None) for k in range(3) for b in range(10 * (k + 1))]
-    blocks = spark.createDataFrame(rows, "rank int, block long, passes long, words long, turn int, state string, room double")
-    out = mixing.split_tree(blocks, shards).collect()
-    assert len(out) == len({(r["rank"], r.block, r["pass"]) for r in out}) == 60 + 15
-    n = Counter(r.shard for r in out)
+    quotas = {0: 15, 1: 25, 2: 35, 3: 1}
+    out = mixing.split_tree(spark.createDataFrame(list(quotas.items()), "rank long, quota long"), shards).collect()
+    drawn = [(r["rank"], u) for r in out for u in range(r["from"] + 1, r["to"] + 1)]
+    assert sorted(drawn) == [(k, u) for k, q in quotas.items() for u in range(1, q + 1)]
+    n = Counter()
+    for r in out:
+        n[r.shard] += r["to"] - r["from"]
     assert len(n) == shards and max(n.values()) - min(n.values()) <= 3
 
 
+def test_split_tree_follows_the_law(spark):
+    """Over many seeds, the units of a source that go left have the mean and variance of a hypergeometric draw."""
+    quotas = spark.createDataFrame([(0, 12), (1, 28)], "rank long, quota long").cache()
+    left = np.array([sum(r["to"] - r["from"] for r in mixing.split_tree(quotas, 2, seed).collect() if r["rank"] == 0 and r.shard == 0) for seed in range(40)])
+    var = 20 * 0.3 * 0.7 * 20 / 39
+    assert abs(left.mean() - 6) < 4 * (var / 40) ** 0.5 and 0.4 * var < left.var() < 2.2 * var
+
+
+def test_mix_is_what_the_leaves_draw(docs, rows):
+    """Every copy lies in a block that some leaf drew, and all documents of whole blocks are taken."""
+    planned, blocks = mixing.plan(docs, "source", "text", ["doc_id"], shards=4, blocks_per_shard=8)
+    drawn = mixing.draws(blocks, 4).collect()
+    assert len({(r["rank"], r.block, r["pass"]) for r in drawn}) == len(drawn)
+    units = Counter((r["rank"], r.block) for r in drawn)
+    whole = Counter((r["rank"], r.block) for r in drawn if r.room is None)
+    place = {(r.g, r.h, r.rn): (r["rank"], r.block, r["size"]) for r in planned.collect()}
+    got = Counter((r.g, r.h, r.rn) for r in mixing.taken(planned, blocks, 4).collect())
+    for link, (rank, block, size) in place.items():
+        n = got[link]
+        assert (n == 0) if not size else whole[rank, block] <= n <= units[rank, block]
+
+
+def test_mixing_carries_any_column(spark):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 2}", i, "x") for i in range(30)], "doc_id long, text string, source string, rank long, shard string")
+    out = mixing.mixed_rows(docs)
+    assert out.columns == [*docs.columns, "mix_shard", "mix_order"] and all(r["rank"] == r.doc_id and r.shard == "x" for r in out.collect())
+
+
+def test_mixing_query(spark, tmp_path, rows):
+    """All columns of the registered query."""
+    from tessella.llm import queries
+
+    texts = [(i, r[1], r[3]) for i, r in enumerate(rows)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    sizes, of = Counter(), {i: len(brute.WORD.findall(t or "")) for i, t, _ in texts}
+    for i, _, s in texts:
+        sizes[s] += of[i]
+    want = brute.op4_targets(sizes)
+    out = queries.op4_mixing(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, *_ in texts)
+    source = {i: s for i, _, s in texts}
+    total = Counter()
+    for r in out:
+        s = source[r.doc_id]
+        assert r["size"] == of[r.doc_id] and r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6
+        assert r.taken in (0, r["size"], 2 * r["size"])
+        total[s] += r.taken
+    assert all(total[s] <= want[s] and want[s] - total[s] <= max(of[i] for i in of if source[i] == s) for s in want)
+
+
 PAGES = [(1, "http://a/1", "x" * 200), (2, "http://a/2", "x" * 200), (3, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u\r\nWARC-Type: forged", "é" * 50_000), (8, "u", "é" * 50_000), (None, "u", "x" * 200), (9, "u", "line\r\n\r\nWARC/1.1\r\n" * 30), (9, "u", "line\r\n\r\nWARC/1.1\r\n" * 30)]
 
 
