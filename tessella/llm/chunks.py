@@ -220,19 +220,30 @@ def buckets_for(expected_keys: int) -> int:
     return 1 << max(6, int(np.ceil(np.log2(max(1, expected_keys) / BUCKET_KEYS))))
 
 
-def deal(chunk: int, keys: np.ndarray, extra: np.ndarray, buckets: int, counts: np.ndarray) -> list[tuple]:
-    """Rows (bucket, chunk, keys, extra, counts) of sorted distinct keys, by the top bits of the key."""
+def parts_of(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted keys, by the top bits of the key."""
     top = keys >> U(64 - int(np.log2(buckets)))
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(top)) + 1, [len(keys)]]) if len(keys) else [0]
-    rows = []
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(top)) + 1, [len(keys)]]).tolist() if len(keys) else [0]
     for i, j in zip(edges[:-1], edges[1:], strict=True):
-        few = counts[i:j]
-        rows.append((int(top[i]), chunk, pack(keys[i:j]), extra[i:j].tobytes() if len(extra) else b"", b"" if few.max() == 1 else pa.compress(few.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)))
-    return rows
+        yield int(top[i]), i, j
 
 
-SENT = "bucket int, chunk long, keys binary, extra binary, counts binary"
-SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary()), ("counts", pa.binary())])
+def squeeze(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+
+
+def few(data: bytes, n: int) -> np.ndarray:
+    """Counts as ``deal`` packs them: nothing at all where each is one."""
+    return np.ones(n, dtype=np.int64) if not data else np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), dtype=np.uint32).astype(np.int64)
+
+
+def deal(chunk: int, keys: np.ndarray, buckets: int, counts: np.ndarray) -> list[tuple]:
+    """Rows (bucket, chunk, keys, counts) of sorted distinct keys."""
+    return [(b, chunk, pack(keys[i:j]), b"" if counts[i:j].max() == 1 else squeeze(counts[i:j].astype(np.uint32))) for b, i, j in parts_of(keys, buckets)]
+
+
+SENT = "bucket int, chunk long, keys binary, counts binary"
+SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -247,43 +258,38 @@ REPLY_ARROW = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("counts"
 def answer(sent: pa.Table) -> pa.Table:
     """One bucket: which keys of each chunk occur at least twice in the whole table, and how often."""
     keys = [unpack(k) for k in sent.column("keys").to_pylist()]
-    sizes = np.array([len(k) for k in keys])
-    extra = [np.frombuffer(e, dtype=U) for e in sent.column("extra").to_pylist()]
-    wide = any(len(e) for e in extra)
     flat = np.concatenate(keys)
-    n = np.concatenate([np.ones(len(k), dtype=np.int64) if not c else np.frombuffer(pa.decompress(c, 4 * len(k), codec="zstd", asbytes=True), dtype=np.uint32).astype(np.int64) for k, c in zip(keys, sent.column("counts").to_pylist(), strict=True)])
-    if wide:
-        second = np.concatenate(extra)
-        order = np.lexsort((second, flat))
-        new = np.concatenate([[True], (np.diff(flat[order]) != 0) | (np.diff(second[order]) != 0)])
-    else:
-        order = np.argsort(flat, kind="stable")
-        new = np.concatenate([[True], np.diff(flat[order]) != 0])
-    group = np.cumsum(new) - 1
+    n = np.concatenate([few(c, len(k)) for k, c in zip(keys, sent.column("counts").to_pylist(), strict=True)])
+    order = np.argsort(flat, kind="stable")
+    group = np.cumsum(np.concatenate([[True], np.diff(flat[order]) != 0])) - 1
     total = np.bincount(group, weights=n[order]).astype(np.int64)
     count = np.empty(len(flat), dtype=np.int64)
     count[order] = total[group]
     rows, at = [], 0
-    for chunk, size, k in zip(sent.column("chunk").to_pylist(), sizes, keys, strict=True):
-        c = count[at : at + size]
-        at += size
+    for chunk, k in zip(sent.column("chunk").to_pylist(), keys, strict=True):
+        c = count[at : at + len(k)]
+        at += len(k)
         often = c > 1
         if often.any():
-            got = k[often]
-            # With a second word per key the reply says which of the chunk's keys are meant, as bits.
-            rows.append((chunk, pack(got) if not wide else len(often).to_bytes(8, "little") + np.packbits(often).tobytes(), pa.compress(np.minimum(c[often], MOST).astype(np.uint32).tobytes(), codec="zstd", asbytes=True)))
+            rows.append((chunk, pack(k[often]), pa.compress(np.minimum(c[often], MOST).astype(np.uint32).tobytes(), codec="zstd", asbytes=True)))
     return pa.Table.from_batches([to_batch(rows, REPLY_ARROW)])
 
 
-def counted(sent: DataFrame) -> DataFrame:
+def exchanged(sent: DataFrame, answer: Callable[[pa.Table], pa.Table], reply: str) -> DataFrame:
     """Replies of all buckets, one row per chunk: (chunk, replies) with replies sorted by bucket."""
 
     def one(key: tuple, group: pa.Table) -> pa.Table:
-        reply = answer(group)
-        return reply.append_column("bucket", pa.array([key[0].as_py()] * len(reply), pa.int32()))
+        out = answer(group)
+        return out.append_column("bucket", pa.array([key[0].as_py()] * len(out), pa.int32()))
+
+    replies = sent.groupBy("bucket").applyInArrow(one, reply + ", bucket int")
+    fields = [c for c in replies.columns if c not in ("bucket", "chunk")]
+    return replies.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", *fields))).alias("replies"))
 
-    replies = sent.groupBy("bucket").applyInArrow(one, REPLY + ", bucket int")
-    return replies.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "keys", "counts"))).alias("replies"))
+
+def counted(sent: DataFrame) -> DataFrame:
+    """For each chunk, which of its keys occur at least twice in the whole table, and how often."""
+    return exchanged(sent, answer, REPLY)
 
 
 def reply_counts(data: bytes, n: int) -> np.ndarray:

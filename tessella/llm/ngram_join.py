@@ -104,7 +104,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, chu
         for row in C.rows_of(batches):
             sets = token_sets(C.read_body(row["body"])[1], size)
             keys, counts = np.unique(np.concatenate([np.zeros(0, dtype=C.U), *sets]) >> drop, return_counts=True)
-            yield C.to_batch(C.deal(row["chunk"], keys << drop, keys[:0], buckets, counts), C.SENT_ARROW)
+            yield C.to_batch(C.deal(row["chunk"], keys << drop, buckets, counts), C.SENT_ARROW)
 
     with C.small_batches(docs.sparkSession):
         replies = store(C.counted(table.mapInArrow(send, C.SENT)), "frequencies")

@@ -94,18 +94,35 @@ def test_substring_dedup(docs, rows, no_docs, chunk_bytes):
     words = [(n, r[1]) for n, r in enumerate(rows)]
     for n, w in brute.op10(words).items():
         want[(rows[n][0], *w)] += 1
-    out = substring_dedup.parse(docs, chunk_bytes=chunk_bytes)
+    out = substring_dedup.parse(docs, chunk_bytes=chunk_bytes, askers=2)
     got = Counter((r.key, r.n_words, sum(s.end - s.start for s in r.spans), brute.sha(r.kept)) for r in out.collect())
     assert got == want
     assert substring_dedup.parse(no_docs).count() == 0
 
 
-def test_substring_spans_join_up():
+def test_factors_follow_one_reference():
     import numpy as np
 
-    assert substring_dedup.factors(np.array([0, 1, 2, 40, 80]), 35) == [(0, 37), (40, 75), (80, 115)]
-    assert substring_dedup.factors(np.array([0, 35]), 35) == [(0, 70)]
-    assert substring_dedup.factors(np.array([], dtype=int), 35) == []
+    at, ref, place = np.array([0, 1, 2, 3, 4, 40, 41]), np.array([7, 7, 7, 9, 9, 7, 7]), np.array([5, 6, 7, 0, 1, 8, 30])
+    got = substring_dedup.factors(at, ref, place, 35).tolist()
+    assert got == [[0, 37, 7, 5], [3, 39, 9, 0], [40, 75, 7, 8], [41, 76, 7, 30]]
+    assert substring_dedup.merged([(a, b) for a, b, *_ in got]) == [(0, 39), (40, 76)]
+    assert substring_dedup.merged([(0, 35), (35, 70)]) == [(0, 70)] and substring_dedup.merged([]) == []
+
+
+def test_factors_need_the_words_of_their_reference(spark, docs, monkeypatch):
+    """Windows whose keys are equal but whose words are not give no duplicate span."""
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    texts = [b"a b c d e", b"a b x d e"]
+    words = substring_dedup.C.Words(texts)
+    p = SimpleNamespace(factors=np.array([[0, 3, 0, 0], [5, 8, 0, 0]]), copy=np.array([False, True]), ends=np.array([[0, 0, 5], [0, 0, 5]]), windows=SimpleNamespace(words=words))
+    told = [{"ref": 0, "texts": substring_dedup.zstandard.compress(b"a b c")}]
+    assert substring_dedup._agree(p, texts, told, 3).tolist() == [True, False]
+    told = [{"ref": 0, "texts": substring_dedup.zstandard.compress(b"a b x")}]
+    assert substring_dedup._agree(p, texts, told, 3).tolist() == [True, True]
 
 
 ITEMS = [("i1", "The quick brown fox jumps over the lazy dog and then sleeps all day long"), ("i2", "short item of five words"), ("i3", "two words"), ("i4", None), ("i5", "  ,; "), (None, "no id here"), ("i1", "again x y z"), ("i6", "a a a a a a a a a a a a a a a a a")]
