@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import grams, let, lower_ascii, sliding_min, split_words, store, text_key
+from tessella.llm.common import carried, grams, let, lower_ascii, sliding_min, split_words, store, text_key, unpacked
 
 #: Everything but ASCII letters and digits and all characters beyond ASCII.
 GAP_RE = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
@@ -81,8 +81,9 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
     # At most one entry per kind and length below span: bounded by the two parameters.
     lens = {r[0]: sorted(r[1]) for r in lengths.collect()}
     keyed = docs.select(text_key(body).alias("key"), body.alias("body"))
-    # Texts that met grow with the table, so both sides are always dealt by key.
-    texts = keyed.join(per_text.hint("merge"), "key").dropDuplicates(["key"])
+    # Only texts that met go on, one of each: copies are dropped by the task that read them, before any shuffle.
+    texts = keyed.join(store(met.select("key").distinct(), "keys"), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.first("body").alias("body")).join(per_text, "key")
     by_kind = F.create_map(*(x for kk, ls in lens.items() for x in (F.lit(kk), F.array(*(F.lit(n) for n in ls))))) if lens else F.create_map(F.lit(0), F.array(F.lit(span)))
 
     def spans(w: Column) -> Column:
@@ -110,18 +111,17 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", percent: int = 5, span: int = SPAN, k: int = K) -> DataFrame:
     """``docs`` with n_words, n_hit, item_ids and contaminated (hit words reach ``percent`` of all)."""
-    hits = scan(docs, bench, text, item, item_text, span, k)
-    own = docs.drop(*(c for c in RESULTS if c in docs.columns))
+    hits = store(scan(docs, bench, text, item, item_text, span, k).drop("n_words"), "hits")
+    names, row = carried(docs, RESULTS)
     body = F.col(f"`{text}`")
-    keyed = own.withColumn("__n", F.size(words_of(body)).cast("long")).withColumn("__key", text_key(body))
-    out = keyed.join(store(hits.drop("n_words"), "hits").withColumnRenamed("key", "__key"), "__key", "left")
+    keyed = docs.select(text_key(body).alias("key"), row, F.size(words_of(body)).cast("long").alias("n_words"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
-    return out.select(
-        *(F.col(f"`{c}`") for c in own.columns),
-        F.col("__n").alias("n_words"),
+    return keyed.join(hits, "key", "left").select(
+        *unpacked(names),
+        "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        _is_contaminated(n_hit, F.col("__n"), percent).alias("contaminated"),
+        _is_contaminated(n_hit, F.col("n_words"), percent).alias("contaminated"),
     )
 
 
@@ -133,4 +133,5 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", ite
     """``docs`` without the contaminated ones."""
     hits = scan(docs, bench, text, item, item_text, span, k)
     bad = store(hits.where(_is_contaminated(F.col("n_hit"), F.col("n_words"), percent)).select("key"), "contaminated")
-    return docs.join(bad, text_key(F.col(f"`{text}`")) == F.col("key"), "left_anti")
+    names, row = carried(docs)
+    return docs.select(text_key(F.col(f"`{text}`")).alias("key"), row).join(bad, "key", "left_anti").select(*unpacked(names))

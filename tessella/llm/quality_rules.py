@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD_RE, grams, let, split_words
+from tessella.llm.common import WORD_RE, carried, grams, let, split_words, unpacked
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -92,19 +92,32 @@ def measurements(text: Column, window: int = WINDOW) -> Column:
     return F.struct(by_words.alias("w"), by_lines.alias("l"), symbols.alias("n_symbols"))
 
 
-def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with the measurements and ``fail_bits``; every rule is evaluated exactly once."""
-    names = ("w.n_words", "w.word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
-    own = {n.rpartition(".")[2] for n in names} | {"fail_bits"}
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in own]
-    measured = docs.select(*kept, measurements(F.col(f"`{text}`")).alias("__m"))
-    flat = measured.select(*kept, *(F.col(f"__m.{n}").alias(n.rpartition(".")[2]) for n in names))
+NAMES = ("w.n_words", "w.word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
+LEDGER = (*(n.rpartition(".")[2] for n in NAMES), "fail_bits")
+
+
+def _measured(docs: DataFrame, row: Column, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(row, measurements, fail_bits)."""
+    measured = docs.select(row, measurements(F.col(f"`{text}`")).alias("m"))
+    flat = measured.select("row", *(F.col(f"m.{n}").alias(n.rpartition(".")[2]) for n in NAMES))
     bits = F.lit(0)
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.failed), F.lit(1 << r.bit)).otherwise(F.lit(0)))
     return flat.withColumn("fail_bits", bits)
 
 
+def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with the measurements and ``fail_bits``; every rule is evaluated exactly once."""
+    names, row = carried(docs, LEDGER)
+    return _measured(docs, row, text, rules).select(*unpacked(names), *LEDGER)
+
+
+def passing(docs: DataFrame, policy: Policy, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, all columns as they were."""
+    names, row = carried(docs)
+    return apply_policy(_measured(docs, row, text, rules), policy).where("kept").select(*unpacked(names))
+
+
 def apply_policy(entries: DataFrame, policy: Policy, column: str = "kept", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return entries.withColumn(column, F.col("fail_bits").bitwiseAND(F.lit(policy.mask(rules))) == 0)
 

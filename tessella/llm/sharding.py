@@ -7,7 +7,7 @@ Slots number the rows of a shard from 0 without gaps. A shard holds an unbounded
 table, so rows are numbered inside fixed sub-ranges of the key space and shifted by counts of the
 sub-ranges before: no task gets a whole shard.
 
-Defined results: a null key is a key of its own (all such rows share one shard); a null text has size 1
+Defined results: rows with a null key share one shard, that of key -1; a null text has size 1
 and crc32 0; repeated rows take neighbouring slots; an empty table gives an empty result.
 """
 
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import carried, unpacked
+
 #: Cells (shard, sub-range) in which rows are numbered; their counts are the only thing that is broadcast.
 CELLS = 1 << 15
 
@@ -49,24 +51,24 @@ def shard_of(key: Column, shards: int) -> Column:
 
 
 def assign(rows: DataFrame, key: str, shards: int, order: list[str] | None = None, cells: int = CELLS) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot`` (clashing columns are replaced).
+    """``rows`` with ``shard`` and ``slot`` (columns of these names are replaced, all others stay).
 
     ``order`` settles slots between rows of one key. The counting pass reads the key column only.
     """
-    rows = rows.drop(*(c for c in ("shard", "slot", "__sub", "__base") if c in rows.columns))
+    names, row = carried(rows, ("shard", "slot"))
     spread = max(16, cells // shards)
     # A third of all rows may share a key: its rows are numbered in sub-ranges by their other columns too.
-    order = [c for c in (order or []) if c != key]
-    sub = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in [key, *order])), F.lit(spread)).cast("int")
-    placed = rows.withColumn("__sub", sub).withColumn("shard", shard_of(F.col(f"`{key}`").cast("long"), shards))
-    counts = placed.groupBy("shard", "__sub").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(F.col("shard").alias("__s"), F.col("__sub").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("shard", "__sub").orderBy(*(F.col(f"`{c}`") for c in [key, *order]))
-    numbered = placed.withColumn("__rn", F.row_number().over(within))
+    by = [F.col(f"`{c}`") for c in [key, *(c for c in (order or []) if c != key)]]
+    sub = F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int")
+    shard = shard_of(F.col(f"`{key}`").cast("long"), shards)
+    counts = rows.select(sub.alias("sub"), shard.alias("shard")).groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = rows.select(sub.alias("sub"), shard.alias("shard"), F.struct(*by).alias("turn"), row)
+    numbered = placed.withColumn("rn", F.row_number().over(Window.partitionBy("shard", "sub").orderBy("turn")))
     # At most max(cells, 16 x shards) rows, both parameters: small enough to broadcast at any input size.
-    joined = numbered.join(F.broadcast(bases), (F.col("shard") == F.col("__s")) & (F.col("__sub") == F.col("__b")))
-    return joined.withColumn("slot", (F.col("__base") + F.col("__rn") - 1).cast("long")).drop("__s", "__b", "__sub", "__base", "__rn")
+    out = numbered.join(F.broadcast(bases), ["shard", "sub"])
+    return out.select(*unpacked(names), "shard", (F.col("base") + F.col("rn") - 1).cast("long").alias("slot"))
 
 
 def write_shards(rows: DataFrame, path: str, files_per_shard: int = 8) -> None:
