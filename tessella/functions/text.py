@@ -10,20 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Redaction patterns, in order of application (fixed values).
-SECRETS = (
-    ("API_KEY", r"(?i)api[_-]?key\s*[:=]\s*\S+"),
-    ("SECRET", r"(?i)(?:password|secret|token)\s*[:=]\s*\S+"),
-    ("AWS", r"AKIA[0-9A-Z]{16}"),
-    ("GITHUB", r"ghp_[A-Za-z0-9]{36}"),
-    ("JWT", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    ("BEARER", r"(?i)bearer\s+[A-Za-z0-9._-]+"),
-    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("CARD", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"),
-)
 PRIVATE = r"(?s)<private>.*?</private>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` evaluated once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Lower-cased words between white space."""
     return F.filter(F.split(F.lower(text), r"[ \t\n\r\f]+", -1), lambda w: w != "")
@@ -47,12 +41,6 @@ def redact_private(text: Column) -> Column:
     return F.regexp_replace(text, PRIVATE, "[REDACTED]")
 
 
-def redact_secrets(text: Column) -> Column:
-    for name, pattern in SECRETS:
-        text = F.regexp_replace(text, pattern, f"[{name}]")
-    return text
-
-
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """1 - distance / longer length; 0 if one is less than half as long as the other."""
     long, short = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
@@ -87,44 +75,6 @@ def verbosity(q: Column) -> Column:
     return F.when(exact | (n >= 10), "full").when(n <= 3, "compact").otherwise("summary")
 
 
-def query_intent(q: Column) -> Column:
-    """First list with a keyword decides (fixed values)."""
-    low = F.lower(q)
-    has = lambda *k: low.rlike("|".join(k))
-    return (
-        F.when(has("error", "bug", "fix", "fail"), "debug")
-        .when(has("what is", "who", "when", "where"), "factual")
-        .when(has("architecture", "design", "structure"), "architecture")
-        .when(has("how to", "solution", "solve"), "solution")
-        .otherwise("search")
-    )
-
-
-def route(q: Column) -> Column:
-    """Score of a relational question: question word, connector, entities."""
-    entities = F.size(F.array_distinct(F.regexp_extract_all(q, F.lit("[A-Z][a-z0-9]+"), F.lit(0))))
-    low = F.lower(q)
-    wh = F.when(low.rlike("(^| )(who|what|which|where|when)( |$)"), 0.35).otherwise(0.0)
-    link = F.when(low.rlike("(^| )(of|with|between|by|for|in)( |$)"), 0.45).otherwise(0.0)
-    score = wh + link + F.when(entities >= 2, 0.35).when(entities == 1, 0.10).otherwise(0.0)
-    return score
-
-
-def content_type(t: Column) -> Column:
-    """The first pattern that a text's head shows."""
-    head = F.substring(t, 1, 8192)
-    return (
-        F.when(head.rlike(r"Traceback \(most recent|\n\s+at [A-Za-z.]+\("), "stacktrace")
-        .when(head.rlike(r"(?m)^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.]+ .*(INFO|WARN|ERROR|DEBUG)"), "log")
-        .when(head.rlike(r"^\s*[{\[]") & F.try_parse_json(t).isNotNull(), "json")
-        .when(head.rlike(r"(?i)^\s*(select|insert|update|create table)\s"), "sql")
-        .when(head.rlike(r"^#!.*sh"), "shell")
-        .when(head.rlike(r"(?m)^(def |class |import |function |public )"), "code")
-        .when(head.rlike(r"(?m)^(#{1,6} |[-*] |```)"), "markdown")
-        .otherwise("text")
-    )
-
-
 def score_label(x: Column) -> Column:
     """Contradiction score to label."""
     return F.when(x >= 0.60, "hard").when(x >= 0.30, "soft").otherwise("none")
@@ -135,7 +85,3 @@ def to_chunks(text: Column, size: int = 400, overlap: int = 50) -> Column:
     step = size - overlap
     n = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)).cast("int")
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("n"), (i * step).alias("start"), F.substring(text, i * step + 1, F.lit(size)).alias("text")))
-
-
-def paragraphs(text: Column) -> Column:
-    return F.filter(F.split(text, r"\n[ \t]*\n", -1), lambda p: F.btrim(p) != "")

@@ -76,10 +76,6 @@ def weekly_trend(rows: DataFrame, time: str, as_of: Column, weeks: int = 4) -> D
     return rows.withColumn("week", back).where(F.col("week").between(0, weeks - 1)).groupBy("week").agg(F.count(F.lit(1)).alias("n"))
 
 
-def risk(weights: Column) -> Column:
-    return 1.0 - F.exp(-F.sum(weights) / 3.0)
-
-
 def ranked(rows: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return rows.withColumn("rank", n).where(F.col("rank") <= k)

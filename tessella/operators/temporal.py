@@ -54,16 +54,38 @@ def allen(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     )
 
 
-#: Compositions with one result only (fixed values): first, second, result.
-COMPOSE = (("b", "b", "b"), ("b", "m", "b"), ("b", "s", "b"), ("m", "b", "b"), ("m", "m", "b"), ("m", "s", "m"), ("s", "b", "b"), ("s", "m", "b"), ("s", "s", "s"), ("s", "d", "d"), ("s", "f", "d"), ("d", "b", "b"), ("d", "d", "d"), ("d", "s", "d"), ("d", "f", "d"), ("f", "d", "d"), ("f", "f", "f"), ("f", "b", "b"), ("f", "s", "d"), ("bi", "bi", "bi"), ("mi", "bi", "bi"), ("di", "di", "di"), ("si", "si", "si"), ("fi", "fi", "fi"))
+def _relation(s1: int, e1: int, s2: int, e2: int) -> str:
+    """The relation of two intervals of integers."""
+    if e1 < s2 or e2 < s1:
+        return "b" if e1 < s2 else "bi"
+    if e1 == s2 or e2 == s1:
+        return "m" if e1 == s2 else "mi"
+    start, end = (s1 > s2) - (s1 < s2), (e1 > e2) - (e1 < e2)
+    return {(0, 0): "eq", (0, -1): "s", (0, 1): "si", (1, 0): "f", (-1, 0): "fi", (1, -1): "d", (-1, 1): "di", (-1, -1): "o", (1, 1): "oi"}[start, end]
+
+
+def _compositions() -> dict[tuple[str, str], str]:
+    """Pairs of relations that leave one relation of first to third: found by trying all orders of six end points."""
+    spans = [(s, e) for s in range(6) for e in range(s + 1, 6)]
+    results: dict[tuple[str, str], set[str]] = {}
+    for x in spans:
+        for y in spans:
+            for z in spans:
+                results.setdefault((_relation(*x, *y), _relation(*y, *z)), set()).add(_relation(*x, *z))
+    return {k: next(iter(v)) for k, v in results.items() if len(v) == 1}
+
+
+COMPOSE = _compositions()
 
 
 def compose(a: Column, b: Column) -> Column:
-    """The relation of first to third, where the two given ones leave only one; else null. ``eq`` is neutral."""
-    out = F.when(a == "eq", b).when(b == "eq", a)
-    for x, y, z in COMPOSE:
-        out = out.when((a == x) & (b == y), z)
-    return out
+    """The relation of first to third, where the two given ones leave only one; else null.
+
+    Some pairs are commonly given one result though the end points allow several (before and during) or another
+    one (met-by and contains, which can only be after): here they are null, or what the end points say.
+    """
+    pairs = F.create_map(*(F.lit(x) for (p, q), r in COMPOSE.items() for x in (f"{p} {q}", r)))
+    return F.try_element_at(pairs, F.concat_ws(" ", a, b))
 
 
 def overlap_join(points: DataFrame, spans: DataFrame, bucket_days: int = 32) -> DataFrame:
@@ -99,22 +121,5 @@ def whole_days(a: Column, b: Column) -> Column:
     return F.floor(F.abs(F.unix_timestamp(a) - F.unix_timestamp(b)) / 86400)
 
 
-def humanised(seconds: Column) -> Column:
-    """The two coarsest units, in words."""
-    units = (("day", 86400), ("hour", 3600), ("minute", 60), ("second", 1))
-    parts, rest = [], seconds
-    for name, size in units:
-        n = F.floor(rest / size)
-        parts.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"))))
-        rest = rest - n * size
-    return F.array_join(F.slice(F.array_compact(F.array(*parts)), 1, 2), " ")
-
-
-def query_dates(text: Column) -> Column:
-    """ISO days, and years of this century, as closed ranges."""
-    days = F.transform(F.regexp_extract_all(text, F.lit(r"(20[0-9]{2}-[01][0-9]-[0-3][0-9])"), F.lit(1)), lambda d: F.try_to_timestamp(d))
-    return F.transform(F.filter(days, lambda d: d.isNotNull()), lambda d: F.struct(d.alias("from"), (d + F.expr("INTERVAL 1 DAY")).alias("to")))
-
-
 def proximity(days: Column, reach: int = 180) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - F.greatest(days, F.lit(0)) / reach)

@@ -185,12 +185,6 @@ def a21_queue_health(spark, sf_dir):
     return events(spark, sf_dir).agg(n(k == "view").alias("pending"), n(k == "purchase").alias("done"), n(k == "error").alias("failed"), n((k == "purchase") & (F.col("ts") > F.lit("2024-01-29").cast("timestamp"))).alias("done_lately"), oldest.alias("oldest"))
 
 
-@query(f"SELECT user_id, {R('1 - exp(-sum(CASE event_type WHEN {q}error{q} THEN 0.7 WHEN {q}click{q} THEN 0.15 ELSE 0.01 END) / 3)'.format(q=chr(39)))} AS risk FROM events GROUP BY user_id")
-def a26_risk(spark, sf_dir):
-    w = F.when(F.col("event_type") == "error", 0.7).when(F.col("event_type") == "click", 0.15).otherwise(0.01)
-    return events(spark, sf_dir).groupBy("user_id").agg(M.rounded(A.risk(w)).alias("risk"))
-
-
 HITS = "hits AS (SELECT o_custkey AS qid, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), wanted AS (SELECT o_custkey AS qid, o_orderkey AS id FROM orders WHERE o_orderstatus = 'F')"
 
 

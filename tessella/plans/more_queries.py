@@ -119,12 +119,6 @@ def r45_r47_start_context(spark, sf_dir):
     return V.within_budget(r, "project", [F.desc("recall_count"), "id"], "size", 4000).select("project", "id", F.col("used").cast("long").alias("used"))
 
 
-@query(f"WITH {REC} SELECT id, regexp_matches(lower(content), 'before|after|during|since|until|yesterday|last week') OR regexp_matches(content, '20[0-9]{{2}}-[01][0-9]-[0-3][0-9]') AS temporal FROM records")
-def d14_temporal_intent(spark, sf_dir):
-    t = F.lower("content").rlike("before|after|during|since|until|yesterday|last week") | F.col("content").rlike("20[0-9]{2}-[01][0-9]-[0-3][0-9]")
-    return rec(spark, sf_dir).select("id", t.alias("temporal"))
-
-
 @query("SELECT event_id, strptime(regexp_extract(t, '^\\[([^\\]]+)\\]', 1), '%I:%M %p on %-d %B, %Y') AS day FROM (SELECT event_id, strftime(ts, '[%I:%M %p on %-d %B, %Y] said') AS t FROM events)")
 def d15_entry_prefix(spark, sf_dir):
     t = F.date_format("ts", "'['hh:mm a 'on' d MMMM, yyyy'] said'")
@@ -219,29 +213,6 @@ def l27_predicate_normalisation(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), p.alias("predicate"))
 
 
-@query(f"""WITH l AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), k AS (SELECT conv_id, turn, list_filter(w, lambda x: NOT regexp_matches(lower(x), '^(the|and|of)$')) AS k FROM l)
- SELECT conv_id, turn, array_to_string(CASE WHEN len(k) > 12 THEN list_concat(list_append(k[1:6], '...'), k[len(k) - 5:len(k)]) ELSE k END, ' ') AS text FROM k""")
-def x9_filter_pipeline(spark, sf_dir):
-    kept = F.filter(F.split("text", " ", -1), lambda x: ~F.lower(x).rlike("^(the|and|of)$"))
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", kept.alias("k"))
-    cut = F.concat(F.slice("k", 1, 6), F.array(F.lit("...")), F.slice("k", -6, 6))
-    return c.select("conv_id", "turn", F.array_join(F.when(F.size("k") > 12, cut).otherwise(F.col("k")), " ").alias("text"))
-
-
-@query("""SELECT doc_id AS id, CASE WHEN len(regexp_extract_all(text, '[|]')) >= 5 THEN 'table' WHEN len(regexp_extract_all(text, '[#$%&]')) >= 20 THEN 'noise' WHEN len(regexp_extract_all(text, '[0-9]{3,}')) >= 3 THEN 'numbers' ELSE 'none' END AS filter FROM documents""")
-def x10_filter_detect(spark, sf_dir):
-    n = lambda p: F.regexp_count("text", F.lit(p))
-    f = F.when(n("[|]") >= 5, "table").when(n("[#$%&]") >= 20, "noise").when(n("[0-9]{3,}") >= 3, "numbers").otherwise("none")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), f.alias("filter"))
-
-
-@query("""SELECT doc_id AS id, CASE WHEN regexp_matches(text, '[äöüß]') THEN 'de' WHEN regexp_matches(text, '[ñáíóú]') THEN 'es' WHEN regexp_matches(text, '[çèêàé]') THEN 'fr' ELSE 'en' END AS guess FROM documents""")
-def x12_language_guess(spark, sf_dir):
-    t = F.col("text")
-    g = F.when(t.rlike("[äöüß]"), "de").when(t.rlike("[ñáíóú]"), "es").when(t.rlike("[çèêàé]"), "fr").otherwise("en")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), g.alias("guess"))
-
-
 @query("""WITH dict AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS concept FROM part UNION SELECT unnest(['the', 'for', 'die', 'les'])), d AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))) AS concept FROM documents)
  SELECT id, concept FROM d JOIN dict USING (concept)""")
 def x13_concept_extraction(spark, sf_dir):
@@ -251,20 +222,6 @@ def x13_concept_extraction(spark, sf_dir):
     return d.join(names.union(more).distinct(), "concept").select("id", "concept")
 
 
-@query("""SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS links, len(list_filter(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1)), lambda x: NOT contains(substring(html, 1, 3000), x))) AS lost FROM pages""")
-def x14_links_preserved(spark, sf_dir):
-    urls = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
-    p = table(spark, sf_dir, "pages").select("page_id", urls.alias("u"), F.substring("html", 1, 3000).alias("head"))
-    return p.select("page_id", F.size("u").cast("long").alias("links"), F.size(F.filter("u", lambda x: ~F.contains(F.col("head"), x))).cast("long").alias("lost"))
-
-
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'architecture|migrate|redesign') THEN 4 WHEN regexp_matches(lower(text), 'implement|refactor') THEN 3 WHEN length(text) > 300 THEN 3 WHEN length(text) > 80 THEN 2 ELSE 1 END AS level FROM conversations""")
-def x16_task_level(spark, sf_dir):
-    t, n = F.lower("text"), F.length("text")
-    level = F.when(t.rlike("architecture|migrate|redesign"), 4).when(t.rlike("implement|refactor"), 3).when(n > 300, 3).when(n > 80, 2).otherwise(1)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", level.alias("level"))
-
-
 @query(f"WITH {REC} SELECT id, upper(substring(type, 1, 1)) || ':' || project || ':' || replace(substring(content, 1, 40), chr(10), ' ') AS compact FROM records")
 def x17_compact_record(spark, sf_dir):
     head = F.replace(F.substring("content", 1, 40), F.lit("\n"), F.lit(" "))

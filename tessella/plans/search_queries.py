@@ -153,18 +153,6 @@ def r21_adaptive_mmr(spark, sf_dir):
     return S.mmr(hits.join(vectors(spark, sf_dir).select("id", "v"), "id").select("qid", "id", "score", "v"))
 
 
-@query(r"""SELECT item_id AS id, floor(((CASE WHEN regexp_matches(lower(text), '(^| )(who|what|which|where|when)( |$)') THEN 0.35 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '(^| )(of|with|between|by|for|in)( |$)') THEN 0.45 ELSE 0 END
- + CASE WHEN n >= 2 THEN 0.35 WHEN n = 1 THEN 0.10 ELSE 0 END) * 1e6 + 0.5)::double) / 1e6 AS score FROM (SELECT *, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z0-9]+'))) AS n FROM benchmark)""")
-def r22_relational_router(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), M.rounded(X.route(F.col("text"))).alias("score"))
-
-
-@query("""SELECT item_id AS id, CASE WHEN regexp_matches(t, 'error|bug|fix|fail') THEN 'debug' WHEN regexp_matches(t, 'what is|who|when|where') THEN 'factual' WHEN regexp_matches(t, 'architecture|design|structure') THEN 'architecture'
- WHEN regexp_matches(t, 'how to|solution|solve') THEN 'solution' ELSE 'search' END AS intent FROM (SELECT *, lower(text) AS t FROM benchmark)""")
-def r23_query_intent(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), X.query_intent(F.col("text")).alias("intent"))
-
-
 @query(f"""WITH {VEC_SQL}, a AS (SELECT qid, id, score / sum(score) OVER (PARTITION BY qid) * 0.9 AS ma FROM dist WHERE score > 0.1),
  b AS (SELECT qid, id, (64 - h) / sum(64 - h) OVER (PARTITION BY qid)::double * 0.9 AS mb FROM dist WHERE h < 30),
  ab AS (SELECT qid, id, coalesce(ma, 0) AS ma, coalesce(mb, 0) AS mb FROM a FULL JOIN b USING (qid, id)),

@@ -81,16 +81,6 @@ def d7_allen_relation(spark, sf_dir):
     return a.join(b, "c").where("k1 < k2").select("k1", "k2", T.allen(*(F.col(x) for x in ("s1", "e1", "s2", "e2"))).alias("relation"))
 
 
-COMPOSE_SQL = " ".join(f"WHEN r1 = '{a}' AND r2 = '{b}' THEN '{c}'" for a, b, c in T.COMPOSE)
-
-
-@query(f"""WITH r(r) AS (VALUES ('eq'),('s'),('si'),('f'),('fi'),('d'),('di'),('m'),('mi'),('o'),('oi'),('b'),('bi')), p AS (SELECT a.r AS r1, b.r AS r2 FROM r a, r b)
- SELECT r1, r2, CASE WHEN r1 = 'eq' THEN r2 WHEN r2 = 'eq' THEN r1 {COMPOSE_SQL} END AS relation FROM p""")
-def d8_allen_composition(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in ("eq", "s", "si", "f", "fi", "d", "di", "m", "mi", "o", "oi", "b", "bi")], "r1 string")
-    return names.crossJoin(names.withColumnRenamed("r1", "r2")).select("r1", "r2", T.compose(F.col("r1"), F.col("r2")).alias("relation"))
-
-
 @query(f"WITH {SPANS_SQL} SELECT k, floor(epoch(e - s) / 86400)::bigint AS days, floor(floor(epoch(e - s) / 86400) / 7)::bigint AS weeks FROM spans")
 def d9_durations(spark, sf_dir):
     d = T.whole_days(F.col("s"), F.col("e"))
@@ -106,25 +96,6 @@ def d10_whole_months(spark, sf_dir):
     return spans(spark, sf_dir).select("k", m.alias("months"), F.floor(m / 12).alias("years"))
 
 
-def _unit(name: str, expr: str) -> str:
-    return f"CASE WHEN {expr} > 0 THEN ({expr})::bigint || ' {name}' || CASE WHEN {expr} = 1 THEN '' ELSE 's' END END"
-
-
-_HUMAN = ", ".join(_unit(n, e) for n, e in (("day", "sec // 86400"), ("hour", "sec % 86400 // 3600"), ("minute", "sec % 3600 // 60"), ("second", "sec % 60")))
-
-
-@query(f"SELECT sec, array_to_string(list_filter([{_HUMAN}], lambda x: x IS NOT NULL)[1:2], ' ') AS human FROM (SELECT event_id * 7919 % 400000 AS sec FROM events)")
-def d11_human_duration(spark, sf_dir):
-    s = F.col("event_id") * 7919 % 400000
-    return table(spark, sf_dir, "events").select(s.alias("sec"), T.humanised(s).alias("human"))
-
-
-@query("SELECT event_id, dates[1]::timestamp AS day FROM (SELECT event_id, regexp_extract_all('seen on ' || strftime(ts, '%Y-%m-%d') || ' again', '20[0-9]{2}-[01][0-9]-[0-3][0-9]') AS dates FROM events)")
-def d13_query_dates(spark, sf_dir):
-    text = F.concat(F.lit("seen on "), F.date_format("ts", "yyyy-MM-dd"), F.lit(" again"))
-    return table(spark, sf_dir, "events").select("event_id", F.get(T.query_dates(text), F.lit(0))["from"].alias("day"))
-
-
 @query(f"WITH {M.RECORDS_SQL} SELECT id, {R(f'greatest(0.0, 1.0 - floor(epoch(timestamp {chr(39)}{M.AS_OF}{chr(39)} - created_at) / 86400) / 180.0)')} AS proximity FROM records")
 def d17_date_proximity(spark, sf_dir):
     r = M.records(spark, sf_dir)

@@ -84,17 +84,6 @@ def p11_private_tags(spark, sf_dir):
     return c.select("conv_id", "turn", X.redact_private(F.col("t")).alias("text"), F.regexp_count("t", F.lit(X.PRIVATE)).cast("long").alias("n"))
 
 
-def _redact_sql(expr: str) -> str:
-    for name, pattern in X.SECRETS:
-        expr = f"regexp_replace({expr}, '{pattern}', '[{name}]', 'g')"
-    return expr
-
-
-@query(f"SELECT doc_id AS id, sha256({_redact_sql('text')}) AS digest FROM documents")
-def p12_secret_redaction(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2(X.redact_secrets(F.col("text")), 256).alias("digest"))
-
-
 NORM = "regexp_replace(regexp_replace(lower({}), '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')"
 
 
@@ -217,11 +206,6 @@ def x11_chunks(spark, sf_dir):
     return c.select("id", "c.n", F.col("c.text").alias("chunk"))
 
 
-@query()
-def x7_content_type(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.content_type(F.col("text")).alias("kind"))
-
-
 @query("SELECT doc_id AS id, sha256(text) AS sha256, sha1(text) AS sha1 FROM documents")
 def x18_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"), F.sha1("text").alias("sha1"))
@@ -248,13 +232,3 @@ for _e, _p in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), (
 @query(f"SELECT page_id, trim(regexp_replace({ENT}, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS text FROM pages")
 def s5_html_ingest(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
-
-
-@query("""WITH s AS (SELECT conv_id, count(*) FILTER (role = 'user' AND regexp_matches(lower(text), 'thank|great|good|yes')) AS pos, count(*) FILTER (role = 'user' AND regexp_matches(lower(text), 'no |wrong|bad|not')) AS neg FROM conversations GROUP BY conv_id)
- SELECT conv_id, pos, neg, floor(CASE WHEN pos + neg = 0 THEN 0.5 ELSE pos / (pos + neg)::double END * 1e6 + 0.5) / 1e6 AS satisfaction FROM s""")
-def a25_x15_signals(spark, sf_dir):
-    user = F.col("role") == "user"
-    has = lambda p: F.count_if(user & F.lower("text").rlike(p))
-    s = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(has("thank|great|good|yes").alias("pos"), has("no |wrong|bad|not").alias("neg"))
-    ratio = F.when(F.col("pos") + F.col("neg") == 0, 0.5).otherwise(F.try_divide(F.col("pos"), F.col("pos") + F.col("neg")))
-    return s.select("conv_id", "pos", "neg", M.rounded(ratio).alias("satisfaction"))
