@@ -11,6 +11,7 @@ that occur at least twice. Keys travel as sorted, differenced and compressed arr
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import store
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_KEYS = 1 << 18
 U = np.uint64
 #: A column of counts in replies stops here.
@@ -176,6 +177,8 @@ def chunk_table(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_B
                     made, held, size = made + 1, [], 0
         if held:
             yield out()
+        held = []
+        slim()
 
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), body.alias("text"))
@@ -189,11 +192,23 @@ def read_body(body: bytes) -> tuple[pa.Array, list[bytes]]:
     return t.column("key").combine_chunks(), t.column("text").to_pylist()
 
 
+def slim() -> None:
+    """Hand unused memory back: workers live on between tasks, beside others on the same executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows one by one, so that only one chunk is open at a time."""
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+            slim()
+    _POWERS.clear()
+    slim()
 
 
 @contextmanager
@@ -280,6 +295,7 @@ def exchanged(sent: DataFrame, answer: Callable[[pa.Table], pa.Table], reply: st
 
     def one(key: tuple, group: pa.Table) -> pa.Table:
         out = answer(group)
+        slim()
         return out.append_column("bucket", pa.array([key[0].as_py()] * len(out), pa.int32()))
 
     replies = sent.groupBy("bucket").applyInArrow(one, reply + ", bucket int")
