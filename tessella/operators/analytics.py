@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.graph import cut
+
+
+def median_place(n: Column) -> Column:
+    """Of n sorted values, from 1: the upper one of the two in the middle."""
+    return F.floor(n / 2) + 1
+
+
+def nearest_place(p: float) -> Callable[[Column], Column]:
+    """The last of the first p * n values, at least the first."""
+    return lambda n: F.greatest(F.lit(1), F.floor(n * p))
+
+
+def index_place(p: float) -> Callable[[Column], Column]:
+    """The one after the first p * n values, at most the last."""
+    return lambda n: F.least(n, F.floor(n * p) + 1)
+
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """sorted[max(0, floor(p * n) - 1)] for p above one half, sorted[n // 2] for the median."""
-    s = F.sort_array(F.collect_list(values))
-    i = F.floor(F.size(s) / 2) if p == 0.5 else F.greatest(F.lit(0), F.floor(F.size(s) * p) - 1)
-    return F.get(s, i.cast("int"))
+def placed(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, place, n): every value's place among the ``n`` of its group, from 1. Values are sorted in ranges,
+    so no task and no row holds a group."""
+    tie = F.xxhash64(F.monotonically_increasing_id())
+    ranges = rows.where(F.col(value).isNotNull()).select(group, value, tie.alias("tie")).repartitionByRange(group, value, "tie")
+    parts = cut(ranges.withColumn("part", F.spark_partition_id()))
+    counts = parts.groupBy(group, "part").agg(F.count(F.lit(1)).alias("c"))
+    so_far = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(group, "part", F.coalesce(F.sum("c").over(so_far), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(group)).alias("n"))
+    rn = F.row_number().over(Window.partitionBy(group, "part").orderBy(value, "tie"))
+    # One row per group and range.
+    return parts.withColumn("rn", rn).join(F.broadcast(before), [group, "part"]).select(group, value, (F.col("before") + F.col("rn")).alias("place"), "n")
 
 
-def index_rank(values: Column, p: float) -> Column:
-    """sorted[min(n - 1, floor(n * p))]."""
-    s = F.sort_array(F.collect_list(values))
-    return F.get(s, F.least(F.size(s) - 1, F.floor(F.size(s) * p)).cast("int"))
+def percentiles(rows: DataFrame, group: str, value: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per group with a column per wanted percentile: the value at the place that its function of n gives."""
+    at = placed(rows, group, value)
+    return at.groupBy(group).agg(*(F.max(F.when(F.col("place") == place(F.col("n")), F.col(value))).alias(name) for name, place in wanted.items()))
 
 
 def laplace(ok: Column, n: Column) -> tuple[Column, Column]:

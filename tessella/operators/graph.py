@@ -11,10 +11,14 @@ from tessella import model as M
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the session names; a temporary one only where none is set."""
+    """checkpoint() in the folder that the session names. Only a local master, whose executors share the machine, gets one
+    of its own where none is set."""
     sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessella-"))
     return df.checkpoint()
 
 
@@ -87,10 +91,27 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def shortest_path_length(edges: DataFrame, pairs: DataFrame, depth: int = 5) -> DataFrame:
-    """(a, b, length) of the pairs within ``depth`` hops."""
-    reached = bfs(edges, pairs.select(F.col("a").alias("node")).distinct(), depth)
-    return pairs.join(reached.select(F.col("seed").alias("a"), F.col("node").alias("b"), F.col("hop").alias("length")), ["a", "b"])
+def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
+    """(seed, node, length, path) of all nodes within ``depth`` undirected hops; of equally short paths the first in
+    order. A path is an array of nodes, the seed first."""
+    steps = both_ways(edges.select("source", "target")).distinct()
+    seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("length"), F.array("node").alias("path"))
+    front = seen
+    for h in range(1, depth + 1):
+        longer = front.join(steps, front.node == steps.source).select("seed", F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"))
+        new = longer.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").groupBy("seed", "node").agg(F.min("path").alias("path"))
+        front = cut(new.select("seed", "node", F.lit(h).alias("length"), "path"))
+        seen = seen.unionByName(front)
+    return seen
+
+
+def communities(edges: DataFrame, least: int = 3) -> DataFrame:
+    """(node, component, size, rank) of components with at least ``least`` nodes, the largest first."""
+    c = components(edges)
+    sizes = c.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    # One row per component.
+    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
+    return c.join(ranked, "component").select("node", "component", "size", "rank")
 
 
 def activation_weight(w: Column) -> Column:
@@ -115,6 +136,21 @@ def spread(edges: DataFrame, seeds: DataFrame, threshold: float = 0.3, hops: tup
     return seen
 
 
+def spread_each(edges: DataFrame, seeds: DataFrame, threshold: float = 0.3, hops: tuple[float, ...] = (1.0, 0.7, 0.4, 0.2), depth: int = 2) -> DataFrame:
+    """Spreading activation of many queries at once: (qid, node, activation) from seeds (qid, node)."""
+    steps = both_ways(edges.select("source", "target", "weight")).withColumn("w", activation_weight(F.col("weight")))
+    seen = cut(seeds.select("qid", "node", F.lit(1.0).alias("activation")).distinct())
+    front = seen
+    n = F.col("paths")
+    bonus = F.when(n >= 5, 2.0).when(n == 4, 1.8).when(n == 3, 1.5).when(n == 2, 1.2).otherwise(1.0)
+    for d in range(1, depth + 1):
+        sent = front.join(steps, front.node == steps.source).select("qid", F.col("target").alias("node"), (F.col("activation") * F.col("w") * hops[d]).alias("a"))
+        new = sent.join(seen, ["qid", "node"], "left_anti").groupBy("qid", "node").agg(F.max("a").alias("a"), F.count(F.lit(1)).alias("paths"))
+        front = cut(new.select("qid", "node", F.least(F.lit(1.0), F.col("a") * bonus).alias("activation")).where(F.col("activation") >= threshold))
+        seen = seen.unionByName(front)
+    return seen
+
+
 def co_occurrence(links: DataFrame, least: int = 2) -> DataFrame:
     """Ordered node pairs on the same record, with how many records share them."""
     a, b = links.select("record", F.col("node").alias("a")), links.select("record", F.col("node").alias("b"))
@@ -140,9 +176,12 @@ def merge_duplicates(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     return winners, moved.groupBy("source", "target", "relation").agg(total.alias("weight"))
 
 
-def expand(edges: DataFrame, links: DataFrame, seeds: DataFrame, least: float = 0.3) -> DataFrame:
-    """Records on neighbours of the seeds' nodes: best edge weight times link strength."""
-    on = seeds.select(F.col("id").alias("record")).join(links, "record").select(F.col("node").alias("source")).distinct()
-    near = both_ways(edges.select("source", "target", "weight")).join(on, "source", "left_semi").groupBy(F.col("target").alias("node")).agg(F.max(activation_weight(F.col("weight"))).alias("w"))
-    hits = near.join(links, "node").groupBy("record").agg(F.max(F.col("w") * F.col("strength")).alias("score")).where(F.col("score") >= least)
+def expand(edges: DataFrame, links: DataFrame, seeds: DataFrame, least: float = 0.3, hops: int = 1) -> DataFrame:
+    """(record, score) of records on nodes within ``hops`` steps of the seeds' nodes, without the seeds: the best product of
+    edge weights times link strength."""
+    steps = both_ways(edges.select("source", "target", "weight")).withColumn("s", activation_weight(F.col("weight")))
+    on = seeds.select(F.col("id").alias("record")).join(links, "record").select("node").distinct().withColumn("w", F.lit(1.0))
+    for _ in range(hops):
+        on = on.join(steps, on.node == steps.source).groupBy(F.col("target").alias("node")).agg(F.max(F.col("w") * F.col("s")).alias("w"))
+    hits = on.join(links, "node").groupBy("record").agg(F.max(F.col("w") * F.col("strength")).alias("score")).where(F.col("score") >= least)
     return hits.join(seeds.select(F.col("id").alias("record")), "record", "left_anti")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,44 +41,6 @@ def confidence_decay(records: DataFrame, as_of: Column, factor: float = 0.95, fl
     return records.withColumn("confidence", F.when(stale, F.greatest(F.lit(floor), F.col("confidence") * factor)).otherwise(F.col("confidence")))
 
 
-def jaccard_pairs(records: DataFrame, least: float, block: list[str]) -> DataFrame:
-    """(a, b, jaccard) of records of one block whose word sets are alike: exact, by prefix filtering.
-
-    Words are ordered by frequency, rare first; alike sets share one of their rarest words.
-    """
-    w = records.select("id", *block, F.array_distinct(X.words(F.col("content"))).alias("w")).where(F.size("w") > 0)
-    each = w.select("id", *block, F.size("w").alias("n"), F.explode("w").alias("word"))
-    df = each.groupBy(*block, "word").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("id").orderBy("df", "word")
-    ranked = each.join(df, [*block, "word"]).withColumn("r", F.row_number().over(order))
-    prefix = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & (F.col("df") > 1)).select("id", *block, "n", "word")
-    x, y = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), *block, "word"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), *block, "word")
-    near = (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
-    cand = x.join(y, [*block, "word"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    sets = w.select("id", "w")
-    both = cand.join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    return both.select("a", "b", X.jaccard(F.col("wa"), F.col("wb")).alias("jaccard")).where(F.col("jaccard") > least)
-
-
-def greedy_groups(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Seeds by id absorb their later, unused partners. Greedy, so one block per task; blocks come from ``by``."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        partners: dict[int, list[int]] = {}
-        for a, b in sorted(zip(pdf.a, pdf.b, strict=True)):
-            partners.setdefault(a, []).append(b)
-        used: set[int] = set()
-        rows = []
-        for a in sorted(partners):
-            if a not in used:
-                mine = [b for b in partners[a] if b not in used]
-                used |= {a, *mine}
-                rows += [(a, m) for m in ([a, *mine] if mine else [])]
-        return pd.DataFrame(rows, columns=["seed", "id"])
-
-    return pairs.groupBy(*by).applyInPandas(one, "seed long, id long")
-
-
 def keep_longest(groups: DataFrame, records: DataFrame) -> DataFrame:
     """(seed, keep, dropped): of each group the longest text stays, the first on a tie."""
     g = groups.join(records.select("id", F.length("content").alias("n")), "id")
@@ -95,13 +56,28 @@ def resolve_entities(names: DataFrame, canon: DataFrame, aliases: DataFrame) ->
     return out.withColumn("how", how).withColumn("entity_id", F.when(F.col("how") != "pronoun", F.coalesce("exact", "by_alias"))).drop("exact", "by_alias")
 
 
+#: Largest vocabulary that is sent to all tasks; a larger one is joined by Spark as it sees fit.
+SENT_WORDS = 20_000
+
+
 def canonical_tags(tags: DataFrame, vocabulary: DataFrame, least: float = 0.8) -> DataFrame:
-    """Best word of a vocabulary (a list of fixed size) for each tag: equal, contained, or close in spelling."""
-    pairs = tags.join(F.broadcast(vocabulary), F.lit(True))
-    t, v = F.lower("tag"), F.col("word")
-    score = F.when(t == v, 2.0).when(F.contains(t, v) | F.contains(v, t), 1.5).otherwise(X.levenshtein_ratio(t, v))
+    """Best word (word, alias) of a vocabulary for each distinct tag: its alias or itself, one that contains it or that it contains,
+    or one close in spelling. ``alias`` may be null.
+
+    Equal ones are found by an equality join; only the tags left are compared with every word. A vocabulary of up to
+    SENT_WORDS rows is broadcast.
+    """
+    v = vocabulary.select("word", F.lower(F.coalesce("alias", "word")).alias("name")).unionByName(vocabulary.select("word", F.lower("word").alias("name"))).distinct()
+    t = tags.select("tag").distinct().withColumn("name", F.lower("tag"))
+    equal = t.join(v, "name").groupBy("tag").agg(F.min("word").alias("canonical"))
+    rest = t.join(equal.select("tag"), "tag", "left_anti")
+    words = vocabulary.select("word").distinct()
+    near = F.broadcast(words) if words.count() <= SENT_WORDS else words
+    w = F.lower("word")
+    score = F.when(F.contains("name", w) | F.contains(w, F.col("name")), 1.5).otherwise(X.levenshtein_ratio(F.col("name"), w))
     best = F.max_by(F.struct("word", "score"), F.struct("score", -F.length("word"), "word"))
-    return pairs.withColumn("score", score).groupBy("tag").agg(best.alias("b")).select("tag", F.when(F.col("b.score") >= least, F.col("b.word")).alias("canonical"))
+    found = rest.join(near, F.lit(True)).withColumn("score", score).groupBy("tag").agg(best.alias("b")).select("tag", F.when(F.col("b.score") >= least, F.col("b.word")).alias("canonical"))
+    return equal.unionByName(found)
 
 
 def pending(outbox: DataFrame, done: DataFrame) -> DataFrame:

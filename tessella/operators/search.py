@@ -5,30 +5,43 @@ A tier is a DataFrame (qid, id, tier, rank, raw); tiers meet in one grouped sum.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import model as M
 from tessella.functions import text as X
+from tessella.operators.graph import cut
+
 
+def postings(queries: DataFrame, records: DataFrame, least: int = 2) -> DataFrame:
+    """(id, term, dl, tf) of the terms that queries have, and a row of the empty term per document.
 
-def postings(records: DataFrame, least: int = 2) -> DataFrame:
-    """(id, term, tf, dl): one row per document and term."""
-    t = records.select("id", X.tokens(F.col("content"), least).alias("t")).withColumn("dl", F.size("t"))
-    return t.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    Texts are split once; terms that no query has are dropped before anything is grouped. Which join drops them is
+    left to Spark, by the size of the query set.
+    """
+    wanted = queries.select(F.explode(F.array_distinct(X.tokens(F.col("query"), least))).alias("term")).distinct()
+    wanted = wanted.unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    t = records.select("id", X.tokens(F.coalesce("content", F.lit("")), least).alias("t")).withColumn("dl", F.size("t"))
+    each = t.select("id", "dl", F.explode(F.array_append("t", F.lit(""))).alias("term")).join(wanted, "term", "left_semi")
+    return each.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(queries: DataFrame, records: DataFrame, k: int = 10, k1: float = M.BM25_K1, b: float = M.BM25_B) -> DataFrame:
-    """(qid, id, score, rank) of the best ``k`` per query. Only terms that a query has are counted.
+    """(qid, id, score, rank) of the best ``k`` per query.
 
-    Document lengths and frequencies come from one pass; a query set that is small is broadcast by Spark itself.
+    Lengths, frequencies and scores all come from one pass over the texts, kept as a table of the queries' terms.
     """
+    p = cut(postings(queries, records))
     q = queries.select("qid", F.explode(F.array_distinct(X.tokens(F.col("query"), 2))).alias("term"))
-    lengths = records.select("id", F.size(X.tokens(F.col("content"), 2)).alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    p = postings(records).join(q.select("term").distinct(), "term", "left_semi")
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = p.where(F.col("term") == "").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = p.where(F.col("term") != "").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl")  # stats: one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -59,19 +72,115 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+#: Queries that are compared at a time, and vectors of a block.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+
+
+def _by_block(queries: DataFrame, vectors: DataFrame, keep, schema: str) -> DataFrame:
+    """``keep(qids, Q, ids, V)`` of every block of ``vectors`` (id, v) against blocks of the stated query set (qid, qv).
+
+    Queries travel with the task, at most QUERY_BLOCK at a time; a block keeps its best for each query, so what is
+    shuffled grows with queries and blocks, not with pairs.
+    """
+    rows = queries.select("qid", "qv").where(F.col("qv").isNotNull()).orderBy("qid").collect()  # the stated query set
+    parts = []
+    for at in range(0, max(1, len(rows)), QUERY_BLOCK):
+        some = rows[at : at + QUERY_BLOCK]
+        qids, q = np.array([r.qid for r in some], dtype=np.int64), np.array([r.qv for r in some], dtype=np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch], qids: np.ndarray = qids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows if len(qids) else 0, VECTOR_BLOCK):
+                    part = batch.slice(i, VECTOR_BLOCK)
+                    part = part.filter(pc.is_valid(part.column(1)))
+                    if part.num_rows:
+                        ids = part.column(0).to_numpy()
+                        v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
+                        order = np.argsort(ids, kind="stable")
+                        yield keep(qids, q, ids[order], v[order])
+
+        parts.append(vectors.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _normed(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(axis=1))
+
+
+def _smallest(keys: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` smallest keys of each row."""
+    if keys.shape[1] <= k:
+        return np.broadcast_to(np.arange(keys.shape[1]), keys.shape)
+    return np.argpartition(keys, k - 1, axis=1)[:, :k]
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, shortlist: int = 50) -> DataFrame:
-    """Hamming shortlist per query, then cosine. ``queries`` (qid, qv) is the stated query set, ``vectors`` (id, v)."""
-    q = queries.withColumn("qs", sign_word(F.col("qv")))
-    v = vectors.withColumn("vs", sign_word(F.col("v")))
-    near = v.join(q, F.lit(True)).select("qid", "id", "v", "qv", hamming(F.col("qs"), F.col("vs")).alias("h"))
-    first = Window.partitionBy("qid").orderBy("h", "id")
-    kept = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= shortlist)
-    return top_k(kept.select("qid", "id", "h", cosine(F.col("qv"), F.col("v")).alias("score")), k)
-
-
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    pairs = vectors.join(queries, F.lit(True)).select("qid", "id", cosine(F.col("qv"), F.col("v")).alias("score"))
-    return top_k(pairs, k)
+    """Hamming shortlist per query, then cosine: (qid, id, h, score, rank). Ties of distance go by id."""
+
+    def keep(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        bits = lambda x: np.packbits(x > 0, axis=1)
+        qb, vb = bits(q), bits(v)
+        h = sum(np.bitwise_count(qb[:, j, None] ^ vb[None, :, j]).astype(np.int64) for j in range(qb.shape[1]))
+        best = _smallest(h * len(ids) + np.arange(len(ids)), shortlist)
+        rows = np.repeat(np.arange(len(qids)), best.shape[1])
+        at = best.ravel()
+        cos = np.einsum("ij,ij->i", q[rows], v[at]) / (_normed(q)[rows] * _normed(v)[at] + 1e-10)
+        return pa.record_batch([pa.array(qids[rows]), pa.array(ids[at]), pa.array(h[rows, at].astype(np.int32)), pa.array(cos)], names=["qid", "id", "h", "score"])
+
+    near = _by_block(queries, vectors, keep, "qid long, id long, h int, score double")
+    n = F.row_number().over(Window.partitionBy("qid").orderBy("h", "id"))
+    return top_k(near.withColumn("n", n).where(F.col("n") <= shortlist).drop("n"), k)
+
+
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
+    """(qid, id, score, rank): the best ``k`` by cosine, of those with at least ``least``; ties go by id."""
+
+    def keep(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        cos = (q @ v.T) / (_normed(q)[:, None] * _normed(v)[None, :] + 1e-10)
+        ranked = np.floor(-cos * 1e6 + 0.5).astype(np.int64)  # as ``top_k`` ranks them
+        best = _smallest(ranked * len(ids) + np.arange(len(ids)), k + 8)
+        rows, at = np.repeat(np.arange(len(qids)), best.shape[1]), best.ravel()
+        score = cos[rows, at]
+        good = np.ones(len(score), dtype=bool) if least is None else score >= least
+        return pa.record_batch([pa.array(qids[rows][good]), pa.array(ids[at][good]), pa.array(score[good])], names=["qid", "id", "score"])
+
+    return top_k(_by_block(queries, vectors, keep, "qid long, id long, score double"), k)
+
+
+def containing(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, term) where a record's lower-cased content contains a term of the stated term list, anywhere: one pass
+    over each text with an automaton of all terms."""
+    wanted = sorted({r.term for r in terms.select("term").distinct().collect() if r.term})  # the stated query set's terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, t in enumerate(wanted):
+            automaton.add_word(t, i)
+        automaton.make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hit = {j for _, j in automaton.iter(text)} if text else ()
+                ids += [i] * len(hit)
+                found += [wanted[j] for j in hit]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "term"])
+
+    if not wanted:
+        return records.sparkSession.createDataFrame([], "id long, term string")
+    return records.select(F.col("id").cast("long").alias("id"), F.lower("content").alias("t")).mapInArrow(run, "id long, term string")
+
+
+def shared_features(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """(qid, id, shared, jaccard) of feature sets: ``queries`` (qid, f) is the stated query set, ``records`` (id, f).
+
+    Features of the queries are joined by equality; a record's matches are counted by the task that reads it.
+    """
+    q = queries.select("qid", F.size("f").alias("nq"), F.explode("f").alias("w"))
+    r = records.select("id", F.size("f").alias("nr"), F.explode("f").alias("w"))
+    both = r.join(q, "w").groupBy("qid", "id", "nq", "nr").agg(F.count(F.lit(1)).alias("shared"))
+    return both.select("qid", "id", "shared", (F.col("shared") / (F.col("nq") + F.col("nr") - F.col("shared"))).alias("jaccard"))
 
 
 def decay(age_days: Column, half_life: Column | int, floor: float = 0.01, missing: float = 0.5) -> Column:

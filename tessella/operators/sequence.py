@@ -32,19 +32,29 @@ def clamped_fold(events: Column, start: float, steps: dict[str, float], other: f
     return F.aggregate(events, F.lit(start), lambda a, e: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), a + delta(e))) * 10000 + 0.5) / 10000)
 
 
-def version_chain(records: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, last, steps): the end of each record's chain of ``superseded_by``; loops end after ``rounds``."""
+def version_chain(records: DataFrame) -> DataFrame:
+    """(id, last, steps): the end of each record's chain of ``superseded_by``. Every round doubles the jumps, so a chain of n
+    records takes log n rounds; records on a ring, or whose chain leads into one, have no end (null)."""
     from tessella.operators.graph import cut
 
-    nxt = records.select(F.col("id").alias("at"), F.col("superseded_by").alias("nxt")).where(F.col("superseded_by").isNotNull())
-    chain = records.select("id", F.col("id").alias("last"), F.lit(0).alias("steps"))
+    known = records.select(F.col("id").alias("nxt")).distinct()
+    hop = records.where(F.col("superseded_by").isNotNull()).select("id", F.col("superseded_by").alias("nxt"))
+    # A successor that is no record is an end.
+    ends = hop.join(known, "nxt", "left_anti").select(F.col("nxt").alias("id")).distinct()
+    first = records.select("id", F.coalesce("superseded_by", "id").alias("last"), F.col("superseded_by").isNotNull().cast("long").alias("steps"))
+    jump = cut(first.unionByName(ends.select("id", F.col("id").alias("last"), F.lit(0).cast("long").alias("steps"))))
+    rounds = max(1, jump.count()).bit_length()
     for _ in range(rounds):
-        step = chain.join(nxt, chain.last == nxt["at"], "left")
-        moved = cut(step.select("id", F.coalesce("nxt", "last").alias("last"), (F.col("steps") + F.col("nxt").isNotNull().cast("int")).alias("steps"), F.col("nxt").isNotNull().alias("moved")))
-        chain = moved.drop("moved")
-        if not moved.where("moved").limit(1).count():
-            break
-    return chain
+        far = jump.select(F.col("id").alias("last"), F.col("last").alias("further"), F.col("steps").alias("more"))
+        step = jump.join(far, "last").select("id", F.col("further").alias("last"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved"))
+        nxt = cut(step)
+        jump = nxt.drop("moved")
+        if not nxt.where("moved").limit(1).count():
+            return records.select("id").join(jump, "id")
+    # What still moves after so many doublings goes round.
+    far = jump.select(F.col("id").alias("last"), F.col("steps").alias("more"))
+    ring = F.col("more") > 0
+    return records.select("id").join(jump, "id").join(far, "last").select("id", F.when(~ring, F.col("last")).alias("last"), F.when(~ring, F.col("steps")).alias("steps"))
 
 
 def error_fix_pairs(events: DataFrame, key: str, time: str, kind: str, error: str, fix: str) -> DataFrame:

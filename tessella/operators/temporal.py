@@ -88,17 +88,17 @@ def compose(a: Column, b: Column) -> Column:
     return F.try_element_at(pairs, F.concat_ws(" ", a, b))
 
 
-def overlap_join(points: DataFrame, spans: DataFrame, bucket_days: int = 32) -> DataFrame:
-    """Rows of both sides (s1, e1) and (s2, e2) whose closed ranges overlap.
+def overlap_join(points: DataFrame, spans: DataFrame, bucket: int = 86400, by: list[str] | None = None) -> DataFrame:
+    """Rows of both sides (s1, e1) and (s2, e2) whose closed ranges overlap, and agree on the columns ``by``.
 
-    Ranges are cut into buckets of days and joined on the bucket; a pair counts in the first bucket they share,
-    so there is no non-equi join and no pair twice.
+    Ranges are cut into buckets of so many seconds (about the length of a usual range) and joined on the bucket;
+    a pair counts in the first bucket they share, so there is no non-equi join and no pair twice.
     """
-    day = lambda c: F.floor(F.unix_timestamp(c) / (86400 * bucket_days))
-    a = points.withColumn("bucket", F.explode(F.sequence(day(F.col("s1")), day(F.col("e1")))))
-    b = spans.withColumn("bucket", F.explode(F.sequence(day(F.col("s2")), day(F.col("e2")))))
-    hit = (F.col("s1") <= F.col("e2")) & (F.col("e1") >= F.col("s2")) & (F.col("bucket") == day(F.greatest("s1", "s2")))
-    return a.join(b, "bucket").where(hit).drop("bucket")
+    slot = lambda c: F.floor(F.unix_timestamp(c) / bucket)
+    a = points.withColumn("bucket", F.explode(F.sequence(slot(F.col("s1")), slot(F.col("e1")))))
+    b = spans.withColumn("bucket", F.explode(F.sequence(slot(F.col("s2")), slot(F.col("e2")))))
+    hit = (F.col("s1") <= F.col("e2")) & (F.col("e1") >= F.col("s2")) & (F.col("bucket") == slot(F.greatest("s1", "s2")))
+    return a.join(b, ["bucket", *(by or [])]).where(hit).drop("bucket")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, time: str, right_time: str, value: str) -> DataFrame:

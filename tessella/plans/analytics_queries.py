@@ -127,8 +127,7 @@ def a7_health(spark, sf_dir):
 @query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS l FROM events GROUP BY event_type)
  SELECT event_type, l[len(l) // 2 + 1] AS p50, l[greatest(0, floor(len(l) * 0.95)::bigint - 1) + 1] AS p95, l[least(len(l) - 1, floor(len(l) * 0.99)::bigint) + 1] AS p99 FROM s""")
 def a8_a40_percentile_ranks(spark, sf_dir):
-    v = F.col("value")
-    return events(spark, sf_dir).groupBy("event_type").agg(A.nearest_rank(v, 0.5).alias("p50"), A.nearest_rank(v, 0.95).alias("p95"), A.index_rank(v, 0.99).alias("p99"))
+    return A.percentiles(events(spark, sf_dir), "event_type", "value", {"p50": A.median_place, "p95": A.nearest_place(0.95), "p99": A.index_place(0.99)})
 
 
 @query(f"SELECT event_type, {R('quantile_cont(value, 0.5)')} AS p50, {R('quantile_cont(value, 0.95)')} AS p95 FROM events GROUP BY event_type")
@@ -177,12 +176,22 @@ def a20_filter_savings(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.floor((F.col("n_chars") - kept) / 4)).cast("long").alias("tokens"), M.rounded(F.avg(1.0 - kept / F.col("n_chars")), 4).alias("saved"))
 
 
-@query("""SELECT count(*) FILTER (event_type = 'view') AS pending, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'error') AS failed,
- count(*) FILTER (event_type = 'purchase' AND ts > timestamp '2024-01-29') AS done_lately, epoch(timestamp '2024-01-31' - min(ts) FILTER (event_type = 'view'))::bigint AS oldest FROM events""")
+_AS_OF = f"timestamp '{M.EVENTS_AS_OF}'"
+
+
+@query(
+    f"""WITH q AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status, ts AS fin, value FROM events),
+ d AS (SELECT floor(value * 1000 + 0.5) AS ms FROM q WHERE status = 'done' ORDER BY id DESC LIMIT 100), l AS (SELECT list_sort(list(ms)) AS l FROM d), f AS (SELECT list(id ORDER BY id DESC) AS ids FROM (SELECT id FROM q WHERE status = 'failed' ORDER BY id DESC LIMIT 5))
+ SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'done' AND fin > {_AS_OF} - INTERVAL 60 SECOND AND fin <= {_AS_OF}) AS per_minute,
+ floor(epoch_us({_AS_OF} - min(fin) FILTER (status = 'pending')) / 1000000.0)::bigint AS oldest, any_value(l[len(l) // 2 + 1])::double AS p50, any_value(l[greatest(0, floor(len(l) * 0.95)::bigint - 1) + 1])::double AS p95, array_to_string(any_value(ids), ',') AS last_failures FROM q, l, f"""
+)
 def a21_queue_health(spark, sf_dir):
-    k, n = F.col("event_type"), F.count_if
-    oldest = F.unix_timestamp(ended()) - F.unix_timestamp(F.min(F.when(k == "view", F.date_trunc("second", F.col("ts").cast("timestamp")))))
-    return events(spark, sf_dir).agg(n(k == "view").alias("pending"), n(k == "purchase").alias("done"), n(k == "error").alias("failed"), n((k == "purchase") & (F.col("ts") > F.lit("2024-01-29").cast("timestamp"))).alias("done_lately"), oldest.alias("oldest"))
+    from tessella.operators import queues
+
+    k = F.col("event_type")
+    status = F.when(k == "view", "pending").when(k == "purchase", "done").when(k == "error", "failed").otherwise("processing")
+    q = events(spark, sf_dir).select(F.col("event_id").alias("id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.floor(F.col("value") * 1000 + 0.5).cast("double").alias("ms"))
+    return queues.health(q, ended())
 
 
 HITS = "hits AS (SELECT o_custkey AS qid, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), wanted AS (SELECT o_custkey AS qid, o_orderkey AS id FROM orders WHERE o_orderstatus = 'F')"

@@ -59,11 +59,12 @@ def g5_neighbourhood(spark, sf_dir):
     return G.bfs(sparse(spark, sf_dir), seeds(spark, sf_dir), 4)
 
 
-@query(f"WITH RECURSIVE {BFS_SQL} SELECT seed AS a, node AS b, hop AS length FROM bfs WHERE node > 1000")
-def g6_shortest_path_length(spark, sf_dir):
-    e = sparse(spark, sf_dir)
-    pairs = seeds(spark, sf_dir).select(F.col("node").alias("a")).crossJoin(G.nodes_of(e).where("node > 1000").select(F.col("node").alias("b")))
-    return G.shortest_path_length(e, pairs, 4)
+@query(f"""WITH RECURSIVE {BFS_SQL}, p(seed, node, hop, path) AS (SELECT seed, node, hop, [node] FROM bfs WHERE hop = 0 UNION ALL
+ SELECT b.seed, b.node, b.hop, min(list_append(p.path, b.node)) FROM p JOIN st ON st.source = p.node JOIN bfs b ON b.seed = p.seed AND b.node = st.target AND b.hop = p.hop + 1 GROUP BY b.seed, b.node, b.hop)
+ SELECT seed, node, hop AS length, array_to_string(path, '>') AS path FROM p WHERE node > 1000""")
+def g6_shortest_path(spark, sf_dir):
+    found = G.shortest_paths(sparse(spark, sf_dir), seeds(spark, sf_dir), 4).where("node > 1000")
+    return found.select("seed", "node", "length", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query(f"WITH RECURSIVE {BFS_SQL} SELECT node FROM bfs GROUP BY node HAVING count(DISTINCT seed) = (SELECT count(DISTINCT seed) FROM bfs)")
@@ -92,6 +93,12 @@ def g10_components(spark, sf_dir):
     return G.components(sparse(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {SPARSE}, st AS (SELECT source, target FROM sp UNION SELECT target, source FROM sp), r(node, c) AS (SELECT source, source FROM st UNION SELECT st.target, r.c FROM r JOIN st ON st.source = r.node),
+ c AS (SELECT node, min(c) AS component FROM r GROUP BY node), s AS (SELECT component, count(*) AS size FROM c GROUP BY component HAVING count(*) >= 3) SELECT node, component, size, rank FROM c JOIN (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS rank FROM s) USING (component)""")
+def g10_communities(spark, sf_dir):
+    return G.communities(sparse(spark, sf_dir))
+
+
 CO = f"{M.LINKS_SQL}, co AS (SELECT a.node AS a, b.node AS b, count(*) AS n FROM links a JOIN links b ON a.record = b.record AND a.node < b.node GROUP BY ALL)"
 
 

@@ -165,29 +165,6 @@ def g15_g23_weaken_and_prune(spark, sf_dir):
     return M.edges(spark, sf_dir).where("weight - 0.5D >= 0.6D").select("source", "target", "relation", M.rounded(w).alias("weight"))
 
 
-@query(f"""WITH v AS (SELECT vec_id AS id, label, embedding FROM embeddings), p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.label = b.label AND a.id < b.id AND list_cosine_similarity(a.embedding::double[], b.embedding::double[]) BETWEEN 0.3 AND 0.95) SELECT a, b FROM p""")
-def l12_fact_merge_band(spark, sf_dir):
-    from tessella.operators.search import cosine
-
-    v = table(spark, sf_dir, "embeddings")
-    a, b = v.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va")), v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb"))
-    c = cosine(F.col("va"), F.col("vb"))
-    return a.join(b, "label").where(F.col("a") < F.col("b")).where((c >= 0.3) & (c <= 0.95)).select("a", "b")
-
-
-@query()
-def l6_cosine_dedup(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label", (F.col("vec_id") * 7 % 1000).alias("at"))
-    return V.greedy_near_duplicates(v, ["label"], "at", 0.4)
-
-
-@query()
-def l13_episode_clusters(spark, sf_dir):
-    lk = M.links(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("project")), "record")
-    e = lk.groupBy("project", F.col("record").alias("id")).agg(F.collect_set("node").alias("concepts"))
-    return V.cluster_episodes(e, ["project"], 0.3, 2)
-
-
 @query("SELECT DISTINCT CASE WHEN l_suppkey % 10 = 3 THEN l_suppkey - 1 ELSE l_suppkey END AS entity, l_partkey % 40 AS alias FROM lineitem")
 def l15_merge_canonicals(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity"), (F.col("l_partkey") % 40).alias("alias"))
@@ -195,13 +172,6 @@ def l15_merge_canonicals(spark, sf_dir):
     return li.join(into, "entity", "left").select(F.coalesce("into", "entity").alias("entity"), "alias").distinct()
 
 
-@query(f"""WITH s AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') - count(*) FILTER (event_type = 'error') AS importance, avg(value) / 100 AS confidence FROM events GROUP BY user_id) SELECT user_id, importance, importance >= 2 AND confidence >= 0.45 AS promote FROM s""")
-def l20_insight_votes(spark, sf_dir):
-    k = F.col("event_type")
-    s = table(spark, sf_dir, "events").groupBy("user_id").agg((F.count_if(k == "purchase") - F.count_if(k == "error")).alias("importance"), (F.avg("value") / 100).alias("confidence"))
-    return s.select("user_id", "importance", ((F.col("importance") >= 2) & (F.col("confidence") >= 0.45)).alias("promote"))
-
-
 @query("SELECT user_id, count(*) AS recall_count, max(ts) AS last_recalled FROM events WHERE event_type = 'view' GROUP BY user_id")
 def l21_bump_recall(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type = 'view'").groupBy("user_id").agg(F.count(F.lit(1)).alias("recall_count"), F.max("ts").alias("last_recalled"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +60,7 @@ def r1_bm25_normalised(spark, sf_dir):
 @query(f"WITH {M.RECORDS_SQL}, {QUERIES_SQL} SELECT qid, id, count(*) AS score FROM records, (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(query), '[a-z0-9_]{{2,}}')) AS term FROM queries ) q WHERE contains(lower(content), term) GROUP BY qid, id")
 def r3_contained_terms(spark, sf_dir):
     q = queries_of(spark, sf_dir).select("qid", F.explode(F.array_distinct(X.tokens(F.col("query"), 2))).alias("term"))
-    r = M.records(spark, sf_dir).select("id", F.lower("content").alias("c"))
-    return r.join(q, F.col("c").contains(F.col("term"))).groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score"))
+    return S.containing(M.records(spark, sf_dir), q).join(q, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score"))
 
 
 @query("SELECT vec_id AS id, list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 AND i = 64 THEN -(1::hugeint << 63) WHEN x > 0 THEN (1::hugeint << (i - 1)::int) ELSE 0 END))::hugeint::varchar AS word FROM embeddings")
@@ -83,24 +84,20 @@ def r6_exact_cosine(spark, sf_dir):
 
 @query(f"WITH {VEC_SQL}, r AS (SELECT d.*, label AS space, row_number() OVER (PARTITION BY qid, label ORDER BY floor(score * 1e6 + 0.5) DESC, id) AS n FROM dist d JOIN embeddings ON vec_id = id WHERE label IN (1, 2)) SELECT qid, id, space, {R('score', 4)} AS score FROM r WHERE n <= 3")
 def r7_vector_store_by_space(spark, sf_dir):
-    from pyspark.sql import Window
-
-    v = vectors(spark, sf_dir).where(F.col("space").isin(1, 2))
-    pairs = v.join(vector_queries(spark, sf_dir), F.lit(True)).select("qid", "id", "space", S.cosine(F.col("qv"), F.col("v")).alias("score"))
-    n = F.row_number().over(Window.partitionBy("qid", "space").orderBy(F.desc(M.rounded(F.col("score"))), "id"))
-    return pairs.withColumn("n", n).where("n <= 3").select("qid", "id", "space", M.rounded(F.col("score"), 4).alias("score"))
+    v, q = vectors(spark, sf_dir), vector_queries(spark, sf_dir)
+    found = [S.exact_top_k(q, v.where(F.col("space") == n), 3).withColumn("space", F.lit(n)) for n in (1, 2)]
+    return found[0].unionByName(found[1]).select("qid", "id", F.col("space").cast("long").alias("space"), M.rounded(F.col("score"), 4).alias("score"))
 
 
 @query(f"""WITH {VEC_SQL}, viewed AS (SELECT qid, id // 5 AS parent, ['raw','summary','keywords','questions','compressed'][(id % 5 + 1)::int] AS view, score FROM dist WHERE score > 0),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY qid, view ORDER BY floor(score * 1e6 + 0.5) DESC, parent) AS rank FROM viewed)
  SELECT qid, parent AS id, {R('sum(1.0 / (60 + rank))')} AS score, arg_max(view, score) AS winner FROM ranked WHERE rank <= 10 GROUP BY qid, parent""")
 def r8_multi_view_winner(spark, sf_dir):
-    from pyspark.sql import Window
-
     views = ("raw", "summary", "keywords", "questions", "compressed")
-    pairs = vectors(spark, sf_dir).join(vector_queries(spark, sf_dir), F.lit(True)).select("qid", F.floor(F.col("id") / 5).alias("parent"), M.pick(views, F.col("id") % 5).alias("view"), S.cosine(F.col("qv"), F.col("v")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid", "view").orderBy(F.desc(M.rounded(F.col("score"))), "parent"))
-    top = pairs.where("score > 0").withColumn("rank", rank).where("rank <= 10")
+    q = vector_queries(spark, sf_dir)
+    # One vector per parent and view, so a view's ten best parents are its ten best vectors.
+    tops = [S.exact_top_k(q, vectors(spark, sf_dir).where(F.col("id") % 5 == n), 10).where("score > 0").withColumn("view", F.lit(v)) for n, v in enumerate(views)]
+    top = reduce(DataFrame.unionByName, tops).withColumn("parent", F.floor(F.col("id") / 5))
     return top.groupBy("qid", F.col("parent").alias("id")).agg(M.rounded(F.sum(1.0 / (60 + F.col("rank")))).alias("score"), F.max_by("view", "score").alias("winner"))
 
 
@@ -139,11 +136,17 @@ def r15_decay_and_importance(spark, sf_dir):
     return r.select("id", M.rounded(d * S.importance_factor(F.col("importance"))).alias("factor"))
 
 
-@query(f"WITH {VEC_SQL}, s AS (SELECT qid, id, score, least(10.0, h) AS ce FROM dist) SELECT qid, id, {R('greatest(score, 0.4 / (1.0 + exp(-(ce - 5))) + 0.6 * score)')} AS ce_score, {R('0.6 * ce / 10 + 0.4 * score')} AS llm_score FROM s")
+#: The best 20 of each query: what re-ranking and fusion work on.
+TOP_SQL = f"{VEC_SQL}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY h, id) AS n FROM dist) WHERE n <= 50), top20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY floor(score * 1e6 + 0.5) DESC, id) AS rank FROM top) WHERE rank <= 20)"
+
+
+def top20(spark, sf_dir):
+    return S.vector_top_k(vector_queries(spark, sf_dir), vectors(spark, sf_dir).select("id", "v"), 20)
+
+
+@query(f"WITH {TOP_SQL}, s AS (SELECT qid, id, score, least(10.0, h) AS ce FROM top20) SELECT qid, id, {R('greatest(score, 0.4 / (1.0 + exp(-(ce - 5))) + 0.6 * score)')} AS ce_score, {R('0.6 * ce / 10 + 0.4 * score')} AS llm_score FROM s")
 def r19_r20_rerank_blends(spark, sf_dir):
-    pairs = vectors(spark, sf_dir).join(vector_queries(spark, sf_dir), F.lit(True))
-    h = F.least(F.lit(10.0), S.hamming(S.sign_word(F.col("qv")), S.sign_word(F.col("v"))).cast("double"))
-    s = pairs.select("qid", "id", S.cosine(F.col("qv"), F.col("v")).alias("score"), h.alias("ce"))
+    s = top20(spark, sf_dir).select("qid", "id", "score", F.least(F.lit(10.0), F.col("h").cast("double")).alias("ce"))
     return s.select("qid", "id", M.rounded(S.blend(F.col("score"), S.sigmoid(F.col("ce") - 5), 0.4, True)).alias("ce_score"), M.rounded(S.blend(F.col("score"), F.col("ce") / 10, 0.6)).alias("llm_score"))
 
 
@@ -153,34 +156,39 @@ def r21_adaptive_mmr(spark, sf_dir):
     return S.mmr(hits.join(vectors(spark, sf_dir).select("id", "v"), "id").select("qid", "id", "score", "v"))
 
 
-@query(f"""WITH {VEC_SQL}, a AS (SELECT qid, id, score / sum(score) OVER (PARTITION BY qid) * 0.9 AS ma FROM dist WHERE score > 0.1),
- b AS (SELECT qid, id, (64 - h) / sum(64 - h) OVER (PARTITION BY qid)::double * 0.9 AS mb FROM dist WHERE h < 30),
+@query(f"""WITH {TOP_SQL}, a AS (SELECT qid, id, score / sum(score) OVER (PARTITION BY qid) * 0.9 AS ma FROM top20 WHERE score > 0.1),
+ b AS (SELECT qid, id, (64 - h) / sum(64 - h) OVER (PARTITION BY qid)::double * 0.9 AS mb FROM top20 WHERE h < 30),
  ab AS (SELECT qid, id, coalesce(ma, 0) AS ma, coalesce(mb, 0) AS mb FROM a FULL JOIN b USING (qid, id)),
  c AS (SELECT *, sum(ma) OVER (PARTITION BY qid) * sum(mb) OVER (PARTITION BY qid) - sum(ma * mb) OVER (PARTITION BY qid) AS k FROM ab)
  SELECT qid, id, {R('(ma * mb + 0.1 * ma + 0.1 * mb) / (1 - k)')} AS mass, {R('k')} AS conflict FROM c""")
 def r27_dempster_shafer(spark, sf_dir):
-    pairs = vectors(spark, sf_dir).join(vector_queries(spark, sf_dir), F.lit(True))
-    h = S.hamming(S.sign_word(F.col("qv")), S.sign_word(F.col("v")))
-    d = pairs.select("qid", "id", S.cosine(F.col("qv"), F.col("v")).alias("score"), h.alias("h"))
+    d = top20(spark, sf_dir)
     out = S.dempster_shafer(d.where("score > 0.1").select("qid", "id", "score"), d.where("h < 30").select("qid", "id", (64.0 - F.col("h")).alias("score")))
     return out.select("qid", "id", M.rounded(F.col("mass")).alias("mass"), M.rounded(F.col("conflict")).alias("conflict"))
 
 
-@query(f"""WITH {M.RECORDS_SQL}, f AS (SELECT id, type, list_distinct(list_concat(tags, regexp_extract_all(lower(content), '[a-z]{{4,}}'))) AS f FROM records),
- q AS (SELECT * FROM f WHERE id % 100 = 0) SELECT q.id AS qid, f.id, {R('len(list_intersect(q.f, f.f)) / len(list_distinct(list_concat(q.f, f.f)))::double')} AS score
- FROM q JOIN f ON q.id <> f.id WHERE f.type IN ('solution', 'lesson', 'decision') AND len(list_intersect(q.f, f.f)) >= 0.02 * len(list_distinct(list_concat(q.f, f.f)))""")
+#: Words that say nothing about what a record is about.
+ANALOGY_STOPS = ("this", "that", "from", "with", "have", "when", "what", "where", "which", "about", "there", "their", "they", "then", "than", "been", "were", "would", "could", "should", "some", "more", "like", "into", "also", "very", "just", "over", "only", "such", "these", "those", "html", "http", "https", "using", "used", "uses")
+_ANALOGY_SQL = f"""{M.RECORDS_SQL}, f AS (SELECT id, type, list_filter(list_distinct(list_concat(list_transform(tags, lambda t: lower(t)), regexp_extract_all(lower(content), '[a-z][a-z0-9_]{{3,}}'))), lambda w: NOT list_contains([{', '.join(f"'{w}'" for w in ANALOGY_STOPS)}], w)) AS f FROM records), q AS (SELECT * FROM f WHERE id % 100 = 0),
+ p AS (SELECT q.id AS qid, f.id, len(list_intersect(q.f, f.f)) AS n, len(q.f) + len(f.f) AS s FROM q JOIN f ON q.id <> f.id WHERE f.type IN ('solution', 'lesson', 'decision'))"""
+
+
+def analogies(spark, sf_dir):
+    words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z][a-z0-9_]{3,}"), F.lit(0))
+    f = M.records(spark, sf_dir).select("id", "type", F.filter(F.array_distinct(F.concat(F.transform("tags", F.lower), words)), lambda w: ~w.isin(*ANALOGY_STOPS)).alias("f"))
+    q = f.where("id % 100 = 0").select(F.col("id").alias("qid"), "f")
+    return S.shared_features(q, f.where(F.col("type").isin("solution", "lesson", "decision"))).where("qid <> id")
+
+
+@query(f"WITH {_ANALOGY_SQL} SELECT qid, id, {R('n / (s - n)::double')} AS score FROM p WHERE n >= 0.1 * (s - n)")
 def r31_analogy(spark, sf_dir):
-    r = M.records(spark, sf_dir)
-    words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{4,}"), F.lit(0))
-    f = r.select("id", "type", F.array_distinct(F.concat("tags", words)).alias("f"))
-    q = f.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("f").alias("qf"))
-    inter, union = F.size(F.array_intersect("qf", "f")), F.size(F.array_union("qf", "f"))
-    return f.where(F.col("type").isin("solution", "lesson", "decision")).join(q, F.col("qid") != F.col("id")).where(inter >= 0.02 * union).select("qid", "id", M.rounded(inter / union).alias("score"))
+    return analogies(spark, sf_dir).where("jaccard >= 0.1").select("qid", "id", M.rounded(F.col("jaccard")).alias("score"))
 
 
-@query()
-def r11_fuzzy_tier(spark, sf_dir):
-    return S.fuzzy(queries_of(spark, sf_dir), M.records(spark, sf_dir), 50, 0.1)
+@query(f"WITH {_ANALOGY_SQL} SELECT qid, id, {R('n / (s - n)::double')} AS score FROM p WHERE n > 0 AND n >= 0.02 * (s - n)")
+def r31_analogy_low(spark, sf_dir):
+    """With a lower threshold, for the thin texts of the tables."""
+    return analogies(spark, sf_dir).where("jaccard >= 0.02").select("qid", "id", M.rounded(F.col("jaccard")).alias("score"))
 
 
 @query(f"SELECT doc_id AS id, {R('1.0 / (1.0 + exp(-(4.0 * (doc_id % 100) / 100.0 - 2.0)))')} AS p FROM documents")

@@ -115,7 +115,7 @@ def j12_interval_overlap_join(spark, sf_dir):
     p = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("s1"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("e1"))
     s2 = F.timestamp_seconds(F.unix_timestamp(ts("2024-01-01")) + F.col("o_orderkey") % 720 * 3600)
     q = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"), s2.alias("s2")).withColumn("e2", F.col("s2") + F.expr("INTERVAL 30 MINUTES"))
-    return T.overlap_join(p, q, 1).groupBy("event_id").agg(F.count(F.lit(1)).alias("hits"))
+    return T.overlap_join(p, q, 3600).groupBy("event_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query("""WITH v AS (SELECT user_id, ts AS at, event_id AS last_error FROM events WHERE event_type = 'error')
@@ -172,7 +172,7 @@ def w9_latest_row(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last_text"), F.max("turn").alias("turn"))
 
 
-@query(f"""WITH RECURSIVE {M.RECORDS_SQL}, c(id, last, steps) AS (SELECT id, id, 0 FROM records UNION ALL SELECT c.id, r.superseded_by, c.steps + 1 FROM c JOIN records r ON r.id = c.last AND r.superseded_by IS NOT NULL WHERE c.steps < 20)
+@query(f"""WITH RECURSIVE {M.RECORDS_SQL}, c(id, last, steps) AS (SELECT id, id, 0 FROM records UNION ALL SELECT c.id, r.superseded_by, c.steps + 1 FROM c JOIN records r ON r.id = c.last AND r.superseded_by IS NOT NULL WHERE c.steps < 100)
  SELECT id, arg_max(last, steps) AS last, max(steps) AS steps FROM c GROUP BY id""")
 def w10_version_chain(spark, sf_dir):
     return Q.version_chain(M.records(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella import model as M
 from tessella.functions import text as X
+from tessella.operators import consolidate as C
 from tessella.operators import lifecycle as L
 from tessella.plans.registry import query
 from tessella.session import table
@@ -92,20 +93,31 @@ def l1_exact_duplicates(spark, sf_dir):
     return L.exact_duplicates(rec(spark, sf_dir))
 
 
-JACC = f"""w AS (SELECT id, project, list_distinct({WORDS.format('content')}) AS w FROM records),
- jp AS (SELECT a.id AS a, b.id AS b, a.project, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double AS jaccard FROM w a JOIN w b ON a.project = b.project AND a.id < b.id
+#: Word sets, their classes (equal sets of a project go to the smallest id) and pairs of representatives.
+JACC = f"""w AS (SELECT id, project, list_sort(list_distinct({WORDS.format('content')})) AS w FROM records), cl AS (SELECT id, project, w, min(id) OVER (PARTITION BY project, w) AS rep FROM w WHERE len(w) > 0),
+ jr AS (SELECT * FROM cl WHERE id = rep), jp AS (SELECT a.id AS a, b.id AS b, a.project, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double AS jaccard FROM jr a JOIN jr b ON a.project = b.project AND a.id < b.id
   WHERE len(a.w) >= 0.75 * len(b.w) AND len(b.w) >= 0.75 * len(a.w))"""
 
 
-@query(f"WITH {REC}, {JACC} SELECT a, b, {R('jaccard')} AS jaccard FROM jp WHERE jaccard > 0.75")
+def word_sets(spark, sf_dir):
+    w = rec(spark, sf_dir).select("id", "project", F.array_sort(F.array_distinct(X.words(F.col("content")))).alias("s"))
+    return w.where(F.size("s") > 0)
+
+
+@query(f"WITH {REC}, {JACC} SELECT a, b, {R('jaccard')} AS jaccard FROM jp WHERE jaccard > 0.75 UNION ALL SELECT rep, id, 1.0 FROM cl WHERE id <> rep")
 def j15_l2_similarity_join(spark, sf_dir):
-    return L.jaccard_pairs(rec(spark, sf_dir), 0.75, ["project"]).select("a", "b", M.rounded(F.col("jaccard")).alias("jaccard"))
+    """Pairs of different texts, and every copy with its representative: no pairs among copies."""
+    w = word_sets(spark, sf_dir)
+    member = C.classes(w, ["project"], F.col("s"))
+    reps = w.join(member.where("id = rep").select("id"), "id", "left_semi")
+    pairs = C.alike_sets(reps, ["project"], 0.75).where("jaccard > 0.75D").select("a", "b", M.rounded(F.col("jaccard")).alias("jaccard"))
+    return pairs.unionByName(member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 @query()
 def l3_l4_consolidate_groups(spark, sf_dir):
-    pairs = L.jaccard_pairs(rec(spark, sf_dir), 0.75, ["project"]).join(rec(spark, sf_dir).select(F.col("id").alias("a"), "project"), "a")
-    return L.keep_longest(L.greedy_groups(pairs, ["project"]), rec(spark, sf_dir))
+    r = rec(spark, sf_dir)
+    return L.keep_longest(C.groups(r, ["project"], 0.75), r)
 
 
 @query(f"""WITH {REC}, a AS (SELECT *, {AGE.format('coalesce(last_recalled, created_at)')} AS age FROM records)
@@ -139,17 +151,20 @@ def l14_resolve_entities(spark, sf_dir):
     return L.resolve_entities(e.select("event_id", name.alias("name")), canon, aliases).select("event_id", "how", "entity_id")
 
 
-TAGS = ("colour", "python", "databases", "speed")
-_TAGS_SQL = "(VALUES " + ", ".join(f"('{t}')" for t in TAGS) + ") v(word)"
+#: Words of a vocabulary, some with another name.
+TOPICS = (("colour", "color"), ("python", None), ("databases", None), ("speed", "fast"), ("almond", None), ("postgresql", "postgres"))
+_TOPICS_SQL = "(VALUES " + ", ".join(f"('{w}', {'NULL' if a is None else repr(a)})" for w, a in TOPICS) + ") v(word, alias)"
 
 
-@query(f"""WITH t AS (SELECT DISTINCT lower(p_name) AS tag FROM part UNION SELECT unnest(['color', 'Pythons', 'database', 'sped', 'zzz'])), s AS (SELECT tag, word, CASE WHEN lower(tag) = word THEN 2.0 WHEN contains(lower(tag), word) OR contains(word, lower(tag)) THEN 1.5
- WHEN (greatest(length(tag), length(word)) - least(length(tag), length(word))) * 2 > greatest(length(tag), length(word)) THEN 0.0 ELSE 1.0 - levenshtein(lower(tag), word)::double / greatest(length(tag), length(word)) END AS score FROM t, {_TAGS_SQL})
- SELECT tag, CASE WHEN max(score) >= 0.8 THEN arg_max(word, (score, -length(word), word)) END AS canonical FROM s GROUP BY tag""")
+@query(f"""WITH v AS (SELECT * FROM {_TOPICS_SQL}), t AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS tag FROM part UNION SELECT unnest(['color', 'Pythons', 'database', 'sped', 'zzz', 'Postgres'])),
+ e AS (SELECT tag, min(word) AS canonical FROM t JOIN v ON lower(tag) = lower(word) OR lower(tag) = lower(alias) GROUP BY tag),
+ s AS (SELECT tag, word, CASE WHEN contains(lower(tag), word) OR contains(word, lower(tag)) THEN 1.5 WHEN (greatest(length(tag), length(word)) - least(length(tag), length(word))) * 2 > greatest(length(tag), length(word)) THEN 0.0
+  ELSE 1.0 - levenshtein(lower(tag), word)::double / greatest(length(tag), length(word)) END AS score FROM t, v WHERE tag NOT IN (SELECT tag FROM e))
+ SELECT tag, canonical FROM e UNION ALL SELECT tag, CASE WHEN max(score) >= 0.8 THEN arg_max(word, (score, -length(word), word)) END FROM s GROUP BY tag""")
 def l16_canonical_tags(spark, sf_dir):
-    more = spark.createDataFrame([(t,) for t in ("color", "Pythons", "database", "sped", "zzz")], "tag string")
-    tags = table(spark, sf_dir, "part").select(F.lower("p_name").alias("tag")).union(more).distinct()
-    return L.canonical_tags(tags, spark.createDataFrame([(t,) for t in TAGS], "word string"))
+    more = spark.createDataFrame([(t,) for t in ("color", "Pythons", "database", "sped", "zzz", "Postgres")], "tag string")
+    tags = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("tag")).union(more)
+    return L.canonical_tags(tags, spark.createDataFrame(list(TOPICS), "word string, alias string"))
 
 
 @query("SELECT doc_id AS id, sha1(doc_id::varchar || chr(1) || source) AS hash FROM documents WHERE doc_id % 3 <> 0")
