@@ -188,6 +188,38 @@ def query_dates(query: Column) -> Column:
     )
 
 
+def entry_time(content: Column) -> Column:
+    """When an entry was said, from a head such as ``[3:05 pm on 7 June, 2023]``; null without one."""
+    form = rf"(?i)^\s*\[(\d{{1,2}}):(\d{{2}}) ([ap])m on (\d{{1,2}}) ({_MONTH}), (\d{{4}})\]"
+    g = lambda n: F.regexp_extract(F.lower(content), form, n)
+    day = F.try_to_timestamp(F.concat_ws("-", g(6), month_number(g(5)).cast("string"), g(4)), F.lit("y-M-d"))
+    hour = g(1).try_cast("int") % 12 + F.when(g(3) == "p", 12).otherwise(0)
+    return F.when(content.rlike(form), F.timestamp_seconds(F.unix_timestamp(day) + hour * 3600 + g(2).try_cast("int") * 60))
+
+
+def tag_range(tag: Column) -> Column:
+    """(from, to) of a tag that is a month (2023-04), a year (2023) or a quarter (Q2-2023)."""
+    year, month = F.regexp_extract(tag, r"^(\d{4})(?:-(\d{2}))?$", 1), F.regexp_extract(tag, r"^\d{4}-(\d{2})$", 1)
+    quarter, of = F.regexp_extract(tag, r"(?i)^q([1-4])-(\d{4})$", 1), F.regexp_extract(tag, r"(?i)^q[1-4]-(\d{4})$", 1)
+    span = lambda a, n: F.when(a.isNotNull(), F.struct(a.alias("from"), (_months(a, F.lit(n)) - F.expr("INTERVAL 1 SECOND")).alias("to")))
+    first = _month_start(of, (quarter.try_cast("int") - 1) * 3 + 1)
+    return F.coalesce(F.when(month != "", span(_month_start(year, month), 1)), F.when(year != "", span(_month_start(year, F.lit(1)), 12)), F.when(quarter != "", span(first, 3)))
+
+
+def record_range(content: Column, tags: Column) -> Column:
+    """(from, to, source) that a record is about: the hour of its head, else the widest range of the dates in its text, else of its
+    tags; null if nothing says."""
+    head = entry_time(content)
+    wide = lambda a: F.struct(F.array_min(F.transform(a, lambda r: r["from"])).alias("from"), F.array_max(F.transform(a, lambda r: r["to"])).alias("to"))
+    dates, own = query_dates(content), F.filter(F.transform(tags, tag_range), lambda r: r.isNotNull())
+    out = lambda a, b, s: F.struct(a.alias("from"), b.alias("to"), F.lit(s).alias("source"))
+    return F.coalesce(
+        F.when(head.isNotNull(), out(head, head + F.expr("INTERVAL 1 HOUR"), "entry_prefix")),
+        let(dates, lambda d: F.when(F.size(d) > 0, out(wide(d)["from"], wide(d)["to"], "content_regex"))),
+        let(own, lambda d: F.when(F.size(d) > 0, out(wide(d)["from"], wide(d)["to"], "tag"))),
+    )
+
+
 def temporal_intent(query: Column) -> Column:
     """Whether a query speaks of time: one of the words anywhere in it, or a date."""
     return any_word(F.lower(query), TEMPORAL_WORDS) | (F.size(query_dates(query)) > 0)

@@ -170,12 +170,6 @@ def a18_a19_error_rules(spark, sf_dir):
     return repeated.join(ruled, "user_id", "left_anti")
 
 
-@query(f"SELECT lang, sum((n_chars - length(text) * 3 // 4) // 4)::bigint AS tokens, {R('avg(1.0 - length(text) * 3 // 4 / n_chars::double)', 4)} AS saved FROM documents GROUP BY lang")
-def a20_filter_savings(spark, sf_dir):
-    kept = F.floor(F.length("text") * 3 / 4)
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.floor((F.col("n_chars") - kept) / 4)).cast("long").alias("tokens"), M.rounded(F.avg(1.0 - kept / F.col("n_chars")), 4).alias("saved"))
-
-
 _AS_OF = f"timestamp '{M.EVENTS_AS_OF}'"
 
 
@@ -257,20 +251,6 @@ def a33_token_f1(spark, sf_dir):
     return pairs.select("k", M.rounded(A.token_f1(F.col("a"), F.col("b"))).alias("f1"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'retrieval_miss' WHEN value < 10 THEN 'over_cautious' WHEN value > 95 THEN 'format_drift' WHEN value >= 60 THEN 'judge_disagree' ELSE 'hallucination' END AS bucket FROM events""")
-def a34_failure_buckets(spark, sf_dir):
-    v = F.col("value")
-    b = F.when(F.col("event_type") == "error", "retrieval_miss").when(v < 10, "over_cautious").when(v > 95, "format_drift").when(v >= 60, "judge_disagree").otherwise("hallucination")
-    return events(spark, sf_dir).select("event_id", b.alias("bucket"))
-
-
-@query(f"""WITH w AS (SELECT ts >= timestamp '2024-01-15' AS now, avg(value) AS v FROM events GROUP BY 1) SELECT max(v) FILTER (now) >= max(v) FILTER (NOT now) - 0.01 * 100 AS passes FROM w""")
-def a35_regression_gate(spark, sf_dir):
-    now = F.col("ts") >= F.lit("2024-01-15").cast("timestamp")
-    w = events(spark, sf_dir).agg(F.avg(F.when(now, F.col("value"))).alias("a"), F.avg(F.when(~now, F.col("value"))).alias("b"))
-    return w.select((F.col("a") >= F.col("b") - 1.0).alias("passes"))
-
-
 @query(f"WITH {REC} SELECT project, n FROM (SELECT project, count(*) AS n FROM records WHERE created_at >= timestamp '2024-05-01' GROUP BY project) ORDER BY n DESC, project LIMIT 5")
 def a37_weekly_digest(spark, sf_dir):
     recent = M.records(spark, sf_dir).where(F.col("created_at") >= F.lit("2024-05-01").cast("timestamp"))

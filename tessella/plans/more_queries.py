@@ -76,13 +76,6 @@ def r33_fact_lookup(spark, sf_dir):
     return A.ranked(e, ["s_name"], [F.desc("weight"), "target"], 3).select(F.col("s_name").alias("entity"), "relation", "target", "weight")
 
 
-@query("""SELECT c_custkey AS id, (CASE WHEN starts_with(lower(c_name), 'customer#00000') THEN 5 ELSE 0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 0 END + CASE WHEN c_nationkey = 1 THEN 1 ELSE 0 END)::bigint AS score FROM customer WHERE starts_with(lower(c_name), 'customer#00000')""")
-def r35_subject_predicate(spark, sf_dir):
-    c, prefix = table(spark, sf_dir, "customer"), F.lower("c_name").startswith("customer#00000")
-    score = F.when(prefix, 5).otherwise(0) + F.when(F.col("c_mktsegment") == "BUILDING", 2).otherwise(0) + F.when(F.col("c_nationkey") == 1, 1).otherwise(0)
-    return c.where(prefix).select(F.col("c_custkey").alias("id"), score.cast("long").alias("score"))
-
-
 @query("SELECT user_id, event_id FROM events WHERE (props ->> 'k')::int = 7 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
 def r36_y44_event_search(spark, sf_dir):
     e = table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k") == "7")
@@ -107,31 +100,12 @@ def r32_skill_triggers(spark, sf_dir):
     return s.where("score >= 0.3").select("qid", "id", M.rounded(F.col("score")).alias("score"))
 
 
-@query(f"WITH {REC} SELECT id, project FROM records WHERE list_contains(tags, 'tag2') OR contains(content, 'src/') QUALIFY row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id) <= 5")
-def r46_file_warnings(spark, sf_dir):
-    r = rec(spark, sf_dir).where(F.array_contains("tags", "tag2") | F.col("content").contains("src/"))
-    return A.ranked(r, ["project"], [F.desc("created_at"), "id"], 5).select("id", "project")
-
-
-@query(f"WITH {REC}, t AS (SELECT project, id, sum(least(n_chars, 400)) OVER (PARTITION BY project ORDER BY recall_count DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM records WHERE status = 'active') SELECT project, id, used::bigint AS used FROM t WHERE used <= 4000")
-def r45_r47_start_context(spark, sf_dir):
-    r = rec(spark, sf_dir).where("status = 'active'").withColumn("size", F.least("n_chars", F.lit(400)))
-    return V.within_budget(r, "project", [F.desc("recall_count"), "id"], "size", 4000).select("project", "id", F.col("used").cast("long").alias("used"))
-
-
 @query("SELECT event_id, strptime(regexp_extract(t, '^\\[([^\\]]+)\\]', 1), '%I:%M %p on %-d %B, %Y') AS day FROM (SELECT event_id, strftime(ts, '[%I:%M %p on %-d %B, %Y] said') AS t FROM events)")
 def d15_entry_prefix(spark, sf_dir):
     t = F.date_format("ts", "'['hh:mm a 'on' d MMMM, yyyy'] said'")
     return table(spark, sf_dir, "events").select("event_id", F.to_timestamp(F.regexp_extract(t, r"^\[([^\]]+)\]", 1), "hh:mm a 'on' d MMMM, yyyy").alias("day"))
 
 
-@query(f"""WITH {REC}, c AS (SELECT id, created_at, CASE WHEN id % 4 = 0 THEN created_at END AS prefix, CASE WHEN id % 4 = 1 THEN date_trunc('month', created_at) END AS content_date FROM records)
- SELECT id, coalesce(prefix, content_date, date_trunc('year', created_at))::timestamp AS ts_from, CASE WHEN prefix IS NOT NULL THEN 'prefix' WHEN content_date IS NOT NULL THEN 'content' ELSE 'tag' END AS source FROM c""")
-def d16_index_record_dates(spark, sf_dir):
-    prefix, content = F.when(F.col("id") % 4 == 0, F.col("created_at")), F.when(F.col("id") % 4 == 1, F.date_trunc("month", "created_at"))
-    return rec(spark, sf_dir).select("id", F.coalesce(prefix, content, F.date_trunc("year", "created_at")).alias("ts_from"), F.when(prefix.isNotNull(), "prefix").when(content.isNotNull(), "content").otherwise("tag").alias("source"))
-
-
 @query(f"""WITH {REC}, {M.LINKS_SQL}, x AS (SELECT a.node AS node, b.node AS peer FROM links a JOIN links b ON a.record = b.record AND a.node <> b.node) SELECT node, count(DISTINCT peer) AS peers FROM x GROUP BY node""")
 def j16_peers(spark, sf_dir):
     lk = M.links(spark, sf_dir).select("record", "node").distinct()
@@ -214,14 +188,6 @@ def y1_y2_y3_top_for_concepts(spark, sf_dir):
     return A.ranked(r, ["project"], [F.desc("confidence"), F.desc("recall_count"), "id"], 10).select("project", "id", "confidence", "recall_count")
 
 
-@query(f"""WITH {REC}, t AS (SELECT id, project, unnest(tags) AS tag FROM records WHERE type = 'solution'), p AS (SELECT a.project AS pa, b.project AS pb, a.tag, count(*) AS n FROM t a JOIN t b ON a.tag = b.tag AND a.project < b.project GROUP BY ALL) SELECT pa, pb, tag, n FROM p WHERE n >= 2""")
-def y5_pattern_bridge(spark, sf_dir):
-    # Counted per project and tag first: pairs of projects, never pairs of records.
-    t = rec(spark, sf_dir).where("type = 'solution'").select("project", F.explode("tags").alias("tag")).groupBy("project", "tag").agg(F.count(F.lit(1)).alias("m"))
-    a, b = t.select(F.col("project").alias("pa"), "tag", F.col("m").alias("ma")), t.select(F.col("project").alias("pb"), "tag", F.col("m").alias("mb"))
-    return a.join(b, "tag").where("pa < pb").select("pa", "pb", "tag", (F.col("ma") * F.col("mb")).alias("n")).where("n >= 2")
-
-
 @query("SELECT s_suppkey AS node, s_name FROM supplier WHERE s_name LIKE '%00001%' ORDER BY s_name LIMIT 50")
 def y10_node_search(spark, sf_dir):
     return table(spark, sf_dir, "supplier").where(F.col("s_name").contains("00001")).orderBy("s_name").limit(50).select(F.col("s_suppkey").alias("node"), "s_name")
@@ -238,24 +204,6 @@ def y15_y41_summary(spark, sf_dir):
     return rec(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), M.rounded(F.avg("confidence"), 4).alias("mean_confidence"), F.count_if(F.col("type") == "lesson").alias("lessons"), F.count_if(F.col("superseded_by").isNotNull()).alias("replaced"))
 
 
-@query(f"SELECT user_id, event_type, count(*) AS runs, {R('avg(value)', 4)} AS mean_value FROM events GROUP BY user_id, event_type QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) <= 2")
-def y17_y18_workflow_statistics(spark, sf_dir):
-    s = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("runs"), F.avg("value").alias("v"))
-    return A.ranked(s, ["user_id"], [F.desc("runs"), "event_type"], 2).select("user_id", "event_type", "runs", M.rounded(F.col("v"), 4).alias("mean_value"))
-
-
-@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 4 AND count(*) FILTER (role = 'system') = 0")
-def y31_compression_candidates(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "system").alias("s"))
-    return c.where("n > 4 AND s = 0").select("conv_id", "n")
-
-
-@query("SELECT conv_id, turn, role, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 'open' ELSE 'closed' END AS phase FROM conversations")
-def z9_y38_task_phases(spark, sf_dir):
-    last = F.max("turn").over(Window.partitionBy("conv_id"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when(F.col("turn") == last, "open").otherwise("closed").alias("phase"))
-
-
 @query("SELECT date_trunc('day', ts)::timestamp AS day, user_id, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= 2")
 def z5_error_bursts(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'error'")

@@ -207,9 +207,3 @@ def r40_platt_fit(spark, sf_dir):
     rows = VectorAssembler(inputCols=["s"], outputCol="features").transform(d.select(marks.alias("s"), F.col("quality").cast("double").alias("label")))
     m = LogisticRegression(regParam=0.0, maxIter=50).fit(rows)
     return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "a double, b double")
-
-
-@query("""SELECT id, CASE WHEN c >= 70 THEN 'veto' WHEN e >= 65 AND e - c >= 10 THEN 'supported' WHEN c >= 40 THEN 'contradicted' ELSE 'unsure' END AS decision FROM (SELECT doc_id AS id, doc_id % 100 AS e, doc_id * 7 % 100 AS c FROM documents)""")
-def r39_r41_answer_decision(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 100).alias("e"), (F.col("doc_id") * 7 % 100).alias("c"))
-    return d.select("id", F.when(F.col("c") >= 70, "veto").when((F.col("e") >= 65) & (F.col("e") - F.col("c") >= 10), "supported").when(F.col("c") >= 40, "contradicted").otherwise("unsure").alias("decision"))

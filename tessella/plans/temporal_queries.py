@@ -102,13 +102,6 @@ def d17_date_proximity(spark, sf_dir):
     return r.select("id", M.rounded(T.proximity(T.whole_days(F.lit(M.AS_OF).cast("timestamp"), F.col("created_at")))).alias("proximity"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderdate < timestamp '1998-01-01' AND o_orderstatus <> 'F' THEN 'overdue' WHEN o_orderdate < timestamp '1998-01-08' AND o_orderdate >= timestamp '1998-01-01' THEN 'upcoming' ELSE 'other' END AS state FROM orders")
-def d19_task_states(spark, sf_dir):
-    d = F.col("o_orderdate")
-    state = F.when((d < ts("1998-01-01")) & (F.col("o_orderstatus") != "F"), "overdue").when((d < ts("1998-01-08")) & (d >= ts("1998-01-01")), "upcoming").otherwise("other")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), state.alias("state"))
-
-
 @query("""WITH p AS (SELECT event_id, ts AS s1, ts + INTERVAL 1 HOUR AS e1 FROM events), q AS (SELECT o_orderkey AS k, timestamp '2024-01-01' + to_hours((o_orderkey % 720)::bigint) AS s2 FROM orders WHERE o_orderstatus = 'P')
  SELECT event_id, count(*) AS hits FROM p JOIN q ON s1 <= s2 + INTERVAL 30 MINUTE AND e1 >= s2 GROUP BY event_id""")
 def j12_interval_overlap_join(spark, sf_dir):

@@ -49,11 +49,6 @@ def p5_embedding_space_filter(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").where(F.col("label").isin(1, 4, 7)).select(F.col("vec_id").alias("id"))
 
 
-@query(f"WITH {REC} SELECT id FROM records WHERE list_has_any(tags, ['Topic1', 'Topic2']) AND type = 'fact'")
-def p6_enrichment_filter(spark, sf_dir):
-    return rec(spark, sf_dir).where(F.arrays_overlap("tags", F.array(F.lit("Topic1"), F.lit("Topic2"))) & (F.col("type") == "fact")).select("id")
-
-
 @query(f"WITH {REC} SELECT id FROM records WHERE created_at <= timestamp '2024-03-01' AND coalesce(last_recalled, created_at) >= timestamp '2024-02-01'")
 def p7_date_filter(spark, sf_dir):
     return rec(spark, sf_dir).where((F.col("created_at") <= F.lit("2024-03-01").cast("timestamp")) & (F.coalesce("last_recalled", "created_at") >= F.lit("2024-02-01").cast("timestamp"))).select("id")

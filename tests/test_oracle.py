@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from tessella.plans import analytics_queries, consolidate_queries, graph_queries, more_queries, phrase_queries, recall_queries, rule_queries, search_queries, temporal_queries, text_queries  # noqa: F401
+from tessella.plans import analytics_queries, consolidate_queries, graph_queries, more_queries, phrase_queries, recall_queries, report_queries, rule_queries, search_queries, temporal_queries, text_queries  # noqa: F401
 from tessella.plans.registry import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
