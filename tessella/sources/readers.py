@@ -48,12 +48,19 @@ def export_json(records: DataFrame, path: str, version: str = "1") -> None:
     records.where("status = 'active'").withColumn("export_version", F.lit(version)).write.json(path)
 
 
-def markdown(records: DataFrame) -> DataFrame:
-    """(project, markdown): one document per project, sections by type, newest first."""
+def markdown_lines(records: DataFrame) -> DataFrame:
+    """(project, type, place, line): the lines of each project's document in their order, newest first in a section. A project
+    of any size stays in rows."""
     line = F.concat(F.lit("- "), F.regexp_replace(F.substring("content", 1, 200), r"[ \t\n\r]+", " "))
-    item = F.sort_array(F.collect_list(F.struct((-F.unix_timestamp("created_at")).alias("o"), F.col("id"), line.alias("l"))))
-    per_type = records.groupBy("project", "type").agg(F.concat(F.lit("## "), F.col("type"), F.lit("\n"), F.array_join(F.transform(item, lambda x: x["l"]), "\n")).alias("section"))
-    return per_type.groupBy("project").agg(F.concat(F.lit("# "), F.col("project"), F.lit("\n\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("type", "section"))), lambda x: x["section"]), "\n\n")).alias("markdown"))
+    place = F.struct("type", (-F.unix_timestamp("created_at")).alias("t"), "id")
+    return records.select("project", "type", place.alias("place"), line.alias("line"))
+
+
+def write_markdown(records: DataFrame, path: str) -> None:
+    """One folder of text per project: a heading per type, then its lines. Large projects become several files in order."""
+    heads = records.select("project", "type").distinct().select("project", "type", F.struct("type", F.lit(-(1 << 62)).alias("t"), F.lit(-1).cast("long").alias("id")).alias("place"), F.concat(F.lit("## "), F.col("type")).alias("line"))
+    every = markdown_lines(records).unionByName(heads)
+    every.repartitionByRange("project", "place").sortWithinPartitions("project", "place").select("project", F.col("line").alias("value")).write.partitionBy("project").text(path)
 
 
 def frontmatter(files: DataFrame, text: str = "value") -> DataFrame:
@@ -61,3 +68,40 @@ def frontmatter(files: DataFrame, text: str = "value") -> DataFrame:
     head = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---\n", 1)
     pairs = F.transform(F.filter(F.split(head, "\n"), lambda s: s.contains(":")), lambda s: F.struct(F.btrim(F.split_part(s, F.lit(":"), F.lit(1))).alias("k"), F.btrim(F.regexp_replace(s, r"^[^:]*:", "")).alias("v")))
     return files.withColumn("meta", F.map_from_entries(F.array_distinct(pairs))).withColumn("body", F.regexp_replace(text, r"(?s)^---\n.*?\n---\n", ""))
+
+
+def wiki(records: DataFrame, k: int = 10) -> DataFrame:
+    """(project, part, rank, line): each project's page as rows: top decisions, active solutions, conventions, latest changes."""
+    from pyspark.sql import Window
+
+    line = F.concat(F.lit("- "), F.regexp_replace(F.substring("content", 1, 160), r"[ \t\n\r]+", " "))
+    active = records.where("status = 'active'").withColumn("line", line)
+
+    def part(rows: DataFrame, name: str, order: list) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy("project").orderBy(*order, "id"))
+        return rows.withColumn("rank", n).where(F.col("rank") <= k).select("project", F.lit(name).alias("part"), "rank", "id", "line")
+
+    newest = [F.desc("created_at")]
+    parts = [part(active.where("type = 'decision'"), "decisions", [F.desc("confidence")]), part(active.where("type = 'solution'"), "solutions", [F.desc("recall_count")]), part(active.where("type = 'convention'"), "conventions", newest), part(active, "changes", newest)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def sqlite_table(spark: SparkSession, path: str, query: str, schema: str, rows: int, step: int = 100_000) -> DataFrame:
+    """Rows of a query on a database file in a shared folder, read in ranges of ``rowid``. ``query`` has ``{low}`` and ``{high}``; ``rows``
+    is the largest rowid."""
+    import pandas as pd
+
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+
+    def run(batches):
+        import sqlite3
+
+        for b in batches:
+            for low in b.id:
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
+                    yield pd.DataFrame(c.execute(query.format(low=low, high=low + step)).fetchall(), columns=names)
+
+    return spark.range(0, rows + 1, step).mapInPandas(run, schema)

@@ -71,5 +71,75 @@ def test_exports(spark, sf_dir, tmp_path):
     r = model.records(spark, sf_dir)
     readers.export_json(r, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == r.where("status = 'active'").count()
-    md = readers.markdown(r).first().markdown
-    assert md.startswith("# ") and "## " in md
+
+
+def events_in(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def at(minutes):
+    import datetime as dt
+
+    return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+
+
+def test_prompts_once(spark, tmp_path):
+    schema, path = "session string, prompt string, ts timestamp", str(tmp_path / "p")
+    events_in(spark, path, [("a", "hi", at(0)), ("a", "hi", at(2)), ("b", "hi", at(2)), ("a", " ", at(3)), ("a", "other", at(3))], schema)
+    got = run(streams.prompts_once(streams.event_stream(spark, path, schema)), spark, "prompts", tmp_path)
+    assert sorted((r.session, r.prompt) for r in got.collect()) == [("a", "hi"), ("a", "other"), ("b", "hi")]
+    # Long after the window the same prompt counts again.
+    events_in(spark, path, [("z", "later", at(100))], schema)
+    run(streams.prompts_once(streams.event_stream(spark, path, schema)), spark, "prompts", tmp_path)
+    events_in(spark, path, [("a", "hi", at(120))], schema)
+    q = streams.prompts_once(streams.event_stream(spark, path, schema)).writeStream.format("memory").queryName("prompts2").option("checkpointLocation", str(tmp_path / "prompts")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [(r.session, r.ts) for r in spark.table("prompts2").collect()] == [("a", at(120))]
+
+
+def test_change_feed_has_a_cursor_per_table(spark, tmp_path):
+    schema = "id long, ts timestamp"
+    tables = {n: (str(tmp_path / n), schema) for n in ("one", "two")}
+    events_in(spark, tables["one"][0], [(1, at(0))], schema)
+    events_in(spark, tables["two"][0], [(7, at(0))], schema)
+    assert sorted(map(tuple, run(streams.change_feed(spark, tables), spark, "feed", tmp_path).select("table", "id").collect())) == [("one", 1), ("two", 7)]
+    events_in(spark, tables["two"][0], [(8, at(1))], schema)
+    q = streams.change_feed(spark, tables).writeStream.format("memory").queryName("feed2").option("checkpointLocation", str(tmp_path / "feed")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [tuple(r) for r in spark.table("feed2").select("table", "id").collect()] == [("two", 8)]
+
+
+def test_worker_retries_and_fails(spark, tmp_path):
+    path, queue = str(tmp_path / "tasks"), str(tmp_path / "queue")
+    process = lambda d: d.select("id", (F.col("id") % 2 == 0).alias("ok"), F.when(F.col("id") % 2 == 1, "odd").alias("error"))
+    for n, ids in enumerate(([1, 2], [3], [4], [6])):
+        events_in(spark, path, [(i, at(0)) for i in ids], "id long, ts timestamp")
+        q = streams.worker(streams.event_stream(spark, path, "id long, ts timestamp"), process, queue, str(tmp_path / "cp"))
+        q.awaitTermination(60)
+        state = {r.id: (r.status, r.attempts) for r in spark.read.parquet(f"{queue}/generation={n}").collect()}
+    assert state == {1: ("failed", 3), 2: ("done", 1), 3: ("failed", 3), 4: ("done", 1), 6: ("done", 1)}
+
+
+def test_late_rows(spark, tmp_path):
+    """Rows behind the watermark are left out of a closed session; those before it count."""
+    schema, path = "event_id long, ts timestamp, user_id long, event_type string, value double, props string", str(tmp_path / "e")
+    row = lambda i, m: (i, at(m), 1, "view", 1.0, "")
+    events_in(spark, path, [row(1, 0), row(2, 10)], schema)
+    run(streams.sessions(streams.event_stream(spark, path)), spark, "late", tmp_path)
+    events_in(spark, path, [row(3, 300)], schema)
+    run(streams.sessions(streams.event_stream(spark, path)), spark, "late", tmp_path)
+    events_in(spark, path, [row(4, 20), row(5, 600)], schema)
+    q = streams.sessions(streams.event_stream(spark, path)).writeStream.format("memory").queryName("late2").option("checkpointLocation", str(tmp_path / "late")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [r.n for r in spark.table("late2").collect()] == [1]
+
+
+def test_activity_windows(spark, folder, tmp_path):
+    n = {k: run(streams.activity(streams.event_stream(spark, folder), k), spark, f"act_{k}", tmp_path).count() for k in streams.PAUSES}
+    assert n["active"] >= n["idle"] >= n["episode"] > 0
+
+
+def test_idle_projects(spark):
+    rows = [("a", at(0), None), ("b", at(10), at(9)), ("c", at(500), None), ("d", at(5), at(-500))]
+    p = spark.createDataFrame(rows, "project string, touched timestamp, consolidated timestamp")
+    assert [r.project for r in streams.idle_projects(p, F.lit("2024-01-01 05:00:00").cast("timestamp")).collect()] == ["a", "d"]
