@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import chunks as C
 from tessella.llm.common import drop_stored, new_path, qualified, store
 
 MAGIC = b"TSLTOK1\0"
@@ -117,6 +118,63 @@ def _starts(values: pa.StringArray) -> np.ndarray:
     return np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
 
 
+class Memory:
+    """Parts with their ids, found by hash and told apart by their texts.
+
+    Everything is an array: hashes in order with the slot of each, and by slot the text, where its ids are, and the number of
+    the last batch that had it. Parts that the last batches did not have are dropped when it is full.
+    """
+
+    def __init__(self, dtype: np.dtype, most: int, batches: int = 4):
+        self.most, self.batches, self.now = most, batches, 0
+        self.hashes, self.slots = np.zeros(0, dtype=C.U), np.zeros(0, dtype=np.int64)
+        self.texts, self.ids = pa.array([], pa.string()), np.zeros(0, dtype=dtype)
+        self.first, self.size, self.used = (np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    @staticmethod
+    def hash(texts: pa.StringArray) -> np.ndarray:
+        at = _starts(texts)
+        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]]
+        with np.errstate(over="ignore"):
+            return C.mixed(C._sums(raw.astype(C.U) + C.U(1), at[:-1] - at[0], at[1:] - at[0]) + np.diff(at).astype(C.U) * C.U(C.SILVER))
+
+    def find(self, texts: pa.StringArray, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each text, -1 for unknown ones."""
+        out = np.full(len(texts), -1, dtype=np.int64)
+        if len(self.hashes) and len(texts):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            near = np.flatnonzero(self.hashes[at] == hashes)
+            slots = self.slots[at[near]]
+            same = pc.equal(self.texts.take(pa.array(slots)), texts.take(pa.array(near))).to_numpy(zero_copy_only=False)
+            out[near[same]] = slots[same]
+            self.used[slots[same]] = self.now
+        return out
+
+    def add(self, texts: pa.StringArray, hashes: np.ndarray, values: list[bytes]) -> np.ndarray:
+        """Slots of new texts with their ids."""
+        slots = np.arange(len(self.size), len(self.size) + len(texts))
+        size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.ids.itemsize
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.used = np.concatenate([self.size, size]), np.concatenate([self.used, np.full(len(size), self.now)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(values), dtype=self.ids.dtype)])
+        self.texts = pa.concat_arrays([self.texts, texts])
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.slots = np.insert(self.hashes, at, hashes[order]), np.insert(self.slots, at, slots[order])
+        return slots
+
+    def next_batch(self) -> None:
+        self.now += 1
+        if len(self.size) > self.most:
+            keep = np.flatnonzero(self.used >= self.now - self.batches)
+            self.ids = self.ids[_spread(self.first[keep], self.size[keep])]
+            self.texts, self.size, self.used = self.texts.take(pa.array(keep)), self.size[keep], self.used[keep]
+            self.first = np.cumsum(self.size) - self.size
+            hashes = self.hash(self.texts)
+            self.slots = np.argsort(hashes, kind="stable")
+            self.hashes = hashes[self.slots]
+
+
 class Encoder:
     """Ids of texts by a tokenizer file; parts seen before are not encoded again."""
 
@@ -126,9 +184,7 @@ class Encoder:
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         self.pieces = pieces and cuts_at_white_space(path)
         self.end = np.array([end], dtype=dtype)
-        # Parts of late, and those before them: what still occurs moves over when the younger half is full.
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known = Memory(self.dtype, REMEMBER)
         self.letters: dict[str, bool] = {}
         if self.pieces:
             # The id that ends a word.
@@ -157,18 +213,15 @@ class Encoder:
             self.letters[c] = c.isalpha() and len(found) == 2 and found[1][0] == "."
         return self.letters[c]
 
-    def _ids(self, parts: list[str], words: list[bool]) -> list[bytes]:
-        """Ids of distinct parts; ``words`` tells which are letters only."""
-        if len(self.known) > REMEMBER // 2:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        got = [known.get(p) or before.get(p) for p in parts]
-        for which, encode in ((True, self._encode_words), (False, self._encode)):
-            new = [i for i, (x, w) in enumerate(zip(got, words, strict=True)) if x is None and w is which]
-            for i, x in zip(new, encode([parts[i] for i in new]), strict=True):
-                got[i] = x
-        known.update(zip(parts, got, strict=True))
-        return got
+    def _slots(self, parts: pa.StringArray, words: np.ndarray) -> np.ndarray:
+        """Where the ids of distinct parts are; ``words`` tells which are letters only."""
+        hashes = Memory.hash(parts)
+        slots = self.known.find(parts, hashes)
+        for which, encode in ((words, self._encode_words), (~words, self._encode)):
+            new = np.flatnonzero((slots < 0) & which)
+            texts = parts.take(pa.array(new))
+            slots[new] = self.known.add(texts, hashes[new], encode(texts.to_pylist()))
+        return slots
 
     def _table(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after the other, how many each has).
@@ -179,9 +232,10 @@ class Encoder:
         clean = pc.ascii_is_alpha(cores).to_numpy(zero_copy_only=False).copy()
         foreign = np.flatnonzero(~pc.string_is_ascii(cores).to_numpy(zero_copy_only=False))
         if len(foreign):
-            texts = cores.take(pa.array(foreign)).to_pylist()
-            odd = {c for c in set("".join(texts)) if not self._is_letter(c)}
-            clean[foreign] = np.fromiter((odd.isdisjoint(t) for t in texts), dtype=bool, count=len(texts))
+            texts = cores.take(pa.array(foreign))
+            odd = [c for c in set("".join(texts.to_pylist())) if not self._is_letter(c)]
+            pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in odd) + "]"
+            clean[foreign] = ~pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False) if odd else True
         start, size = _starts(pieces), np.diff(_starts(cores))
         length = np.diff(start)
         core = pc.if_else(pa.array(clean), pc.ascii_lower(cores), pieces).dictionary_encode()
@@ -189,16 +243,13 @@ class Encoder:
         raw = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8)[_spread(start[:-1] + size, tail_size)]
         edges = np.concatenate([[0], np.cumsum(tail_size)]).astype(np.int32)
         tail = pa.StringArray.from_buffers(len(pieces), pa.py_buffer(edges), pa.py_buffer(raw)).dictionary_encode()
-        which = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + len(core.dictionary)], axis=1).astype(np.int64)
         words = np.zeros(len(core.dictionary), dtype=bool)
-        words[which[:, 0]] = clean
-        parts = core.dictionary.to_pylist() + tail.dictionary.to_pylist()
-        values = self._ids(parts, [*words.tolist(), *([False] * len(tail.dictionary))])
-        flat = np.frombuffer(b"".join(values), dtype=self.dtype)
-        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.dtype.itemsize
-        first = np.cumsum(sizes) - sizes
-        both = sizes[which]
-        return flat[_spread(first[which.ravel()], both.ravel())], both.sum(axis=1)
+        words[core.indices.to_numpy()] = clean
+        cores = self._slots(core.dictionary, words)[core.indices.to_numpy()]
+        tails = self._slots(tail.dictionary, np.zeros(len(tail.dictionary), dtype=bool))[tail.indices.to_numpy()]
+        both = np.stack([cores, tails], axis=1)
+        n = self.known.size[both]
+        return self.known.ids[_spread(self.known.first[both.ravel()], n.ravel())], n.sum(axis=1)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with the end id; how many each text has)."""
@@ -207,6 +258,7 @@ class Encoder:
             return np.concatenate([self.end[:0], *got]), np.array([len(x) for x in got], dtype=np.int64)
         split = pc.ascii_split_whitespace(texts)
         named = pc.list_flatten(split).dictionary_encode()
+        self.known.next_batch()
         flat, sizes = self._table(named.dictionary)
         flat, first = np.concatenate([flat, self.end]), np.cumsum(sizes) - sizes
         # The end id stands behind the last piece of each text, as a piece of its own.
