@@ -74,16 +74,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z to lower case and nothing else; the quick way where all characters are ASCII."""
-    plain = F.octet_length(text) == F.char_length(text)
-    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def split_words(text: Column, gap: str = WHITE_RE) -> Column:
     """Maximal runs outside ``gap`` (a character class); an empty array for null and for no word."""
-    parts = F.split(F.coalesce(text, F.lit("")), gap + "+", -1)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap + "+", -1), "")
+
+
+def split_lower(text: Column, gap: str = WHITE_RE) -> Column:
+    """As ``split_words``, A-Z to lower case and nothing else. Letters are looked at one by one only in words that are not
+    ASCII, which are few."""
+    one = lambda w: F.when(_is_ascii(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
+    return F.when(_is_ascii(text), split_words(F.lower(text), gap)).otherwise(F.transform(split_words(text, gap), one))
 
 
 def text_key(text: Column) -> Column:

@@ -3,8 +3,8 @@
 A span of ``span`` words holds ``span - k + 1`` k-grams; its fingerprint is the smallest of their
 hashes. Equal spans have equal fingerprints, so every shared span of that length is met when
 training and test fingerprints are joined; neighbouring spans mostly share one fingerprint, so a
-document is a short list of runs. Joined runs are then extended to the spans they stand for and
-those are compared in full (the words themselves, not hashes): hits are exact.
+document is a short list of them. In the documents that met, the fingerprints are then extended to the spans they
+stand for, and those are compared in full (the words themselves, not hashes): hits are exact.
 
 Items shorter than ``span`` words are one window each and are met through their first (at most k)
 words. Both joins let Spark choose: a benchmark under the broadcast threshold is broadcast, a larger
@@ -22,35 +22,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import carried, grams, let, lower_ascii, sliding_min, split_words, store, text_key, unpacked
+from tessella.llm.common import carried, grams, let, sliding_min, split_lower, store, text_key, unpacked
 
-#: Everything but ASCII letters and digits and all characters beyond ASCII.
-GAP_RE = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
+#: Everything but ASCII letters (before or after lower-casing), digits and all characters beyond ASCII.
+GAP_RE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
+WORD_RE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 SPAN, K = 13, 5
 RESULTS = ("n_words", "n_hit", "item_ids", "contaminated")
 
 
 def words_of(text: Column) -> Column:
-    return split_words(lower_ascii(F.coalesce(text, F.lit(""))), GAP_RE)
+    return split_lower(F.coalesce(text, F.lit("")), GAP_RE)
 
 
-def _runs(values: Column) -> Column:
-    """[(value, first, last)] of maximal runs of equal neighbours, positions from 0."""
-    at = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
-    heads = F.filter(at, lambda i: F.coalesce(F.get(values, i - 1) != F.get(values, i), F.lit(True)))
-    run = lambda h: lambda i, n: F.struct(F.get(values, i).alias("v"), i.alias("first"), (F.coalesce(F.get(h, n + 1), F.size(values)) - 1).alias("last"))
-    return let(heads, lambda h: F.transform(h, run(h)))
+def count_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
-def _starts(words: Column, span: int, k: int, anchors: list[int]) -> Column:
-    """Candidate window starts: (kind, value, first, last); kind 0 for fingerprints, g for g-word anchors."""
-    kind = lambda g: lambda s: F.struct(F.lit(g).alias("kind"), s["v"].alias("v"), s["first"].alias("first"), s["last"].alias("last"))
-    # The smallest k-gram hash of each span, by the span's first word.
-    long = let(sliding_min(grams(words, k), span - k + 1), _runs)
-    parts = [F.transform(long, kind(0))]
-    for g in anchors:
-        parts.append(F.transform(grams(words, g), lambda v, i: F.struct(F.lit(g).alias("kind"), v.alias("v"), i.alias("first"), i.alias("last"))))
-    return F.concat(*parts) if anchors else parts[0]
+def _values(words: Column, kind: int, span: int, k: int) -> Column:
+    """What windows are met by, by the first word of each: the smallest k-gram hash of a span (kind 0), or the hash of its
+    first ``kind`` words."""
+    return grams(words, kind) if kind else sliding_min(grams(words, k), span - k + 1)
+
+
+def _marks(words: Column, kinds: list[int], span: int, k: int) -> Column:
+    """[(kind, v)]: the distinct values of a text."""
+    one = lambda g: lambda v: F.struct(F.lit(g).alias("kind"), v.alias("v"))
+    return F.concat(*(F.transform(F.array_distinct(_values(words, g, span, k)), one(g)) for g in kinds))
 
 
 def item_windows(bench: DataFrame, item: str, text: str, span: int, k: int) -> DataFrame:
@@ -67,31 +65,37 @@ def item_windows(bench: DataFrame, item: str, text: str, span: int, k: int) -> D
 def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
     """One row per distinct text that has a hit: key, n_words, n_hit, item_ids (sorted)."""
     windows = store(item_windows(bench, item, item_text, span, k), "windows")
-    # At most k distinct kinds, whatever the benchmark's size.
-    anchors = sorted(r[0] for r in windows.select("kind").distinct().collect() if r[0])
+    # At most k + 1 kinds and ``span`` lengths, whatever the benchmark's size.
+    lens: dict[int, list[int]] = {0: [span]}
+    for r in windows.select("kind", "len").distinct().collect():
+        lens[r["kind"]] = sorted({*lens.get(r["kind"], []), r["len"]})
+    kinds = sorted(lens)
     marks = windows.select("kind", "v").distinct()
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    runs = docs.select(text_key(body).alias("key"), let(words_of(body), lambda w: _starts(w, span, k, anchors)).alias("s"))
-    runs = runs.select("key", F.explode("s").alias("s")).select("key", "s.*")
-    met = store(runs.join(marks, ["kind", "v"], "left_semi").select("key", "first", "last", "kind").distinct(), "met")
-
-    # Extend: all spans of the runs that met, cut from the text again.
-    per_text = met.groupBy("key").agg(F.collect_list(F.struct("kind", "first", "last")).alias("runs"))
-    lengths = windows.select("kind", "len").distinct().groupBy("kind").agg(F.collect_list("len").alias("lens"))
-    # At most one entry per kind and length below span: bounded by the two parameters.
-    lens = {r[0]: sorted(r[1]) for r in lengths.collect()}
+    mine = docs.select(text_key(body).alias("key"), let(words_of(body), lambda w: _marks(w, kinds, span, k)).alias("s"))
+    mine = mine.select("key", F.explode("s").alias("s")).select("key", "s.*")
+    met = store(mine.join(marks, ["kind", "v"], "left_semi").select("key", "kind", "v").distinct(), "met")
+
+    # Extend: in the texts that met, all spans that stand for a value that met, cut from the text again.
+    per_text = met.groupBy("key").agg(*(F.collect_set(F.when(F.col("kind") == g, F.col("v"))).alias(f"v{g}") for g in kinds))
     keyed = docs.select(text_key(body).alias("key"), body.alias("body"))
     # Only texts that met go on, one of each: copies are dropped by the task that read them, before any shuffle.
     texts = keyed.join(store(met.select("key").distinct(), "keys"), "key", "left_semi")
     texts = texts.groupBy("key").agg(F.first("body").alias("body")).join(per_text, "key")
-    by_kind = F.create_map(*(x for kk, ls in lens.items() for x in (F.lit(kk), F.array(*(F.lit(n) for n in ls))))) if lens else F.create_map(F.lit(0), F.array(F.lit(span)))
 
     def spans(w: Column) -> Column:
-        def one(r: Column) -> Column:
-            at = F.sequence(r["first"], r["last"])
-            return F.flatten(F.transform(at, lambda i: F.transform(by_kind[r["kind"]], lambda n: F.struct(i.alias("i"), n.alias("len"), F.array_join(F.slice(w, i + 1, n), " ").alias("window")))))
+        def of_kind(g: int) -> Column:
+            window = lambda i: lambda n: F.struct(i.alias("i"), n.alias("len"), F.array_join(F.slice(w, i + 1, n), " ").alias("window"))
+            fits = lambda i: F.filter(F.array(*(F.lit(n) for n in lens[g])), lambda n: i + n <= F.size(w))
+
+            def found(values: Column) -> Column:
+                at = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
+                hit = F.filter(at, lambda i: F.array_contains(F.col(f"v{g}"), F.get(values, i)))
+                return F.flatten(F.transform(hit, lambda i: F.transform(fits(i), window(i))))
+
+            return F.when(F.size(f"v{g}") > 0, let(_values(w, g, span, k), found)).otherwise(F.array().cast("array<struct<i:int,len:int,window:string>>"))
 
-        return F.array_distinct(F.flatten(F.transform(F.col("runs"), one)))
+        return F.concat(*(of_kind(g) for g in kinds))
 
     cut = let(words_of(F.col("body")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), spans(w).alias("s")))
     found = texts.select("key", cut.alias("c")).select("key", "c.n_words", F.explode("c.s").alias("s")).select("key", "n_words", "s.*")
@@ -114,7 +118,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
     hits = store(scan(docs, bench, text, item, item_text, span, k).drop("n_words"), "hits")
     names, row = carried(docs, RESULTS)
     body = F.col(f"`{text}`")
-    keyed = docs.select(text_key(body).alias("key"), row, F.size(words_of(body)).cast("long").alias("n_words"))
+    keyed = docs.select(text_key(body).alias("key"), row, count_words(body).alias("n_words"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
     return keyed.join(hits, "key", "left").select(
         *unpacked(names),
