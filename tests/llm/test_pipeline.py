@@ -32,7 +32,7 @@ def make_docs() -> list[tuple]:
             texts.append(" ".join(near))
     texts += [" ".join(base[0])] * 3
     for b in base[:5]:
-        texts.append(" ".join([word() for _ in range(30)]) + " The QUICK brown fox, jumps over the lazy dog and then sleeps " + " ".join(b[:10]))
+        texts.append(" ".join([word() for _ in range(30)]) + " The QUICK brown fox, jumps over the lazy dog and then sleeps all day " + " ".join(b[:10]))
     texts.append(" ".join(word() for _ in range(4000)))
     rows = [(i, t, "en", f"s{i % 4}" if i % 9 else None, len(t or ""), -i, "k", "r", -1, -2, "x", 77, 88, 5, 6, 7) for i, t in enumerate(texts)]
     return rows + [(None, " ".join(word() for _ in range(50)), "en", "s1", 1, 0, "k", "r", 0, 0, "x", 0, 0, 0, 0, 0)]
