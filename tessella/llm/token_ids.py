@@ -349,10 +349,10 @@ def put(path: str, parts: Iterator[bytes]) -> int:
     return n
 
 
-def get(path: str) -> bytes:
+def reader(path: str) -> pa.NativeFile:
+    """A file to read from front to back, so that a task holds a part of it only."""
     fs, name = _open(path)
-    with fs.open_input_stream(name) as f:
-        return f.read()
+    return fs.open_input_stream(name)
 
 
 def _blocks(rows: Iterator[tuple], rank_of: np.ndarray, position: list[int], dtype: str) -> Iterator[bytes]:
@@ -408,21 +408,24 @@ def write_files(tokens: DataFrame, path: str, ranks: np.ndarray, dtype: str) ->
 DOCS = "key long, start long, n_ids long, ids binary"
 
 
-def read_blocks(data: bytes, ranks: np.ndarray) -> Iterator[tuple[list, int, np.ndarray, np.ndarray]]:
-    """(keys, position of the first id in the file, ids of each document, ids) per block."""
-    assert data[: len(MAGIC)] == MAGIC, "not a token file"
-    at = len(MAGIC)
-    while at < len(data):
-        docs, n, size, first = HEAD.unpack_from(data, at)
-        at += HEAD.size
-        keys = np.frombuffer(data, "<i8", docs, at)
-        null = np.frombuffer(data, np.uint8, docs, at + 8 * docs)
-        lengths = np.frombuffer(data, "<u4", docs, at + 9 * docs)
-        at += 13 * docs
-        control, at = data[at : at + (n + 3) // 4], at + (n + 3) // 4
-        ids = ranks[decode_ranks(control, data[at : at + size], n)]
-        at += size
-        yield [None if z else int(k) for k, z in zip(keys, null, strict=True)], first, lengths, ids
+def _take(f, n: int) -> bytes:
+    data = f.read(n)
+    if len(data) != n:
+        raise ValueError("a token file is cut off")
+    return data
+
+
+def read_blocks(f, ranks: np.ndarray) -> Iterator[tuple[list, int, np.ndarray, np.ndarray]]:
+    """(keys, position of the first id in the file, ids of each document, ids) per block of an open file."""
+    if _take(f, len(MAGIC)) != MAGIC:
+        raise ValueError("not a token file")
+    while head := f.read(HEAD.size):
+        if len(head) != HEAD.size:
+            raise ValueError("a token file is cut off")
+        docs, n, size, first = HEAD.unpack(head)
+        keys, null, lengths = (np.frombuffer(_take(f, w * docs), t) for t, w in (("<i8", 8), ("u1", 1), ("<u4", 4)))
+        control, data = _take(f, (n + 3) // 4), _take(f, size)
+        yield [None if z else int(k) for k, z in zip(keys, null, strict=True)], first, lengths, ranks[decode_ranks(control, data, n)]
 
 
 def read_files(spark: SparkSession, path: str, manifest: DataFrame, each=None, schema: str = DOCS, arrow: pa.Schema | None = None) -> DataFrame:
@@ -437,14 +440,16 @@ def read_files(spark: SparkSession, path: str, manifest: DataFrame, each=None, s
     arrow = arrow or pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = np.frombuffer(get(f"{path}/ranks"), dtype="<u4")
+        with reader(f"{path}/ranks") as table:
+            ranks = np.frombuffer(table.read(), dtype="<u4")
         for batch in batches:
             for row in batch.to_pylist():
-                for keys, first, lengths, ids in read_blocks(get(row["file"]), ranks):
-                    ends = np.cumsum(lengths, dtype=np.int64)
-                    last = [(each or bytes)(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                    columns = (keys, row["before"] + first + ends - lengths, lengths.astype(np.int64), last)
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                with reader(row["file"]) as file:
+                    for keys, first, lengths, ids in read_blocks(file, ranks):
+                        ends = np.cumsum(lengths, dtype=np.int64)
+                        last = [(each or bytes)(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                        columns = (keys, row["before"] + first + ends - lengths, lengths.astype(np.int64), last)
+                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return files.repartition(max(1, len(parts))).mapInArrow(run, schema)
 

@@ -19,6 +19,7 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import new_path, qualified, store
-from tessella.llm.token_ids import get, put
+from tessella.llm.token_ids import put, reader
 
 SEGMENT, CHUNK, REVISIT_FROM = 16 << 10, 4 << 10, 100
 DATE = "2024-01-01T00:00:00Z"
@@ -66,16 +67,17 @@ def render(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block + CRLF + CRLF
 
 
-def records(page: int | None, url: str | None, payload: bytes, refers_to: int | None, tie: str, segment: int = SEGMENT) -> Iterator[bytes]:
+def records(page: int | None, url: str | None, payload: bytes, refers_to: int | None, tie: str, segment: int = SEGMENT, refers_url: str | None = None) -> Iterator[bytes]:
     """The record of a page, or its first segment and the continuation records."""
     digest = hashlib.sha256(payload).hexdigest()
     own = record_id(page, tie)
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     block = head if refers_to is not None else head + frame(payload)
-    uri = None if url is None else "".join(c for c in url if c not in "\r\n")
+    plain = lambda u: None if u is None else "".join(c for c in u if c not in "\r\n")
+    uri = plain(url)
     common = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Length", len(payload)), ("WARC-Page-ID", page)]
     if refers_to is not None:
-        yield render([("WARC-Type", "revisit"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page-ID", refers_to)], block)
+        yield render([("WARC-Type", "revisit"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", plain(refers_url)), ("WARC-Refers-To-Date", DATE), ("WARC-Refers-To-Page-ID", refers_to)], block)
         return
     cuts = range(0, max(1, len(block)), segment)
     for n, i in enumerate(cuts, 1):
@@ -87,17 +89,17 @@ def records(page: int | None, url: str | None, payload: bytes, refers_to: int |
             yield render([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page, f"{tie}/{n}")), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", total)], piece)
 
 
-def revisits(pages: DataFrame, key: str, payload: str, least: int = REVISIT_FROM) -> DataFrame:
-    """(id, first) of the pages whose payload a page of a smaller id has."""
+def revisits(pages: DataFrame, key: str, payload: str, least: int = REVISIT_FROM, url: str = "url") -> DataFrame:
+    """(id, first, first_url) of the pages whose payload a page of a smaller id has."""
     body = F.coalesce(F.col(f"`{payload}`"), F.lit("")).cast("binary")
-    rows = pages.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= least).select("id", F.unhex("digest").alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") > 1)
-    return rows.join(first, "digest").where(F.col("id") > F.col("first")).select("id", "first", "digest").distinct()
+    rows = pages.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n"), F.col(f"`{url}`").cast("string").alias("url")).where(F.col("n") >= least).select("id", "url", F.unhex("digest").alias("digest"))
+    first = rows.groupBy("digest").agg(F.min(F.struct("id", "url")).alias("f"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") > 1).select("digest", F.col("f.id").alias("first"), F.col("f.url").alias("first_url"))
+    return rows.join(first, "digest").where(F.col("id") > F.col("first")).select("id", "first", "first_url", "digest").distinct()
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", segment: int = SEGMENT, least: int = REVISIT_FROM) -> DataFrame:
     """Archives under ``path``; returns their manifest (file, records, n_bytes)."""
-    again = store(revisits(pages, key, payload, least), "revisits")
+    again = store(revisits(pages, key, payload, least, url), "revisits")
     body = F.coalesce(F.col(f"`{payload}`"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("payload"))
     # An id may come with several payloads; the digest tells which of them is the revisit.
@@ -109,7 +111,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
         def members() -> Iterator[bytes]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    for rec in records(r["id"], r["url"], r["payload"], r["first"], f"{part}/{n[0]}", segment):
+                    for rec in records(r["id"], r["url"], r["payload"], r["first"], f"{part}/{n[0]}", segment, r["first_url"]):
                         yield gzip.compress(rec, 1, mtime=0)
                     n[0] += 1
 
@@ -117,13 +119,13 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
         size = put(name, members())
         yield pa.record_batch([pa.array([name]), pa.array([n[0]], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "n_bytes"])
 
-    return store(marked.select("id", "url", "payload", "first").mapInArrow(run, "file string, records long, n_bytes long"), "archives")
+    return store(marked.select("id", "url", "payload", "first", "first_url").mapInArrow(run, "file string, records long, n_bytes long"), "archives")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive."""
-    f = io.BytesIO(data)
-    stream = gzip.GzipFile(fileobj=f) if data[:2] == b"\x1f\x8b" else f
+def parse(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an archive, read from front to back, one record at a time."""
+    f = io.BufferedReader(io.BytesIO(data) if isinstance(data, bytes) else data, 1 << 18)
+    stream = gzip.GzipFile(fileobj=f) if f.peek(2)[:2] == b"\x1f\x8b" else f
     while True:
         line = stream.readline()
         if not line:
@@ -142,6 +144,11 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
+def _records_of(name: str) -> Iterator[tuple[dict[str, str], bytes]]:
+    with reader(name) as f:
+        yield from parse(f)
+
+
 RECORDS = "origin string, number int, total long, type string, id long, url string, digest string, length long, refers_to long, block binary"
 RECORDS_ARROW = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("type", pa.string()), ("id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("refers_to", pa.int64()), ("block", pa.binary())])
 
@@ -158,7 +165,7 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                for h, block in parse(get(name)):
+                for h, block in _records_of(name):
                     origin = h.get("warc-segment-origin-id", h["warc-record-id"])
                     rows.append((origin, num(h, "warc-segment-number"), num(h, "warc-segment-total-length"), h["warc-type"], num(h, "warc-page-id"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha256:"), num(h, "warc-payload-length"), num(h, "warc-refers-to-page-id"), block))
                     if len(rows) >= 256:
@@ -212,6 +219,14 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return groups.select("segments").mapInArrow(run, PAGES)
 
 
+def unresolved(read_pages: DataFrame) -> DataFrame:
+    """Revisits (id, refers_to) whose response is missing or has another payload: none in an archive that is whole. Both sides are
+    reduced to digests first, so no payload moves."""
+    light = read_pages.select("id", "payload_digest", "record_type", "refers_to")
+    there = light.where(F.col("record_type") == "response").select(F.col("id").alias("refers_to"), "payload_digest").distinct()
+    return light.where(F.col("record_type") == "revisit").join(there, ["refers_to", "payload_digest"], "left_anti").select("id", "refers_to")
+
+
 def archive(pages: DataFrame, path: str | None = None, **options) -> tuple[str, DataFrame]:
     path = qualified(pages.sparkSession, path or new_path(pages.sparkSession, "warc"))
     return path, write(pages, path, **options)

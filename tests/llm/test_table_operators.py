@@ -156,6 +156,9 @@ def test_warc_round_trip(spark):
         want[(i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if i in first else "response", first.get(i))] += 1
     assert Counter((r.id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == want
     assert all(r.payload == (dict((p[0], p[2]) for p in PAGES)[r.id] or "").encode() for r in out if r.record_type == "response")
+    assert warc.unresolved(warc.read(spark, manifest)).count() == 0
+    forged = warc.read(spark, manifest).withColumn("payload_digest", F.when(F.col("id") == 8, F.lit("0" * 64)).otherwise(F.col("payload_digest")))
+    assert [r.id for r in warc.unresolved(forged).collect()] == [8]
     records = warc.read_records(spark, manifest)
     assert records.where("type = 'continuation'").count() > 5
     _, none = warc.archive(pages.limit(0))
