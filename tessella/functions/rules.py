@@ -427,7 +427,7 @@ def kept_by(before: Column, after: Column) -> Column:
     every = lambda t, p, g=0: F.regexp_extract_all(t, F.lit(p), F.lit(g))
     urls = lambda t: trim(every(t, LINK))
     paths = lambda t: F.filter(trim(every(F.regexp_replace(t, LINK, " "), PATH)), lambda p: F.contains(p, F.lit("/")))
-    spans = lambda t: F.filter(F.array_distinct(F.transform(every(F.regexp_replace(t, BLOCK, " "), SPAN, 1), F.btrim)), lambda s: s != "")
+    spans = lambda t: F.filter(F.array_distinct(F.transform(every(F.regexp_replace(t, BLOCK, " "), SPAN, 1), lambda s: F.btrim(s))), lambda s: s != "")
     count = lambda t, p: F.regexp_count(t, F.lit(p))
     lost = {"blocks": F.array_except(every(before, BLOCK, 1), every(after, BLOCK, 1)), "urls": F.array_except(urls(before), urls(after)), "paths": F.array_except(paths(before), paths(after)), "spans": F.array_except(spans(before), spans(after))}
     titles = count(before, TITLE) == count(after, TITLE)

@@ -78,10 +78,3 @@ def verbosity(q: Column) -> Column:
 def score_label(x: Column) -> Column:
     """Contradiction score to label."""
     return F.when(x >= 0.60, "hard").when(x >= 0.30, "soft").otherwise("none")
-
-
-def to_chunks(text: Column, size: int = 400, overlap: int = 50) -> Column:
-    """[(n, start, text)]: windows of characters that overlap."""
-    step = size - overlap
-    n = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("n"), (i * step).alias("start"), F.substring(text, i * step + 1, F.lit(size)).alias("text")))

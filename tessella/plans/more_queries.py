@@ -127,10 +127,22 @@ def g21_weight_histogram(spark, sf_dir):
     return M.edges(spark, sf_dir).groupBy("relation", F.floor("weight").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {M.EDGES_SQL}, d AS (SELECT * FROM edges WHERE n >= 8), v AS (SELECT source AS node FROM d UNION SELECT target FROM d) SELECT (SELECT count(*) FROM d) AS edges, (SELECT count(*) FROM v) AS nodes")
+@query(f"WITH {M.EDGES_SQL}, d AS (SELECT * FROM edges WHERE n >= 8), v AS (SELECT source AS id FROM d UNION SELECT target FROM d) SELECT 'edge' AS part, source AS id, target AS other, relation FROM d UNION ALL SELECT 'node', id, NULL, NULL FROM v")
 def g21_delta_view(spark, sf_dir):
+    """Edges that changed (here: were seen eight times), with the nodes at their ends."""
     d = M.edges(spark, sf_dir).where("n >= 8")
-    return d.agg(F.count(F.lit(1)).alias("edges")).crossJoin(G.nodes_of(d).agg(F.count(F.lit(1)).alias("nodes")))  # one row each
+    nodes = G.nodes_of(d).select(F.lit("node").alias("part"), F.col("node").alias("id"), F.lit(None).cast("long").alias("other"), F.lit(None).cast("string").alias("relation"))
+    return d.select(F.lit("edge").alias("part"), F.col("source").alias("id"), F.col("target").alias("other"), "relation").unionByName(nodes)
+
+
+@query(f"WITH {M.EDGES_SQL} SELECT source, target, {R('max(weight)')} AS cell FROM edges WHERE source % 5 = 0 AND target % 5 = 0 AND source IN (SELECT source FROM edges WHERE n >= 4) GROUP BY ALL")
+def g21_adjacency_matrix(spark, sf_dir):
+    """Cells of the matrix of chosen nodes."""
+    e = M.edges(spark, sf_dir)
+    nodes = G.nodes_of(e).where("node % 5 = 0").join(e.where("n >= 4").select(F.col("source").alias("node")).union(e.where("target % 5 = 0").select("target")).distinct(), "node", "left_semi")
+    return G.induced(e, nodes).groupBy("source", "target").agg(M.rounded(F.max("weight")).alias("cell"))
+
+
 
 
 @query(f"WITH {M.EDGES_SQL} SELECT source, target, relation, {R('greatest(weight - 0.5, 0.0)')} AS weight FROM edges WHERE weight - 0.5 >= 0.6")
@@ -157,13 +169,19 @@ def l27_predicate_normalisation(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), p.alias("predicate"))
 
 
-@query("""WITH dict AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS concept FROM part UNION SELECT unnest(['the', 'for', 'die', 'les'])), d AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))) AS concept FROM documents)
- SELECT id, concept FROM d JOIN dict USING (concept)""")
+#: Names of one to three words that the texts may speak of.
+CONCEPTS = ("the", "of the", "die", "und die", "in the and", "les", "zzz", "and")
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}') AS w FROM documents), r AS (SELECT DISTINCT id, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS concept FROM d)
+ SELECT id, concept FROM r WHERE concept IN {CONCEPTS}""")
 def x13_concept_extraction(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.explode(X.words(F.col("p_name"))).alias("concept")).distinct()
-    more = spark.createDataFrame([(c,) for c in ("the", "for", "die", "les")], "concept string")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(X.tokens(F.col("text"), 2))).alias("concept"))
-    return d.join(names.union(more).distinct(), "concept").select("id", "concept")
+    """Names of a dictionary as runs of one to three words: runs are joined with the dictionary by equality."""
+    w = X.tokens(F.col("text"), 2)
+    runs = X.let(w, lambda t: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t))), lambda i: i + n - 1 <= F.size(t)), lambda i: F.array_join(F.slice(t, i, n), " "))))))
+    names = spark.createDataFrame([(c,) for c in CONCEPTS], "concept string")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(runs).alias("concept")).join(names, "concept").select("id", "concept")
+
 
 
 @query(f"WITH {REC} SELECT id, upper(substring(type, 1, 1)) || ':' || project || ':' || replace(substring(content, 1, 40), chr(10), ' ') AS compact FROM records")
@@ -193,10 +211,17 @@ def y10_node_search(spark, sf_dir):
     return table(spark, sf_dir, "supplier").where(F.col("s_name").contains("00001")).orderBy("s_name").limit(50).select(F.col("s_suppkey").alias("node"), "s_name")
 
 
-@query("SELECT c.conv_id, count(*) AS turns, arg_max(text, turn) FILTER (role = 'assistant') AS summary FROM conversations c GROUP BY c.conv_id")
+@query("""WITH s AS (SELECT c.conv_id, count(*) AS turns, arg_max(text, turn) FILTER (role = 'assistant') AS last FROM conversations c GROUP BY c.conv_id), k AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'continued ' || conv_id END AS continuity FROM s),
+ r AS (SELECT conv_id, string_agg(turn::varchar, ',' ORDER BY turn DESC) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 100 GROUP BY conv_id) SELECT conv_id, turns, coalesce(continuity, last) AS summary, newest FROM s JOIN k USING (conv_id) JOIN r USING (conv_id)""")
 def y12_y29_session_citation(spark, sf_dir):
-    summary = F.max_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), summary.alias("summary"))
+    """A session's summary, its continuity note first, and its newest hundred entries."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.when(F.col("role") == "assistant", F.col("turn"))
+    notes = c.where("conv_id % 3 = 0").select("conv_id", F.concat(F.lit("continued "), F.col("conv_id").cast("string")).alias("note")).distinct()
+    s = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max_by(F.when(F.col("role") == "assistant", F.col("text")), said).alias("last"))
+    newest = A.ranked(c, ["conv_id"], [F.desc("turn")], 100).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("turn"), asc=False), lambda t: t.cast("string")), ",").alias("newest"))
+    return s.join(notes, "conv_id", "left").join(newest, "conv_id").select("conv_id", "turns", F.coalesce("note", "last").alias("summary"), "newest")
+
 
 
 @query(f"WITH {REC} SELECT count(*) AS n, {R('avg(confidence)', 4)} AS mean_confidence, count(*) FILTER (type = 'lesson') AS lessons, count(*) FILTER (superseded_by IS NOT NULL) AS replaced FROM records")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella import model as M
+from tessella.functions import chunkers as K
 from tessella.functions import text as X
 from tessella.operators import consolidate as C
 from tessella.operators import lifecycle as L
@@ -210,10 +211,18 @@ def x5_tokenise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("vocabulary"), F.floor(F.length("text") / 4).alias("estimate"))
 
 
-@query("SELECT doc_id AS id, unnest(range(greatest(1, ceil((length(text) - 50) / 350.0)::bigint)))::int AS n, substring(text, n * 350 + 1, 400) AS chunk FROM documents")
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id AS id, list_filter(list_transform(regexp_split_to_array(replace(text, '. ', '.' || chr(10) || chr(10)), '\n\s*\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS p FROM documents WHERE doc_id % 5 = 0 AND length(text) < 4000),
+ f(id, i, done, cur) AS (SELECT id, 0, []::varchar[], []::varchar[] FROM p UNION ALL SELECT f.id, f.i + 1,
+  CASE WHEN len(cur) = 0 OR length(array_to_string(cur, chr(10) || chr(10))) + 2 + length(p.p[f.i + 1]) <= 300 THEN done ELSE list_append(done, array_to_string(cur, chr(10) || chr(10))) END,
+  CASE WHEN len(cur) = 0 OR length(array_to_string(cur, chr(10) || chr(10))) + 2 + length(p.p[f.i + 1]) <= 300 THEN list_append(cur, p.p[f.i + 1]) WHEN len(cur) > 1 THEN [cur[len(cur)], p.p[f.i + 1]] ELSE [p.p[f.i + 1]] END FROM f JOIN p ON p.id = f.id WHERE f.i < len(p.p)),
+ e AS (SELECT f.id, CASE WHEN len(cur) > 0 THEN list_append(done, array_to_string(cur, chr(10) || chr(10))) ELSE done END AS c FROM f JOIN p ON p.id = f.id AND f.i = len(p.p)) SELECT id, unnest(range(0, len(c)))::int AS n, sha256(unnest(c)) AS chunk FROM e""")
 def x11_chunks(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(X.to_chunks(F.col("text"))).alias("c"))
-    return c.select("id", "c.n", F.col("c.text").alias("chunk"))
+    """Prose in paragraphs of at most 300 characters (a sentence is a paragraph here)."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 5 = 0 AND length(text) < 4000")
+    text = F.replace("text", F.lit(". "), F.lit(".\n\n"))
+    c = d.select(F.col("doc_id").alias("id"), F.explode(K.chunks(text, F.lit("text"), most=300)).alias("c"))
+    return c.select("id", "c.n", F.sha2("c.text", 256).alias("chunk"))
+
 
 
 @query("SELECT doc_id AS id, sha256(text) AS sha256, sha1(text) AS sha1 FROM documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,8 +72,6 @@ def frontmatter(files: DataFrame, text: str = "value") -> DataFrame:
 
 def wiki(records: DataFrame, k: int = 10) -> DataFrame:
     """(project, part, rank, line): each project's page as rows: top decisions, active solutions, conventions, latest changes."""
-    from pyspark.sql import Window
-
     line = F.concat(F.lit("- "), F.regexp_replace(F.substring("content", 1, 160), r"[ \t\n\r]+", " "))
     active = records.where("status = 'active'").withColumn("line", line)
 
@@ -105,3 +103,18 @@ def sqlite_table(spark: SparkSession, path: str, query: str, schema: str, rows:
                     yield pd.DataFrame(c.execute(query.format(low=low, high=low + step)).fetchall(), columns=names)
 
     return spark.range(0, rows + 1, step).mapInPandas(run, schema)
+
+
+def import_notes(notes: DataFrame, known: DataFrame, least: float = 0.8) -> DataFrame:
+    """Notes (path, body) whose words are not mostly those of a known text (content) or of an earlier note: a note in a class of
+    equal word sets, or close to a kept one, is left out."""
+    from tessella.functions.text import words
+    from tessella.operators.consolidate import absorbed, alike_sets
+
+    old = known.select(F.lit("").alias("path"), F.col("content").alias("body"), F.lit(0).alias("new")).dropDuplicates(["body"])
+    every = old.unionByName(notes.select("path", "body", F.lit(1).alias("new")))
+    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("new", "path", "body"))  # numbers only, from an import's texts
+    numbered = every.select("path", "body", "new", F.array_distinct(words(F.col("body"))).alias("s"), order.cast("long").alias("id")).where(F.size("s") > 0)
+    pairs = alike_sets(numbered.select("id", "s", F.lit(0).alias("g")), ["g"], least).select("a", "b")
+    kept = absorbed(pairs, numbered.select("id")).where(F.col("id") == F.col("seed")).select("id")
+    return numbered.where("new = 1").join(kept, "id", "left_semi").select("path", "body")

@@ -110,3 +110,47 @@ def test_markdown_export(spark, sf_dir, tmp_path):
     assert sum(not x.startswith("## ") for x in lines) == r.where("project = 'src1'").count()
     page = readers.wiki(model.records(spark, sf_dir), 3)
     assert {x.part for x in page.collect()} <= {"decisions", "solutions", "conventions", "changes"} and page.groupBy("project", "part").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_inbox_stream(spark, tmp_path):
+    box = tmp_path / "inbox"
+    box.mkdir()
+    for name in ("a.md", "b.PY", "c.pdf", "d.url", "e.xyz"):
+        (box / name).write_text("x")
+    q = readers.inbox(spark, str(box)).writeStream.format("memory").queryName("inbox").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.kind for r in spark.table("inbox").collect()) == ["code", "other", "pdf", "text", "url"]
+
+
+def test_event_log(spark, tmp_path):
+    e = spark.createDataFrame([(1, "a"), (2, None)], "id long, what string")
+    readers.append_log(e, str(tmp_path / "log"))
+    readers.append_log(e.where("id = 2").withColumn("id", F.lit(3).cast("long")), str(tmp_path / "log"))
+    assert sorted(map(tuple, readers.read_log(spark, str(tmp_path / "log"), "id long, what string").collect())) == [(1, "a"), (2, None), (3, None)]
+
+
+def test_import_leaves_out_what_is_known(spark):
+    base = " ".join(f"w{i}" for i in range(20))
+    notes = spark.createDataFrame([("a.md", base + " extra"), ("b.md", "all new words here"), ("c.md", "here all new words"), ("d.md", "")], "path string, body string")
+    known = spark.createDataFrame([(base,), ("something else",)], "content string")
+    assert [r.path for r in readers.import_notes(notes, known).collect()] == ["b.md"]
+
+
+def test_chunkers(spark):
+    from tessella.functions import chunkers as K
+
+    def cut(text, kind, most=40):
+        df = spark.createDataFrame([(text, kind)], "t string, k string").select(F.explode(K.chunks(F.col("t"), F.col("k"), F.lit("go"), most)).alias("c")).select("c.*")
+        return [(r.n, r.kind, r.language, r.text) for r in df.collect()]
+
+    md = "intro\n\n# One\ntext a\n\ntext b\n```py\nx = 1\ny = 2\n```\nafter\n## Two\nend"
+    assert cut(md, "markdown", 200) == [(0, "markdown", None, "intro"), (1, "markdown", None, "# One\ntext a\n\ntext b"), (2, "code", "py", "x = 1\ny = 2"), (3, "markdown", None, "after"), (4, "markdown", None, "## Two\nend")]
+    prose = "aaaaaaaaaaaaaaa\n\nbbbbbbbbbbbbbbb\n \nccccccccccccccc\n\n" + "d" * 60
+    assert [c[3] for c in cut(prose, "unknown")] == ["aaaaaaaaaaaaaaa\n\nbbbbbbbbbbbbbbb", "bbbbbbbbbbbbbbb\n\nccccccccccccccc", "ccccccccccccccc\n\n" + "d" * 60]
+    code = "package m\n\nfunc a() {\n}\nfunc b() {\n" + "  one()\n" * 6 + "}\n"
+    assert [c[1:] for c in cut(code, "code")] == [("code", "go", "package m"), ("code", "go", "func a() {\n}"), ("code", "go", "func b() {\n  one()\n  one()\n  one()"), ("code", "go", "  one()\n  one()\n  one()\n}")]
+    log = "start\n2024 INFO a\n more\nWARN b\n"
+    assert [c[3] for c in cut(log, "log")] == ["start", "2024 INFO a\n more", "WARN b"]
+    trace = "x\nTraceback (most recent call last):\n  File 1\nE\nTraceback (most recent call last):\n  F 2"
+    assert [c[3] for c in cut(trace, "stacktrace", 100)] == ["x", "Traceback (most recent call last):\n  File 1\nE", "Traceback (most recent call last):\n  F 2"]
+    assert cut("  \n ", "text") == [] and cut(None, None) == []
