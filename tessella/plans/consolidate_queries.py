@@ -325,7 +325,7 @@ def g25_event_links(spark, sf_dir):
     return B.event_links(rec(spark, sf_dir), lk, nodes).select("source", "target", "relation")
 
 
-@query("""WITH a AS (SELECT l_orderkey AS id, l_partkey % 12 AS c, l_linenumber FROM lineitem WHERE l_linenumber <= 5), k AS (SELECT DISTINCT id, c FROM a WHERE c < 10), p AS (SELECT x.c AS source, y.c AS target, count(*) AS n FROM k x JOIN k y ON x.id = y.id AND x.c < y.c GROUP BY ALL) SELECT source, target, least(10.0, 0.3 + 0.1 * (n - 1))::double AS weight FROM p""")
+@query("""WITH a AS (SELECT l_orderkey AS id, l_partkey % 12 AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'C' || l_partkey % 12) AS n FROM lineitem WHERE l_linenumber <= 5), k AS (SELECT DISTINCT id, c FROM a WHERE c < 10 AND n <= 5), p AS (SELECT x.c AS source, y.c AS target, count(*) AS n FROM k x JOIN k y ON x.id = y.id AND x.c < y.c GROUP BY ALL) SELECT source, target, least(10.0, 0.3 + 0.1 * (n - 1))::double AS weight FROM p""")
 def l28_competence_edges(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5")
     ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("C"), (F.col("l_partkey") % 12).cast("string")).alias("c"))))

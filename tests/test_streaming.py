@@ -73,6 +73,15 @@ def test_exports(spark, sf_dir, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == r.where("status = 'active'").count()
 
 
+def run_to_files(df, spark, tmp_path, name):
+    """As ``run``, into files: a query that is started again goes on where it stopped. Gives the rows of this start."""
+    out, n = tmp_path / f"{name}-out", len(list(tmp_path.glob(f"{name}-start*")))
+    (tmp_path / f"{name}-start{n}").touch()
+    batch = lambda d, k: d.write.mode("overwrite").parquet(f"{out}/start={n}/batch={k}")
+    df.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start().awaitTermination(120)
+    return [r for r in spark.read.parquet(str(out)).collect() if r.start == n]
+
+
 def events_in(spark, path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
@@ -85,28 +94,25 @@ def at(minutes):
 
 def test_prompts_once(spark, tmp_path):
     schema, path = "session string, prompt string, ts timestamp", str(tmp_path / "p")
+    go = lambda: sorted((r.session, r.prompt) for r in run_to_files(streams.prompts_once(streams.event_stream(spark, path, schema)), spark, tmp_path, "prompts"))
     events_in(spark, path, [("a", "hi", at(0)), ("a", "hi", at(2)), ("b", "hi", at(2)), ("a", " ", at(3)), ("a", "other", at(3))], schema)
-    got = run(streams.prompts_once(streams.event_stream(spark, path, schema)), spark, "prompts", tmp_path)
-    assert sorted((r.session, r.prompt) for r in got.collect()) == [("a", "hi"), ("a", "other"), ("b", "hi")]
+    assert go() == [("a", "hi"), ("a", "other"), ("b", "hi")]
+    events_in(spark, path, [("a", "hi", at(4)), ("z", "later", at(100))], schema)
+    assert go() == [("z", "later")]
     # Long after the window the same prompt counts again.
-    events_in(spark, path, [("z", "later", at(100))], schema)
-    run(streams.prompts_once(streams.event_stream(spark, path, schema)), spark, "prompts", tmp_path)
     events_in(spark, path, [("a", "hi", at(120))], schema)
-    q = streams.prompts_once(streams.event_stream(spark, path, schema)).writeStream.format("memory").queryName("prompts2").option("checkpointLocation", str(tmp_path / "prompts")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert [(r.session, r.ts) for r in spark.table("prompts2").collect()] == [("a", at(120))]
+    assert go() == [("a", "hi")]
 
 
 def test_change_feed_has_a_cursor_per_table(spark, tmp_path):
     schema = "id long, ts timestamp"
     tables = {n: (str(tmp_path / n), schema) for n in ("one", "two")}
+    go = lambda: sorted((r.table, r.id) for r in run_to_files(streams.change_feed(spark, tables), spark, tmp_path, "feed"))
     events_in(spark, tables["one"][0], [(1, at(0))], schema)
     events_in(spark, tables["two"][0], [(7, at(0))], schema)
-    assert sorted(map(tuple, run(streams.change_feed(spark, tables), spark, "feed", tmp_path).select("table", "id").collect())) == [("one", 1), ("two", 7)]
+    assert go() == [("one", 1), ("two", 7)]
     events_in(spark, tables["two"][0], [(8, at(1))], schema)
-    q = streams.change_feed(spark, tables).writeStream.format("memory").queryName("feed2").option("checkpointLocation", str(tmp_path / "feed")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert [tuple(r) for r in spark.table("feed2").select("table", "id").collect()] == [("two", 8)]
+    assert go() == [("two", 8)]
 
 
 def test_worker_retries_and_fails(spark, tmp_path):
@@ -121,17 +127,16 @@ def test_worker_retries_and_fails(spark, tmp_path):
 
 
 def test_late_rows(spark, tmp_path):
-    """Rows behind the watermark are left out of a closed session; those before it count."""
-    schema, path = "event_id long, ts timestamp, user_id long, event_type string, value double, props string", str(tmp_path / "e")
+    """Rows behind the watermark are left out; those before it count in their session."""
+    path = str(tmp_path / "e")
     row = lambda i, m: (i, at(m), 1, "view", 1.0, "")
-    events_in(spark, path, [row(1, 0), row(2, 10)], schema)
-    run(streams.sessions(streams.event_stream(spark, path)), spark, "late", tmp_path)
-    events_in(spark, path, [row(3, 300)], schema)
-    run(streams.sessions(streams.event_stream(spark, path)), spark, "late", tmp_path)
-    events_in(spark, path, [row(4, 20), row(5, 600)], schema)
-    q = streams.sessions(streams.event_stream(spark, path)).writeStream.format("memory").queryName("late2").option("checkpointLocation", str(tmp_path / "late")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert [r.n for r in spark.table("late2").collect()] == [1]
+    go = lambda: [r.n for r in run_to_files(streams.sessions(streams.event_stream(spark, path)), spark, tmp_path, "late")]
+    events_in(spark, path, [row(1, 0), row(2, 10)], streams.EVENTS)
+    assert go() == []  # the session is open
+    events_in(spark, path, [row(3, 300)], streams.EVENTS)
+    assert go() == [2]
+    events_in(spark, path, [row(4, 20), row(5, 600)], streams.EVENTS)
+    assert go() == [1]  # row 4 came too late for any session
 
 
 def test_activity_windows(spark, folder, tmp_path):
