@@ -5,7 +5,11 @@ A queue has id, status (pending, processing, done, failed), attempts, enqueued_a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Attempts before a task fails for good, seconds until work counts as stale, tasks claimed at a time.
@@ -68,3 +72,25 @@ def health(queue: DataFrame, now: Column, recent: int = 100, failures: int = 5)
     speed = ms.select(at(F.floor(F.size("m") / 2)).alias("p50"), at(F.greatest(F.lit(0), F.floor(F.size("m") * 0.95) - 1)).alias("p95"))
     failed = newest("failed", failures).agg(F.array_join(F.transform(F.sort_array(F.collect_list("id"), asc=False), lambda i: i.cast("string")), ",").alias("last_failures"))
     return counts.crossJoin(speed).crossJoin(failed)  # one row each
+
+
+@contextmanager
+def lock(spark: SparkSession, folder: str, name: str, stale_after: int = 3600) -> Iterator[bool]:
+    """Whether this driver holds the named lock: a marker in a shared folder that only one can create. A marker older than
+    ``stale_after`` seconds belongs to a driver that is gone and is taken over."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    marker = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.lock")
+    fs = marker.getFileSystem(conf)
+    if fs.exists(marker) and time.time() * 1000 - fs.getFileStatus(marker).getModificationTime() > stale_after * 1000:
+        fs.delete(marker, False)
+    try:
+        fs.create(marker, False).close()
+    except Exception as held:
+        if "FileAlreadyExists" not in str(held):
+            raise
+        yield False
+        return
+    try:
+        yield True
+    finally:
+        fs.delete(marker, False)

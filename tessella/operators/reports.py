@@ -171,6 +171,25 @@ def keyword_scores(records: DataFrame, stops: list[str], per_record: int = 5) ->
     return best(scored, ["id"], [F.desc("score"), "word"], per_record).select("id", "word", "score", "rank")
 
 
+#: Words that say nearly the same.
+REPHRASED = {"implement": "build", "create": "make", "add": "introduce", "fix": "resolve", "update": "modify", "delete": "remove", "configuration": "setup", "integration": "connecting", "error": "problem", "bug": "issue", "feature": "capability", "deploy": "launch", "migrate": "move", "refactor": "restructure",
+             "реализовать": "сделать", "создать": "построить", "добавить": "внедрить", "исправить": "решить", "обновить": "изменить", "удалить": "убрать", "настройка": "конфигурация", "интеграция": "подключение", "ошибка": "проблема", "баг": "дефект"}
+
+
+def paraphrase(content: Column, keywords: Column) -> Column:
+    """A test question without a text's own words: its first sentence of over 20 characters, rephrased and without the first three
+    keywords; a plain question if little is left, the keywords if there is no such sentence."""
+    trim = lambda c: F.btrim(c, F.lit(" \t\r\n"))
+    first = F.get(F.filter(F.transform(F.split(content, r"[.\n]", -1), lambda s: trim(s)), lambda s: F.length(s) > 20), F.lit(0))
+    said = F.lower(F.substring(first, 1, 150))
+    for old, new in REPHRASED.items():
+        said = F.replace(said, F.lit(old), F.lit(new))
+    bare = F.aggregate(F.slice(keywords, 1, 3), said, lambda t, k: F.replace(t, F.lower(k), F.lit("")))
+    bare = trim(F.regexp_replace(bare, r"\s+", " "))
+    question = F.concat(F.lit("how to "), F.array_join(F.slice(keywords, 1, 2), " "))
+    return F.when(first.isNull(), F.array_join(keywords, " ")).when(F.length(bare) < 15, question).otherwise(bare)
+
+
 def decisions(rows: DataFrame) -> DataFrame:
     """(id, selected, total, context, summary): options with criteria (id, option, criterion, rating, selected) as one record: the
     context as JSON, and the sum of the chosen option's ratings."""

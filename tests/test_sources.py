@@ -154,3 +154,36 @@ def test_chunkers(spark):
     trace = "x\nTraceback (most recent call last):\n  File 1\nE\nTraceback (most recent call last):\n  F 2"
     assert [c[3] for c in cut(trace, "stacktrace", 100)] == ["x", "Traceback (most recent call last):\n  File 1\nE", "Traceback (most recent call last):\n  F 2"]
     assert cut("  \n ", "text") == [] and cut(None, None) == []
+
+
+def test_pdf_text(spark):
+    import zlib
+
+    from tessella.sources import documents
+
+    one = b"BT /F1 12 Tf 72 700 Td (Hello \\(big\\) w\\366rld) Tj T* [(sec) -20 (ond) -300 (line)] TJ ET"
+    packed = zlib.compress(b"BT <48> Tj (page two) Tj ET BT (more) ' ET")
+    pdf = b"%PDF-1.4\n1 0 obj\n<< /Length 9 >>\nstream\n" + one + b"\nendstream\nendobj\n2 0 obj\n<< /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream\n3 0 obj << /Filter /DCTDecode >> stream\nBT (no) Tj ET\nendstream"
+    got = documents.pdf_texts(spark.createDataFrame([("a.pdf", pdf), ("b.pdf", b"junk"), ("c.pdf", None)], "path string, content binary"))
+    assert {r.path: r.text for r in got.collect()} == {"a.pdf": "Hello (big) wörld\nsecond line\n\npage two\nmore", "b.pdf": "", "c.pdf": ""}
+
+
+def test_lock(spark, tmp_path):
+    from tessella.operators import queues
+
+    folder = str(tmp_path)
+    with queues.lock(spark, folder, "work") as mine:
+        with queues.lock(spark, folder, "work") as other, queues.lock(spark, folder, "else") as third:
+            assert (mine, other, third) == (True, False, True)
+        with queues.lock(spark, folder, "work", stale_after=-1) as taken:
+            assert taken
+    with queues.lock(spark, folder, "work") as again:
+        assert again
+
+
+def test_paraphrase(spark):
+    from tessella.operators import reports
+
+    rows = [("Short.\nWe fix the error in the parser module today. More", ["parser", "module"]), ("tiny", ["alpha", "beta", "gamma"]), ("Parser module here now", ["parser", "module", "here"])]
+    got = [r[0] for r in spark.createDataFrame(rows, "c string, k array<string>").select(reports.paraphrase(F.col("c"), F.col("k"))).collect()]
+    assert got == ["we resolve the problem in the today", "alpha beta gamma", "how to parser module"]
