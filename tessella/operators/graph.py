@@ -22,6 +22,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_order(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with ``place``, from 1, in an order of the whole table: sorted in ranges, numbered inside them, and shifted by the
+    counts of the ranges before. No task gets all rows."""
+    parts = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    # One row per range.
+    before = counts.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rn = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parts.withColumn("rn", rn).join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("rn")).drop("part", "rn", "before")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     rest = [c for c in edges.columns if c not in ("source", "target")]
     flipped = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), *rest)
@@ -109,8 +120,7 @@ def communities(edges: DataFrame, least: int = 3) -> DataFrame:
     """(node, component, size, rank) of components with at least ``least`` nodes, the largest first."""
     c = components(edges)
     sizes = c.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    # One row per component.
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
+    ranked = in_order(sizes, [F.desc("size"), F.col("component").asc()]).withColumnRenamed("place", "rank")
     return c.join(ranked, "component").select("node", "component", "size", "rank")
 
 

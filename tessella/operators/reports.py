@@ -52,8 +52,8 @@ def next_project(records: DataFrame, due: DataFrame, now: Column) -> DataFrame:
     r = records.where((F.col("status") == "active") & (F.col("project") != "general"))
     since = lambda d: F.col("created_at") > now - F.make_interval(days=F.lit(d))
     days = r.where(since(30) & (F.weekday("created_at") == F.weekday(now))).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
-    late = best(r.where(since(3)).groupBy("project").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.lit(0)), ["g"], [F.desc("n"), "project"], 10)
-    scaled = lambda d, w: d.select("project", (F.col("n") / F.max("n").over(Window.partitionBy(F.lit(0))) * w).alias("s"))  # noqa: E731  one row per project
+    late = r.where(since(3)).groupBy("project").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project").limit(10)
+    scaled = lambda d, w: d.crossJoin(d.agg(F.max("n").alias("most"))).select("project", (F.col("n") / F.col("most") * w).alias("s"))  # noqa: E731  one row
     scores = scaled(days, WEEKDAY).unionByName(scaled(late, RECENT)).groupBy("project").agg(F.sum("s").alias("s"))
     # Due tasks only add to projects that have a score.
     with_due = scores.join(due.select("project").distinct().withColumn("due", F.lit(DUE)), "project", "left")

@@ -110,11 +110,12 @@ def import_notes(notes: DataFrame, known: DataFrame, least: float = 0.8) -> Data
     equal word sets, or close to a kept one, is left out."""
     from tessella.functions.text import words
     from tessella.operators.consolidate import absorbed, alike_sets
+    from tessella.operators.graph import in_order
 
     old = known.select(F.lit("").alias("path"), F.col("content").alias("body"), F.lit(0).alias("new")).dropDuplicates(["body"])
     every = old.unionByName(notes.select("path", "body", F.lit(1).alias("new")))
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("new", "path", "body"))  # numbers only, from an import's texts
-    numbered = every.select("path", "body", "new", F.array_distinct(words(F.col("body"))).alias("s"), order.cast("long").alias("id")).where(F.size("s") > 0)
+    order = [F.col(c).asc() for c in ("new", "path", "body")]
+    numbered = in_order(every, order).select("path", "body", "new", F.array_distinct(words(F.col("body"))).alias("s"), F.col("place").cast("long").alias("id")).where(F.size("s") > 0)
     pairs = alike_sets(numbered.select("id", "s", F.lit(0).alias("g")), ["g"], least).select("a", "b")
     kept = absorbed(pairs, numbered.select("id")).where(F.col("id") == F.col("seed")).select("id")
     return numbered.where("new = 1").join(kept, "id", "left_semi").select("path", "body")
