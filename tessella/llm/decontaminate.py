@@ -22,11 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import carried, grams, let, sliding_min, split_lower, store, text_key, unpacked
+from tessella.llm.common import carried, grams, let, sliding_min, split_lower, split_words, store, text_key, unpacked
 
 #: Everything but ASCII letters (before or after lower-casing), digits and all characters beyond ASCII.
 GAP_RE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
-WORD_RE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 SPAN, K = 13, 5
 RESULTS = ("n_words", "n_hit", "item_ids", "contaminated")
 
@@ -36,19 +35,21 @@ def words_of(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
+    """How many words a text has; their case doesn't matter for that."""
+    return F.size(split_words(text, GAP_RE)).cast("long")
 
 
 def _values(words: Column, kind: int, span: int, k: int) -> Column:
     """What windows are met by, by the first word of each: the smallest k-gram hash of a span (kind 0), or the hash of its
-    first ``kind`` words."""
-    return grams(words, kind) if kind else sliding_min(grams(words, k), span - k + 1)
+    first ``kind`` words, kept apart by the kind."""
+    if not kind:
+        return sliding_min(grams(words, k), span - k + 1)
+    return F.transform(grams(words, kind), lambda v: F.xxhash64(F.lit(kind), v))
 
 
 def _marks(words: Column, kinds: list[int], span: int, k: int) -> Column:
-    """[(kind, v)]: the distinct values of a text."""
-    one = lambda g: lambda v: F.struct(F.lit(g).alias("kind"), v.alias("v"))
-    return F.concat(*(F.transform(F.array_distinct(_values(words, g, span, k)), one(g)) for g in kinds))
+    """The distinct values of a text. Plain numbers: structs would be computed once per field that is asked of them."""
+    return F.concat(*(F.array_distinct(_values(words, g, span, k)) for g in kinds))
 
 
 def item_windows(bench: DataFrame, item: str, text: str, span: int, k: int) -> DataFrame:
@@ -57,7 +58,7 @@ def item_windows(bench: DataFrame, item: str, text: str, span: int, k: int) -> D
     n = F.least(F.size("w"), F.lit(span))
     each = w.select("item", n.alias("len"), "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i")).select("item", "len", F.slice("w", F.col("i"), F.col("len")).alias("w"))
     short = F.least(F.col("len"), F.lit(k))
-    value = F.when(F.col("len") == span, F.array_min(grams(F.col("w"), k))).otherwise(F.xxhash64(F.slice("w", F.lit(1), short)))
+    value = F.when(F.col("len") == span, F.array_min(grams(F.col("w"), k))).otherwise(F.xxhash64(short, F.xxhash64(F.slice("w", F.lit(1), short))))
     kind = F.when(F.col("len") == span, F.lit(0)).otherwise(short)
     return each.select("item", "len", F.array_join("w", " ").alias("window"), kind.alias("kind"), value.alias("v")).distinct()
 
@@ -70,14 +71,15 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
     for r in windows.select("kind", "len").distinct().collect():
         lens[r["kind"]] = sorted({*lens.get(r["kind"], []), r["len"]})
     kinds = sorted(lens)
-    marks = windows.select("kind", "v").distinct()
+    marks = windows.select("v").distinct()
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     mine = docs.select(text_key(body).alias("key"), let(words_of(body), lambda w: _marks(w, kinds, span, k)).alias("s"))
-    mine = mine.select("key", F.explode("s").alias("s")).select("key", "s.*")
-    met = store(mine.join(marks, ["kind", "v"], "left_semi").select("key", "kind", "v").distinct(), "met")
+    # Outer: for a plain explode the array would be computed once more, to leave empty ones out before.
+    mine = mine.select("key", F.explode_outer("s").alias("v"))
+    met = store(mine.join(marks, "v", "left_semi").select("key", "v").distinct(), "met")
 
     # Extend: in the texts that met, all spans that stand for a value that met, cut from the text again.
-    per_text = met.groupBy("key").agg(*(F.collect_set(F.when(F.col("kind") == g, F.col("v"))).alias(f"v{g}") for g in kinds))
+    per_text = met.groupBy("key").agg(F.collect_set("v").alias("vs"))
     keyed = docs.select(text_key(body).alias("key"), body.alias("body"))
     # Only texts that met go on, one of each: copies are dropped by the task that read them, before any shuffle.
     texts = keyed.join(store(met.select("key").distinct(), "keys"), "key", "left_semi")
@@ -90,10 +92,10 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
 
             def found(values: Column) -> Column:
                 at = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
-                hit = F.filter(at, lambda i: F.array_contains(F.col(f"v{g}"), F.get(values, i)))
+                hit = F.filter(at, lambda i: F.array_contains("vs", F.get(values, i)))
                 return F.flatten(F.transform(hit, lambda i: F.transform(fits(i), window(i))))
 
-            return F.when(F.size(f"v{g}") > 0, let(_values(w, g, span, k), found)).otherwise(F.array().cast("array<struct<i:int,len:int,window:string>>"))
+            return let(_values(w, g, span, k), found)
 
         return F.concat(*(of_kind(g) for g in kinds))
 
