@@ -151,7 +151,8 @@ def disclosure(docs: DataFrame, found: DataFrame, text: str, min_values: int = M
     rows = rows.select(F.substring_index("t", ":", 1).cast("int").alias("k"), F.substring_index("t", ":", -1).alias("term"), "n_near")
     beside = values.join(rows, ["k", "term"])
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    within = docs.select(F.explode(terms_of(body)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Outer: for a plain explode the terms would be found twice, to leave documents without any out before.
+    within = docs.select(F.explode_outer(terms_of(body)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
     kinds = found.select(*(F.exists("spans", of_kind(k)).cast("int").alias(f"k{k}") for k in range(len(KINDS))))
     counts = kinds.agg(F.count(F.lit(1)).alias("all"), *(F.sum(f"k{k}").alias(f"k{k}") for k in range(len(KINDS))))
     rates = counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col(f"k{k}") / F.nullif(F.col("all"), F.lit(0))).alias("p")) for k in range(len(KINDS))))).alias("r")).select("r.*")
