@@ -29,7 +29,8 @@ def postings(queries: DataFrame, records: DataFrame, least: int = 2) -> DataFram
     wanted = queries.select(F.explode(F.array_distinct(X.tokens(F.col("query"), least))).alias("term")).distinct()
     wanted = wanted.unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
     t = records.select("id", X.tokens(F.coalesce("content", F.lit("")), least).alias("t")).withColumn("dl", F.size("t"))
-    each = t.select("id", "dl", F.explode(F.array_append("t", F.lit(""))).alias("term")).join(wanted, "term", "left_semi")
+    # Outer: for a plain explode the texts would be split once more, to leave empty arrays out before.
+    each = t.select("id", "dl", F.explode_outer(F.array_append("t", F.lit(""))).alias("term")).join(wanted, "term", "left_semi")
     return each.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
