@@ -227,9 +227,6 @@ def total_bytes(chunks: DataFrame) -> int:
     return chunks.agg(F.sum("n_bytes")).first()[0] or 0
 
 
-KeyFn = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
-
-
 def buckets_for(expected_keys: int) -> int:
     """A power of two that leaves about BUCKET_KEYS keys to a bucket."""
     return 1 << max(6, int(np.ceil(np.log2(max(1, expected_keys) / BUCKET_KEYS))))

@@ -9,8 +9,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as in ``[\x20\x09-\x0D]``.
-WHITE = " \t\n\x0b\x0c\r"
+#: ASCII white space, as a character class and what is not.
 WHITE_RE = "[\\x20\\x09-\\x0D]"
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
