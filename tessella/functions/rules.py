@@ -350,6 +350,14 @@ def task_level(text: Column) -> Column:
     return out
 
 
+def task_tokens(level: Column) -> Column:
+    """How many tokens a task of a level is expected to take."""
+    out = F.lit(None).cast("int")
+    for n, tokens in TASK_TOKENS.items():
+        out = F.when(level == n, tokens).otherwise(out)
+    return out
+
+
 def has_task_word(text: Column) -> Column:
     low = F.lower(text)
     return any_word(low, [w for words in TASK_WORDS.values() for w in words]) | any_of(low, TASK_FORMS)

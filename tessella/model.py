@@ -16,7 +16,6 @@ RRF_K = 60
 TIER_WEIGHTS = {"fts": 1.0, "semantic": 1.2, "hyde": 1.0, "fuzzy": 0.5, "graph": 0.8, "episode": 0.9}
 IMPORTANCE = {"critical": 1.5, "high": 1.2, "medium": 1.0, "low": 0.8}
 HALF_LIFE, EDGE_HALF_LIFE = 90, 60
-VIEW_HALF_LIFE = {"raw": 180, "keywords": 90, "compressed": 60, "questions": 45, "summary": 30}
 ARCHIVE_DAYS, PURGE_DAYS, OBSERVATION_DAYS = 180, 365, 30
 BM25_K1, BM25_B = 1.5, 0.75
 AS_OF = "2024-06-01 00:00:00"

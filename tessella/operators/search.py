@@ -69,10 +69,6 @@ def sign_word(v: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 #: Queries that are compared at a time, and vectors of a block.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
 

@@ -220,16 +220,17 @@ TASK_PROBES = ("Fix typo in readme", "Redesign the store", "add the /users endpo
 
 
 @query(
-    "WITH d AS (SELECT doc_id AS id, " + probe_sql(TASK_PROBES, "doc_id") + " || ' ' || array_to_string(string_split(left(text, 600), ' ')[1:(doc_id % 90)::int], ' ') AS t FROM documents), l AS (SELECT id, lower(t) AS q, len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) AS n FROM d) SELECT id, CASE WHEN "
+    "WITH d AS (SELECT doc_id AS id, " + probe_sql(TASK_PROBES, "doc_id") + " || ' ' || array_to_string(string_split(left(text, 600), ' ')[1:(doc_id % 90)::int], ' ') AS t FROM documents), l AS (SELECT id, lower(t) AS q, len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) AS n FROM d), v AS (SELECT id, CASE WHEN "
     + words_sql("q", ("architecture", "redesign", "multi-service", "multi service", "re-architect", "rearchitect", "microservice", "system overhaul")) + " THEN 4 WHEN "
     + words_sql("q", ("refactor", "migrate", "migration", "implement feature", "new module", "rework", "restructure", "overhaul")) + " THEN 3 WHEN "
     + words_sql("q", ("add endpoint", "new page", "update docs", "add field", "add route", "new component", "extend api", "add method")) + r" OR regexp_matches(q, '\badd\b.{0,30}\b(endpoint|route)\b|\bnew\b.{0,20}\b(page|component|endpoint|route)\b|\bextend\b.{0,20}\bapi\b') THEN 2 WHEN "
-    + words_sql("q", ("typo", "bump", "rename", "fix", "patch version", "update version")) + " THEN 1 WHEN n < 15 THEN 1 WHEN n <= 30 THEN 2 WHEN n <= 60 THEN 3 ELSE 4 END AS level FROM l"
+    + words_sql("q", ("typo", "bump", "rename", "fix", "patch version", "update version")) + " THEN 1 ELSE 0 END AS k, CASE WHEN n < 15 THEN 1 WHEN n <= 30 THEN 2 WHEN n <= 60 THEN 3 ELSE 4 END AS g FROM l) SELECT id, CASE WHEN k > 0 THEN k ELSE g END AS level, [2000, 8000, 25000, 80000][CASE WHEN k > 0 THEN k ELSE g END] AS tokens, CASE WHEN k > 0 THEN 1.0 ELSE 0.5 END::double AS confidence FROM v"
 )
 def x16_task_level(spark, sf_dir):
     i = F.col("id")
     some = F.array_join(F.slice(F.split(F.substring("text", 1, 600), " ", -1), F.lit(1), (i % 90).cast("int")), " ")
-    return documents(spark, sf_dir).select("id", U.task_level(F.concat(probe(TASK_PROBES, i), F.lit(" "), some)).alias("level"))
+    t = documents(spark, sf_dir).select("id", F.concat(probe(TASK_PROBES, i), F.lit(" "), some).alias("t")).withColumn("level", U.task_level(F.col("t")))
+    return t.select("id", "level", U.task_tokens(F.col("level")).alias("tokens"), F.when(U.has_task_word(F.col("t")), 1.0).otherwise(0.5).alias("confidence"))
 
 
 SIGNAL_PROBES = ("that is wrong, undo it", "thanks, great", "please try again", "ok", "still failing", "perfect!", "revert this", "go on", "awesome")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.functions.text import html_text
 
 #: A transcript line; ``content`` is a string or a list of parts, so it is read as JSON text.
 TRANSCRIPT = T.StructType([T.StructField("type", T.StringType()), T.StructField("timestamp", T.StringType()), T.StructField("message", T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))])
@@ -31,10 +30,6 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def html_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    return pages.withColumn("text", html_text(F.col(html)))
-
-
 def inbox(spark: SparkSession, path: str) -> DataFrame:
     """New files of a folder as a stream: (path, kind, content); kind by extension."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
