@@ -47,6 +47,12 @@ def store(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles of jobs that are done: it removes their files once the driver has forgotten them,
+    which an idle driver may put off for long while executors' disks fill."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table made by ``store`` that nothing reads any more."""
     spark = df.sparkSession

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import chunks as C
-from tessella.llm.common import drop_stored, store
+from tessella.llm.common import drop_stored, store, sweep
 
 WORDS, PERCENT = 5, 80
 #: Cost of comparing two sets, in postings read; and the longest step of a prefix.
@@ -109,6 +109,8 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, chu
     with C.small_batches(docs.sparkSession):
         replies = store(C.counted(table.mapInArrow(send, C.SENT)), "frequencies")
 
+    sweep(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, dtype=C.U)
         for row in C.rows_of(batches):
@@ -153,6 +155,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, chu
         out = store(joined.mapInArrow(cut, OUT), "prefixes")
     drop_stored(table)
     drop_stored(replies)
+    sweep(docs.sparkSession)
     return out
 
 

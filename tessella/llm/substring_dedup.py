@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import chunks as C
-from tessella.llm.common import store
+from tessella.llm.common import store, sweep
 
 SPAN, K = 35, 8
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -227,8 +227,10 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int =
 
     with C.small_batches(docs.sparkSession):
         first = store(C.counted(table.mapInArrow(anchors, C.SENT)).withColumnRenamed("replies", "anchors"), "anchors")
+        sweep(docs.sparkSession)
         asked = table.join(first, "chunk").select("chunk", "body", "anchors")
         second = store(C.exchanged(asked.mapInArrow(look_up, ASKED), locate, FOUND).withColumnRenamed("replies", "windows"), "windows")
+        sweep(docs.sparkSession)
         parsed = table.join(first.join(second, "chunk"), "chunk").select("chunk", "body", "anchors", "windows")
         asks = parsed.mapInArrow(ask, "ref long, chunk long, places binary")
         # A passage that all blocks hold has one reference block: its askers come in groups of bounded size.
@@ -237,6 +239,7 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int =
         told = table.join(asks, F.col("chunk") == F.col("ref")).select("chunk", "body", "asks").mapInArrow(tell, "chunk long, ref long, texts binary")
         third = store(told.groupBy("chunk").agg(F.collect_list(F.struct("ref", "texts")).alias("told")), "told")
 
+    sweep(docs.sparkSession)
     every = first.join(second, "chunk", "left").join(third, "chunk", "left")
     return table.join(every, "chunk", "left").select("chunk", "body", "anchors", "windows", "told").mapInArrow(cut, OUT)
 
