@@ -37,17 +37,52 @@ def postings(queries: DataFrame, records: DataFrame, least: int = 2) -> DataFram
 def bm25(queries: DataFrame, records: DataFrame, k: int = 10, k1: float = M.BM25_K1, b: float = M.BM25_B) -> DataFrame:
     """(qid, id, score, rank) of the best ``k`` per query.
 
-    Lengths, frequencies and scores all come from one pass over the texts, kept as a table of the queries' terms.
+    Lengths, frequencies and scores all come from one pass over the texts, kept as a table of the queries' terms. Scores are
+    products of blocks of documents with blocks of the stated query set; a block keeps its best for each query.
     """
+    spark = queries.sparkSession
     p = cut(postings(queries, records))
-    q = queries.select("qid", F.explode(F.array_distinct(X.tokens(F.col("query"), 2))).alias("term"))
-    stats = p.where(F.col("term") == "").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = p.where(F.col("term") != "").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl")  # stats: one row
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = p.join(weights, "term").withColumn("part", part).join(q, "term").groupBy("qid", "id").agg(F.sum("part").alias("score"))
-    return top_k(scored, k)
+    own = queries.select(F.col("qid").cast("long").alias("qid"), F.array_distinct(X.tokens(F.col("query"), 2)).alias("t"))
+    asked = own.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("t")).orderBy("qid").collect()  # the stated query set
+    n, avgdl = p.where(F.col("term") == "").agg(F.count(F.lit(1)), F.avg("dl")).first()
+    # At most as many rows as the query set has terms.
+    df = {r.term: r.df for r in p.where(F.col("term") != "").groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    docs = p.where(F.col("term") != "").groupBy("id", "dl").agg(F.collect_list("term").alias("t"), F.collect_list("tf").alias("f"))
+    parts = [spark.createDataFrame([], "qid long, id long, score double")]
+    for at in range(0, len(asked), QUERY_BLOCK):
+        some = asked[at : at + QUERY_BLOCK]
+        terms = sorted({t for r in some for t in r.t if t in df})
+        if not terms:
+            continue
+        index = {t: i for i, t in enumerate(terms)}
+        qids, wants = np.array([r.qid for r in some], dtype=np.int64), np.zeros((len(terms), len(some)))
+        for j, r in enumerate(some):
+            wants[[index[t] for t in r.t if t in index], j] = 1.0
+        count = np.array([df[t] for t in terms], dtype=np.float64)
+        idf = np.log(1.0 + (n - count + 0.5) / (count + 0.5))
+
+        def run(batches: Iterator[pa.RecordBatch], terms: list[str] = terms, qids: np.ndarray = qids, wants: np.ndarray = wants, idf: np.ndarray = idf) -> Iterator[pa.RecordBatch]:
+            rows = max(16, (4 << 20) // len(terms))
+            for batch in batches:
+                for i in range(0, batch.num_rows, rows):
+                    part = batch.slice(i, rows).sort_by("id")
+                    sizes = pc.list_value_length(part.column(2)).to_numpy()
+                    which = pc.index_in(part.column(2).flatten(), value_set=pa.array(terms)).fill_null(-1).to_numpy()
+                    tf = part.column(3).flatten().to_numpy().astype(np.float64)
+                    row = np.repeat(np.arange(part.num_rows), sizes)
+                    dl = part.column(1).to_numpy().astype(np.float64)[row]
+                    weight = np.zeros((part.num_rows, len(terms)))
+                    good = which >= 0
+                    weight[row[good], which[good]] = (idf[which] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)))[good]
+                    scores = (weight @ wants).T
+                    ranked = np.floor(-scores * 1e6 + 0.5).astype(np.int64)  # as ``top_k`` ranks them
+                    best = _smallest(ranked * part.num_rows + np.arange(part.num_rows), k + 8)
+                    q, d = np.repeat(np.arange(len(qids)), best.shape[1]), best.ravel()
+                    hit = scores[q, d] > 0
+                    yield pa.record_batch([pa.array(qids[q][hit]), pa.array(part.column(0).to_numpy()[d][hit]), pa.array(scores[q, d][hit])], names=["qid", "id", "score"])
+
+        parts.append(docs.select(F.col("id").cast("long").alias("id"), F.col("dl").cast("long").alias("dl"), "t", F.col("f").cast("array<long>").alias("f")).mapInArrow(run, "qid long, id long, score double"))
+    return top_k(reduce(DataFrame.unionByName, parts), k)
 
 
 def top_k(scored: DataFrame, k: int, group: str = "qid") -> DataFrame:
