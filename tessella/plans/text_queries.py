@@ -9,6 +9,7 @@ from tessella.functions import chunkers as K
 from tessella.functions import text as X
 from tessella.operators import consolidate as C
 from tessella.operators import lifecycle as L
+from tessella.operators.graph import cut
 from tessella.plans.registry import query
 from tessella.session import table
 
@@ -103,7 +104,7 @@ def word_sets(spark, sf_dir):
 @query(f"WITH {REC}, {JACC} SELECT a, b, {R('jaccard')} AS jaccard FROM jp WHERE jaccard > 0.75 UNION ALL SELECT rep, id, 1.0 FROM cl WHERE id <> rep")
 def j15_l2_similarity_join(spark, sf_dir):
     """Pairs of different texts, and every copy with its representative: no pairs among copies."""
-    w = word_sets(spark, sf_dir)
+    w = cut(word_sets(spark, sf_dir))  # read four times below
     member = C.classes(w, ["project"], F.col("s"))
     reps = w.join(member.where("id = rep").select("id"), "id", "left_semi")
     pairs = C.alike_sets(reps, ["project"], 0.75).where("jaccard > 0.75D").select("a", "b", M.rounded(F.col("jaccard")).alias("jaccard"))
