@@ -98,7 +98,8 @@ def token_f1(a: Column, b: Column) -> Column:
 
 
 def weekly_trend(rows: DataFrame, time: str, as_of: Column, weeks: int = 4) -> DataFrame:
-    back = F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(F.col(time).cast("timestamp"))) / (7 * 86400))
+    """Rows of each of the last ``weeks`` weeks; whole weeks back are counted to the microsecond."""
+    back = F.floor((F.unix_micros(as_of) - F.unix_micros(F.col(time).cast("timestamp"))) / (7 * 86400 * 1_000_000))
     return rows.withColumn("week", back).where(F.col("week").between(0, weeks - 1)).groupBy("week").agg(F.count(F.lit(1)).alias("n"))
 
 
