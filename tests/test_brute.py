@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
 from tessella import model as M
-from tessella.operators import analytics, consolidate, lifecycle, recall, retrieval, search, sequence
+from tessella.operators import analytics, consolidate, graph, lifecycle, recall, retrieval, search, sequence
 from tessella.plans.registry import ORACLE, QUERIES
 
 
@@ -265,3 +265,18 @@ def test_episode_queries_of_too_few_words(spark, sf_dir, tmp_path, name):
     columns = [d[0] for d in result.description]
     key = lambda r: tuple(round(float(x), 6) for x in r)
     assert sorted(map(key, got.select(*columns).collect())) == sorted(map(key, result.fetchall()))
+
+
+def test_transitive_meets_over_many_nodes_once(spark):
+    """2 000 sources and 200 targets over 2 000 common nodes: 800 million paths, 400 000 edges; against plain sets on a small graph."""
+    n = spark.range(2_000)
+    e = n.crossJoin(n.withColumnRenamed("id", "x")).select(F.col("id").alias("source"), (F.col("x") + 10_000).alias("target"), F.lit("uses").alias("relation"))
+    e = e.unionByName(n.crossJoin(spark.range(200).withColumnRenamed("id", "y")).select((F.col("id") + 10_000).alias("source"), (F.col("y") + 20_000).alias("target"), F.lit("needs").alias("relation")))
+    plan = graph.transitive(e, "uses", "needs", "needs")
+    assert plan.count() == 400_000
+    r = random.Random(8)
+    few = sorted({(r.randrange(12), r.randrange(12), r.choice(["uses", "needs"])) for _ in range(60)})
+    has = set(few)
+    want = {(a, d) for a, b, x in few for c, d, y in few if b == c and x == "uses" and y == "needs" and a != d and (a, d, "needs") not in has}
+    got = graph.transitive(spark.createDataFrame(few, "source long, target long, relation string"), "uses", "needs", "needs").collect()
+    assert sorted((x.source, x.target) for x in got) == sorted(want)
