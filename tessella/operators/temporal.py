@@ -101,6 +101,16 @@ def overlap_join(points: DataFrame, spans: DataFrame, bucket: int = 86400, by: l
     return a.join(b, ["bucket", *(by or [])]).where(hit).drop("bucket")
 
 
+def overlap_counts(points: DataFrame, spans: DataFrame, key: str, bucket: int = 86400) -> DataFrame:
+    """(key, n): how many ``spans`` (s2, e2) each of ``points`` (key, s1, e1) overlaps, of those that overlap any.
+
+    Equal spans and equal points are joined once and counted, so no pair of rows is made.
+    """
+    p, s = (rows.groupBy(*c).agg(F.count(F.lit(1)).alias("c")) for rows, c in ((points, ["s1", "e1"]), (spans, ["s2", "e2"])))
+    hits = overlap_join(p.drop("c"), s, bucket).groupBy("s1", "e1").agg(F.sum("c").alias("n"))
+    return points.join(hits, ["s1", "e1"]).groupBy(key).agg(F.sum("n").alias("n"))
+
+
 def as_of_join(left: DataFrame, right: DataFrame, key: str, time: str, right_time: str, value: str) -> DataFrame:
     """``left`` with the latest ``value`` of the same key at or before its time: one sorted pass over both."""
     tagged = left.select("*", F.lit(1).alias("__side"), F.col(time).alias("__t"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))

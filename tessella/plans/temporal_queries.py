@@ -108,7 +108,7 @@ def j12_interval_overlap_join(spark, sf_dir):
     p = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("s1"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("e1"))
     s2 = F.timestamp_seconds(F.unix_timestamp(ts("2024-01-01")) + F.col("o_orderkey") % 720 * 3600)
     q = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"), s2.alias("s2")).withColumn("e2", F.col("s2") + F.expr("INTERVAL 30 MINUTES"))
-    return T.overlap_join(p, q, 3600).groupBy("event_id").agg(F.count(F.lit(1)).alias("hits"))
+    return T.overlap_counts(p, q, "event_id", 3600).withColumnRenamed("n", "hits")
 
 
 @query("""WITH v AS (SELECT user_id, ts AS at, event_id AS last_error FROM events WHERE event_type = 'error')

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
 from tessella import model as M
-from tessella.operators import analytics, consolidate, graph, lifecycle, recall, retrieval, search, sequence
+from tessella.operators import analytics, consolidate, graph, lifecycle, recall, retrieval, search, sequence, temporal
 from tessella.plans.registry import ORACLE, QUERIES
 
 
@@ -267,6 +267,15 @@ def test_episode_queries_of_too_few_words(spark, sf_dir, tmp_path, name):
     assert sorted(map(key, got.select(*columns).collect())) == sorted(map(key, result.fetchall()))
 
 
+def test_overlap_counts_makes_no_pairs(spark):
+    """Many equal spans and points are counted, not paired: 200 000 times 200 000 would never end."""
+    at = lambda c: F.timestamp_seconds(c)
+    p = spark.range(200_000).select(F.col("id").alias("k"), at(F.lit(1000)).alias("s1"), at(F.lit(4600)).alias("e1"))
+    s = spark.range(200_000).select(at(F.lit(4600)).alias("s2"), at(F.lit(9000)).alias("e2")).unionByName(spark.createDataFrame([(5000, 6000)], "a long, b long").select(at("a").alias("s2"), at("b").alias("e2")))
+    got = temporal.overlap_counts(p, s, "k", 3600).groupBy("n").count().collect()
+    assert [(r.n, r["count"]) for r in got] == [(200_000, 200_000)]
+
+
 def test_transitive_meets_over_many_nodes_once(spark):
     """2 000 sources and 200 targets over 2 000 common nodes: 800 million paths, 400 000 edges; against plain sets on a small graph."""
     n = spark.range(2_000)
