@@ -289,3 +289,18 @@ def test_transitive_meets_over_many_nodes_once(spark):
     want = {(a, d) for a, b, x in few for c, d, y in few if b == c and x == "uses" and y == "needs" and a != d and (a, d, "needs") not in has}
     got = graph.transitive(spark.createDataFrame(few, "source long, target long, relation string"), "uses", "needs", "needs").collect()
     assert sorted((x.source, x.target) for x in got) == sorted(want)
+
+
+def test_triggered_scores_each_pair(spark):
+    """Against plain Python; the word lists of 30 000 skills are scored once per list, so the pairs below the floor are never made."""
+    r = random.Random(6)
+    lists = [[r.choice("abcdef"), r.choice("abcdef")] for _ in range(12)]
+    skills = [(i, r.choice(lists), r.random() * 3) for i in range(40)]
+    texts = [(q, [r.choice("abcdef") for _ in range(3)]) for q in range(9)]
+    score = lambda t, w, x: 0.7 * len(set(t) & set(w)) / len(t) + 0.3 * len(set(t) & set(w)) / len(w) + 0.05 * x
+    want = {(q, i) for q, w in texts for i, t, x in skills if score(t, w, x) >= 0.3}
+    got = retrieval.triggered(spark.createDataFrame(texts, "qid long, w array<string>"), spark.createDataFrame(skills, "id long, trig array<string>, rate double"), 0.3)
+    assert {(x.qid, x.id) for x in got.collect()} == want
+    many = spark.range(30_000).select("id", F.array(F.lit("x"), F.lit("y")).alias("trig"), F.lit(0.5).alias("rate"))
+    asked = spark.range(30_000).select(F.col("id").alias("qid"), F.array(F.lit("z")).alias("w"))
+    assert retrieval.triggered(asked, many, 0.3).count() == 0
