@@ -97,7 +97,7 @@ JACC = f"""w AS (SELECT id, project, list_sort(list_distinct({WORDS.format('cont
 
 
 def word_sets(spark, sf_dir):
-    w = rec(spark, sf_dir).select("id", "project", F.array_sort(F.array_distinct(X.words(F.col("content")))).alias("s"))
+    w = rec(spark, sf_dir).select("id", "project", C.hashed(X.words(F.col("content"))).alias("s"))
     return w.where(F.size("s") > 0)
 
 
@@ -105,9 +105,8 @@ def word_sets(spark, sf_dir):
 def j15_l2_similarity_join(spark, sf_dir):
     """Pairs of different texts, and every copy with its representative: no pairs among copies."""
     w = cut(word_sets(spark, sf_dir))  # read four times below
-    member = C.classes(w, ["project"], F.col("s"))
-    reps = w.join(member.where("id = rep").select("id"), "id", "left_semi")
-    pairs = C.alike_sets(reps, ["project"], 0.75).where("jaccard > 0.75D").select("a", "b", M.rounded(F.col("jaccard")).alias("jaccard"))
+    member = cut(C.classes(w, ["project"], F.col("s")))
+    pairs = C.alike_sets(w, ["project"], 0.75, member.where("id = rep").select("id")).where("jaccard > 0.75D").select("a", "b", M.rounded(F.col("jaccard")).alias("jaccard"))
     return pairs.unionByName(member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 

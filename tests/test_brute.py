@@ -304,3 +304,15 @@ def test_triggered_scores_each_pair(spark):
     many = spark.range(30_000).select("id", F.array(F.lit("x"), F.lit("y")).alias("trig"), F.lit(0.5).alias("rate"))
     asked = spark.range(30_000).select(F.col("id").alias("qid"), F.array(F.lit("z")).alias("w"))
     assert retrieval.triggered(asked, many, 0.3).count() == 0
+
+
+def test_alike_sets_at_the_bound(spark):
+    """11 of 20 is 0.55, though 20 * 0.55 is more than 11 in floating point; words, with much that is common to all."""
+    sets = [(0, 0, [f"w{i}" for i in range(20)]), (1, 0, [f"w{i}" for i in range(11)])]
+    got = consolidate.alike_sets(spark.createDataFrame(sets, "id long, g int, s array<string>"), ["g"], 0.55).collect()
+    assert [(x.a, x.b, x.jaccard) for x in got] == [(0, 1, 0.55)]
+    r = random.Random(5)
+    sets = [(i, 0, [f"common{k}" for k in range(60)] + [f"own{r.randrange(40)}" for _ in range(r.randrange(1, 60))]) for i in range(60)]
+    want = {(a, b) for a, _, s in sets for b, _, t in sets if a < b and len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.75}
+    got = consolidate.alike_sets(spark.createDataFrame(sets, "id long, g int, s array<string>"), ["g"], 0.75)
+    assert {(x.a, x.b) for x in got.collect()} == want and want
