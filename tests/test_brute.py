@@ -316,3 +316,13 @@ def test_alike_sets_at_the_bound(spark):
     want = {(a, b) for a, _, s in sets for b, _, t in sets if a < b and len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.75}
     got = consolidate.alike_sets(spark.createDataFrame(sets, "id long, g int, s array<string>"), ["g"], 0.75)
     assert {(x.a, x.b) for x in got.collect()} == want and want
+
+
+def test_shared_features_from_a_floor(spark):
+    """Against plain sets; features that all queries have, sets without features, blocks of records."""
+    r = random.Random(3)
+    some = lambda: ["all", *{f"f{r.randrange(30)}" for _ in range(r.randrange(0, 12))}]
+    q, d = [(i, some()) for i in range(40)] + [(90, [])], [(i, some()) for i in range(300)] + [(900, [])]
+    want = {(i, j, len(set(f) & set(g)), len(set(f) & set(g)) / len(set(f) | set(g))) for i, f in q for j, g in d if set(f) & set(g)}
+    got = search.shared_features(spark.createDataFrame(q, "qid long, f array<string>"), spark.createDataFrame(d, "id long, f array<string>"), 0.25)
+    assert {tuple(x) for x in got.collect()} == {w for w in want if w[3] >= 0.25}
