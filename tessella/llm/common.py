@@ -40,10 +40,17 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def store(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write to the shared folder and reread: cuts lineage and outlives any executor."""
+    """Write to the shared folder and reread: cuts lineage and outlives any executor. The shuffles of the write go with it; one
+    thread of the driver stores at a time."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    jvm = spark.sparkContext._jsc.sc()
+    first = jvm.newShuffleId()
     df.write.options(**options).parquet(path)
+    if (cleaner := jvm.cleaner()).isDefined():
+        # Nothing reads these shuffles any more; left to the garbage collector they fill the executors' disks for long.
+        for i in range(first, jvm.newShuffleId() + 1):
+            cleaner.get().doCleanupShuffle(i, True)
     return spark.read.schema(df.schema).parquet(path)
 
 

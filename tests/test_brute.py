@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import random
+import re
 import unicodedata
 
 import duckdb
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
 from tessella import model as M
+from tessella.llm.common import store
 from tessella.operators import analytics, consolidate, graph, lifecycle, recall, retrieval, search, sequence, temporal
 from tessella.plans.registry import ORACLE, QUERIES
 
@@ -326,3 +328,16 @@ def test_shared_features_from_a_floor(spark):
     want = {(i, j, len(set(f) & set(g)), len(set(f) & set(g)) / len(set(f) | set(g))) for i, f in q for j, g in d if set(f) & set(g)}
     got = search.shared_features(spark.createDataFrame(q, "qid long, f array<string>"), spark.createDataFrame(d, "id long, f array<string>"), 0.25)
     assert {tuple(x) for x in got.collect()} == {w for w in want if w[3] >= 0.25}
+
+
+def test_store_leaves_no_shuffle(spark):
+    """A stored table reads its files; the shuffles that made it are gone at once, not when the collector runs."""
+    sc = spark.sparkContext._jsc.sc()
+    first = sc.newShuffleId()
+    d = spark.range(10_000).groupBy((F.col("id") % 500).alias("k")).count()
+    assert store(d.repartition(3), "counts").count() == 500
+    files = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+    ids = {int(m[1]) for f in files if (m := re.match(r"shuffle_(\d+)_.*data", f.getName()))}
+    mine = range(first, sc.newShuffleId())
+    # The count that reads it makes the last one.
+    assert len(ids & set(mine)) <= 1
