@@ -341,3 +341,10 @@ def test_store_leaves_no_shuffle(spark):
     mine = range(first, sc.newShuffleId())
     # The count that reads it makes the last one.
     assert len(ids & set(mine)) <= 1
+
+
+def test_blind_spots_of_many_copies(spark):
+    """4 000 copies of two descriptions: copies follow the first of their kind, so 8 million pairs are never compared."""
+    rows = [(i, "the cache is never cleared" if i % 2 else "logs of workers get lost", 0.1 * (i % 10)) for i in range(4000)] + [(5000, "", 0.5), (5001, "", 0.5)]
+    got = consolidate.blind_spots(spark.createDataFrame(rows, "id long, description string, severity double")).collect()
+    assert sorted((x.id, x.n) for x in got) == [(0, 2000), (1, 2000), (5000, 1), (5001, 1)]
