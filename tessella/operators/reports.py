@@ -119,18 +119,16 @@ def triples_of(keys: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int =
 def pattern_bridge(solutions: DataFrame, shared: int = 2, least: float = 0.3) -> DataFrame:
     """(project_a, project_b, tags) of solutions (id, project, content, tags) of different projects with two telling tags in
     common, else with keywords that are alike; each pair of projects and tags once."""
-    from tessella.operators.consolidate import alike_sets
+    from tessella.operators.bridges import bridged
+    from tessella.operators.consolidate import hashed
 
-    s = solutions.where(F.col("project") != "general").select("id", "project", F.filter(F.array_distinct("tags"), lambda t: ~t.isin(*GENERIC_TAGS)).alias("tags"), U.keywords(F.col("content")).alias("s"), F.lit(0).alias("all"))
+    s = solutions.where(F.col("project") != "general").select("id", "project", F.filter(F.array_distinct("tags"), lambda t: ~t.isin(*GENERIC_TAGS)).alias("tags"), F.col("content"))
     # Tags first: pairs of projects meet on pairs of tags, so solutions are not paired.
     two = s.where(F.size("tags") >= shared).select("project", F.array_sort("tags").alias("tags")).distinct()
     x, y = two.select(F.col("project").alias("project_a"), F.col("tags").alias("ta")), two.select(F.col("project").alias("project_b"), F.col("tags").alias("tb"))
     by_tag = x.select("*", F.explode("ta").alias("t")).join(y.select("*", F.explode("tb").alias("t")), "t").where(F.col("project_a") < F.col("project_b")).select("project_a", "project_b", F.array_sort(F.array_intersect("ta", "tb")).alias("tags")).where(F.size("tags") >= shared).distinct()
-    alike = alike_sets(s.where(F.size("s") > 0).select("id", "all", "s"), ["all"], least).where(F.col("jaccard") > least)
-    a, b = (s.select(F.col("id").alias(i), F.col("project").alias(f"p{i}"), F.col("tags").alias(f"t{i}")) for i in "ab")
-    words = alike.join(a, "a").join(b, "b").withColumn("both", F.array_sort(F.array_intersect("ta", "tb"))).where((F.col("pa") != F.col("pb")) & (F.size("both") < shared))
-    told = F.when(F.size("both") > 0, F.col("both")).otherwise(F.array(F.lit("keyword-match")))
-    by_word = words.select(F.least("pa", "pb").alias("project_a"), F.greatest("pa", "pb").alias("project_b"), told.alias("tags"))
+    told = s.where(F.col("tags").isNotNull()).select("id", "project", "tags", hashed(U.keywords(F.col("content"))).alias("s"))
+    by_word = bridged(told.where(F.size("s") > 0), shared, least).withColumn("tags", F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit("keyword-match"))))
     return by_tag.unionByName(by_word).distinct().select("project_a", "project_b", F.array_join("tags", ",").alias("tags"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401  registers the queries
 from tessella import model as M
 from tessella.llm.common import store
-from tessella.operators import analytics, consolidate, graph, lifecycle, recall, retrieval, search, sequence, temporal
+from tessella.operators import analytics, bridges, consolidate, graph, lifecycle, recall, reports, retrieval, search, sequence, temporal
 from tessella.plans.registry import ORACLE, QUERIES
 
 
@@ -348,3 +348,40 @@ def test_blind_spots_of_many_copies(spark):
     rows = [(i, "the cache is never cleared" if i % 2 else "logs of workers get lost", 0.1 * (i % 10)) for i in range(4000)] + [(5000, "", 0.5), (5001, "", 0.5)]
     got = consolidate.blind_spots(spark.createDataFrame(rows, "id long, description string, severity double")).collect()
     assert sorted((x.id, x.n) for x in got) == [(0, 2000), (1, 2000), (5000, 1), (5001, 1)]
+
+
+def written(spark) -> int:
+    """Rows that all stages so far have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize(("rounds", "classes"), [(6, 1024), (0, 1024), (1, 2)])
+def test_pattern_bridge_against_all_pairs(spark, monkeypatch, rounds, classes):
+    """Rounds and last pass, last pass alone, more classes than are tracked; small tiles, so several meet; null texts and tags."""
+    for name, value in (("ROUNDS", rounds), ("CLASSES", classes), ("TILE", 20), ("RUN", 16), ("STRIPE", 7), ("PIECE", 50)):
+        monkeypatch.setattr(bridges, name, value)
+    r = random.Random(8)
+    vocabulary = [f"w{''.join(r.choice('abcdefgh') for _ in range(5))}" for _ in range(50)]
+    rows = []
+    for i in range(220):
+        text = " ".join(r.choice(vocabulary[: 50 if i % 3 else 8]) for _ in range(r.randrange(0, 14)))
+        rows.append((i, r.choice(["p", "q", "r", "general", None]), None if i % 50 == 7 else text, None if i % 40 == 9 else r.sample(["a", "b", "c", "auto", "d", "e", "f"], r.randrange(0, 4))))
+    kept = [(p, set(re.findall("[a-z_]{3,}", t or "")), set(g) - {"auto"}) for _, p, t, g in rows if p not in ("general", None) and g is not None]
+    want = set()
+    for p, w, g in kept:
+        for q, v, h in kept:
+            if p < q and (len(g & h) >= 2 or (w & v and len(w & v) / len(w | v) > 0.3)):
+                want.add((p, q, ",".join(sorted(g & h)) or "keyword-match"))
+    d = spark.createDataFrame(rows, "id long, project string, content string, tags array<string>")
+    assert {tuple(x) for x in reports.pattern_bridge(d).collect()} == want and want
+
+
+def test_pattern_bridge_does_not_list_pairs(spark):
+    """3 000 solutions that are mostly alike: 4 million pairs, one result."""
+    own = F.array(*(F.concat(F.lit("own"), F.translate((F.col("id") * 7 % 3000 + k).cast("string"), "0123456789", "abcdefghij")) for k in (0, 3000, 6000)))
+    common = F.lit("every solution says these common words before its own words follow")
+    d = spark.range(3000).select("id", F.concat(F.lit("p"), (F.col("id") % 2).cast("string")).alias("project"), F.concat_ws(" ", common, own).alias("content"), F.array(F.concat(F.lit("t"), (F.col("id") % 2).cast("string"))).alias("tags"))
+    before = written(spark)
+    assert [tuple(x) for x in reports.pattern_bridge(d).collect()] == [("p0", "p1", "keyword-match")]
+    assert written(spark) - before < 100_000
