@@ -18,8 +18,8 @@ RUN, TILE, ROUNDS, CLASSES = 2048, 4096, 6, 1024
 STRIPE, PIECE = 256, 1 << 20
 
 
-def meeting(x: tuple, y: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of sets of x and y with a Jaccard index over ``least``. Each side: sizes, and hashes one set after another.
+def shared_counts(x: tuple, y: tuple) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(lo, hi, counts) of the elements that sets lo to hi of x share with each of y. Each side: sizes, and hashes one set after another.
 
     Elements that many sets of both sides have are counted by a product of 0/1 matrices, the others where they occur.
     """
@@ -36,7 +36,6 @@ def meeting(x: tuple, y: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
     here = (~dense & (cy > 0))[kx]
     ex, ox = kx[here], rx[here]
     sum_x = np.concatenate([[0], np.cumsum(cy[ex])])
-    found = [(np.zeros(0, dtype=np.int64),) * 2]
     for lo in range(0, len(nx), STRIPE):
         hi = min(lo + STRIPE, len(nx))
         tall = np.zeros((hi - lo, wide.shape[1]), dtype=np.float32)
@@ -51,8 +50,15 @@ def meeting(x: tuple, y: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
             spot = np.arange(sum_x[e] - sum_x[f]) - np.repeat(sum_x[f:e] - sum_x[f], c) + np.repeat(start[ex[f:e]], c)
             shared += np.bincount(np.repeat(ox[f:e] - lo, c) * len(ny) + owner[spot], minlength=len(shared))
             f = e
-        both = shared.reshape(hi - lo, len(ny)).astype(np.float64)
-        i, j = np.nonzero(both / (nx[lo:hi, None] + ny[None, :] - both) > least)
+        yield lo, hi, shared.reshape(hi - lo, len(ny))
+
+
+def meeting(x: tuple, y: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of sets of x and y with a Jaccard index over ``least``."""
+    found = [(np.zeros(0, dtype=np.int64),) * 2]
+    for lo, hi, shared in shared_counts(x, y):
+        both = shared.astype(np.float64)
+        i, j = np.nonzero(both / (x[0][lo:hi, None] + y[0][None, :] - both) > least)
         found.append((i + lo, j))
     return tuple(np.concatenate(side) for side in zip(*found, strict=True))
 

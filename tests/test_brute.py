@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401  registers the queries
 from tessella import model as M
 from tessella.llm.common import store
-from tessella.operators import analytics, bridges, consolidate, graph, lifecycle, recall, reports, retrieval, search, sequence, temporal
+from tessella.operators import analytics, bridges, consolidate, digests, graph, lifecycle, recall, reports, retrieval, search, sequence, temporal
 from tessella.plans.registry import ORACLE, QUERIES
 
 
@@ -385,3 +385,36 @@ def test_pattern_bridge_does_not_list_pairs(spark):
     before = written(spark)
     assert [tuple(x) for x in reports.pattern_bridge(d).collect()] == [("p0", "p1", "keyword-match")]
     assert written(spark) - before < 100_000
+
+
+def test_digest_merge_against_all_pairs(spark, monkeypatch):
+    """Near copies, copies with ids in turn, texts that are not like themselves, two projects, small tiles and groups."""
+    for name, value in (("TILE", 8), ("MATCHES", 3), ("GROUP", 5)):
+        monkeypatch.setattr(digests, name, value)
+    r = random.Random(11)
+    bases = [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(r.randrange(6, 30))) for _ in range(6)] + ["aa bb " * 50, "aa bb " * 52 + "cc"]
+    rows = []
+    for i in range(150):
+        w = r.choice(bases).split(" ")
+        for _ in range(r.randrange(0, 3)):
+            w[r.randrange(len(w))] = r.choice(["new", "zz", w[0]])
+        rows.append((i, " ".join(w) if i % 40 else None, r.randrange(3), r.randrange(4), "pq"[i % 7 == 0], "fact", "active" if i % 11 else "archived"))
+    best = {}
+    live = [x for x in rows if x[6] == "active" and words(x[1])]
+    for a in live:
+        for b in live:
+            if a[0] < b[0] and a[4] == b[4] and len(words(a[1]) & words(b[1])) >= 0.5 * len(words(a[1]) | words(b[1])) and min(len(a[1]), len(b[1])) >= 0.5 * max(len(a[1]), len(b[1])) and (x := ratio(a[1], b[1])) >= 0.85:
+                lose, win = sorted((a, b), key=lambda t: (t[2], t[3], t[0]))
+                best[lose[0]] = max(best.get(lose[0], (0, 0)), (x, win[0]))
+    want = {(best[k][1] if k in best else k, drop, x) for drop, (x, k) in best.items()}
+    d = spark.createDataFrame(rows, "id long, content string, recall_count int, created_at int, project string, type string, status string")
+    assert {tuple(x) for x in consolidate.digest_merge(d).collect()} == want and len(want) > 50
+
+
+def test_digest_merge_does_not_list_copies(spark):
+    """1 500 copies: a million pairs, one record that stays."""
+    d = spark.range(1500).select("id", F.lit("the cache of the worker is never cleared").alias("content"), F.lit(1).alias("recall_count"), F.lit(1).alias("created_at"), F.lit("p").alias("project"), F.lit("fact").alias("type"), F.lit("active").alias("status"))
+    before = written(spark)
+    got = consolidate.digest_merge(d).collect()
+    assert {(x.keep, x.ratio) for x in got} == {(1499, 1.0)} and len(got) == 1499
+    assert written(spark) - before < 100_000
