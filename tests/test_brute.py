@@ -418,3 +418,29 @@ def test_digest_merge_does_not_list_copies(spark):
     got = consolidate.digest_merge(d).collect()
     assert {(x.keep, x.ratio) for x in got} == {(1499, 1.0)} and len(got) == 1499
     assert written(spark) - before < 100_000
+
+
+def test_digest_merge_needs_no_common_words(spark, monkeypatch):
+    """Against all pairs: letters changed in most words, no words at all, no project, texts on both sides of difflib's 200 characters."""
+    for name, value in (("TILE", 9), ("GROUP", 7), ("MATCHES", 5), ("STRIPE", 4)):
+        monkeypatch.setattr(digests, name, value)
+    r = random.Random(5)
+    rows = []
+    for i in range(160):
+        if i % 8 == 0:
+            base = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZäöü🙂") + ("" if r.randrange(6) else " ") for _ in range(r.choice([30, 150, 180, 230, 400])))
+        text = list(base)
+        for _ in range(r.randrange(0, len(text) // 8)):
+            text[r.randrange(len(text))] = r.choice("xyz-")
+        rows.append((i, "".join(text) if i % 40 else r.choice(["", " \n ", "\n  "]), r.randrange(3), r.randrange(4), [None, "", "general", "p"][i % 5 // 2 if i % 5 < 4 else 3], "fact" if i % 9 else None, "active"))
+    rows += [(201, " " * 20, 1, 1, "p", "fact", "active"), (202, " " * 22, 1, 1, "p", "fact", "active")]
+    best, apart = {}, 0
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and (a[4] or "general", a[5]) == (b[4] or "general", b[5]) and a[1] and b[1] and min(len(a[1]), len(b[1])) >= 0.5 * max(len(a[1]), len(b[1])) and (x := ratio(a[1], b[1])) >= 0.85:
+                lose, win = sorted((a, b), key=lambda t: (t[2], t[3], t[0]))
+                best[lose[0]] = max(best.get(lose[0], (0, 0)), (x, win[0]))
+                apart += len(words(a[1]) & words(b[1])) < 0.5 * len(words(a[1]) | words(b[1]))
+    want = {(best[k][1] if k in best else k, drop, x) for drop, (x, k) in best.items()}
+    d = spark.createDataFrame(rows, "id long, content string, recall_count int, created_at int, project string, type string, status string")
+    assert {tuple(x) for x in consolidate.digest_merge(d).collect()} == want and apart > 50 and (202, 201) in {x[:2] for x in want}
