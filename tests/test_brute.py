@@ -444,3 +444,46 @@ def test_digest_merge_needs_no_common_words(spark, monkeypatch):
     want = {(best[k][1] if k in best else k, drop, x) for drop, (x, k) in best.items()}
     d = spark.createDataFrame(rows, "id long, content string, recall_count int, created_at int, project string, type string, status string")
     assert {tuple(x) for x in consolidate.digest_merge(d).collect()} == want and apart > 50 and (202, 201) in {x[:2] for x in want}
+
+
+def test_blind_spots_need_no_common_words(spark, monkeypatch):
+    """Against the rule in order of ids: letters changed in most words, ratios just at the threshold, lengths on both sides of 64 and 200."""
+    for name, value in (("TILE", 30), ("GROUP", 50), ("MATCHES", 70), ("STRIPE", 16)):
+        monkeypatch.setattr(digests, name, value)
+    r = random.Random(9)
+    rows = []
+    for i in range(240):
+        if i % 12 == 0:
+            base = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEü") + ("" if r.randrange(6) else " ") for _ in range(r.choice([4, 16, 40, 60, 80, 170, 230])))
+        text = list(base)
+        for _ in range(r.randrange(0, max(2, len(text) // 3))):
+            text[r.randrange(len(text))] = r.choice("xyz- ")
+        rows.append((i, "".join(text), i % 10 / 10))
+    seeds, apart = {}, 0
+    for i, text, severity in rows:
+        # The text of the smaller id comes first.
+        of = next((k for k, (told, _, _) in seeds.items() if ratio(told.lower(), text.lower()) > 0.75), None)
+        if of is None:
+            seeds[i] = (text, severity, 1)
+        else:
+            told, most, n = seeds[of]
+            seeds[of] = (told, max(most, severity), n + 1)
+            apart += len(words(told) & words(text)) < 0.5 * len(words(told) | words(text))
+    got = consolidate.blind_spots(spark.createDataFrame(rows, "id long, description string, severity double")).collect()
+    assert {(x.id, x.severity, x.n) for x in got} == {(k, s, n) for k, (_, s, n) in seeds.items()} and apart > 20 and len(seeds) > 20
+
+
+def test_absorbed_needs_few_rounds(spark, monkeypatch):
+    """Of 60 partners of one another the first absorbs all: two rounds, not 60. And random pairs against the rule in order of ids."""
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda d, cut=graph.cut: cuts.append(1) or cut(d))
+    every = [(a, b) for b in range(60) for a in range(b)]
+    got = consolidate.absorbed(spark.createDataFrame(every, "a long, b long"), spark.range(60)).collect()
+    assert {x.seed for x in got} == {0} and len(got) == 60 and len(cuts) < 8
+    r = random.Random(4)
+    some = {(a, b) for b in range(80) for a in range(b) if r.random() < 0.06}
+    seeds = {}
+    for i in range(80):
+        seeds[i] = next((a for a in range(i) if (a, i) in some and seeds[a] == a), i)
+    got = consolidate.absorbed(spark.createDataFrame(sorted(some), "a long, b long"), spark.range(80)).collect()
+    assert {x.id: x.seed for x in got} == seeds
