@@ -487,3 +487,9 @@ def test_absorbed_needs_few_rounds(spark, monkeypatch):
         seeds[i] = next((a for a in range(i) if (a, i) in some and seeds[a] == a), i)
     got = consolidate.absorbed(spark.createDataFrame(sorted(some), "a long, b long"), spark.range(80)).collect()
     assert {x.id: x.seed for x in got} == seeds
+
+
+def test_triggered_rounds_once_for_a_list(spark, sf_dir):
+    """The score is found and rounded below the row of each pair, not above it."""
+    plan = QUERIES["r32_skill_triggers"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.index("generate explode(qids") < plan.index("floor(")
